@@ -1,0 +1,56 @@
+"""Introspection of how sequences group into vector lanes and byte-bounded chunks."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+LANES = 16
+UNROLL = 5
+MAX_CHUNK_BYTES = 100_663_296
+PROFILE_THRESHOLD = 567
+
+
+def lane_groups(db: DataFrame, lanes: int = LANES) -> DataFrame:
+    """`lane_group, members, group_length, padded_residues, padded_before` of database order."""
+    position = Window.orderBy("length", "input_pos")
+    grouped = db.select("length", (F.row_number().over(position) - 1).alias("position"))
+    grouped = grouped.groupBy(F.floor(F.col("position") / lanes).alias("lane_group")).agg(F.count("*").alias("members"), F.max("length").alias("longest"))
+    grouped = grouped.withColumn("group_length", (F.ceil(F.col("longest") / UNROLL) * UNROLL).cast("long")).withColumn("padded_residues", F.col("group_length") * lanes)
+    before = F.coalesce(F.sum("padded_residues").over(Window.orderBy("lane_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return grouped.select("lane_group", "members", "group_length", "padded_residues", before.alias("padded_before"))
+
+
+def chunks(groups: DataFrame, max_bytes: int = MAX_CHUNK_BYTES, lanes: int = LANES) -> DataFrame:
+    """`lane_group, chunk`: groups in order join a chunk while it holds at most `max_bytes`.
+
+    The fold starts anew at each chunk, so it runs over the groups in order; there is one small row
+    per lane group, and only this report needs it.
+    """
+
+    def fold(frames):
+        chunk, size = 0, 0
+        for frame in frames:
+            out = []
+            for length in frame["group_length"]:
+                if size > max_bytes:
+                    chunk, size = chunk + 1, 0
+                size += int(length) * lanes + 6
+                out.append(chunk)
+            yield pd.DataFrame({"lane_group": frame["lane_group"], "chunk": out})
+
+    ordered = groups.select("lane_group", "group_length").repartition(1).sortWithinPartitions("lane_group")
+    return ordered.mapInPandas(fold, "lane_group long, chunk long")
+
+
+def profile_choice(length: Column, threshold: int = PROFILE_THRESHOLD, forced: str = "auto") -> Column:
+    """`Q` (query profile) below the threshold, else `S` (score profile)."""
+    if forced not in ("auto", "Q", "S"):
+        raise ValueError(f"unknown profile {forced!r}: auto, Q or S")
+    return F.lit(forced) if forced != "auto" else F.when(length < threshold, "Q").otherwise("S")
+
+
+def padded_length(length: Column) -> Column:
+    """Query length rounded up to even, as in the padded cell count."""
+    return length + length % 2
