@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from proteinscan.llm import langid, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
 from proteinscan.llm.common import held_out, new_path, table
+from proteinscan.llm.oracles import ORACLES
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -73,4 +74,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
