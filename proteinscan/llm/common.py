@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,26 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+_ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+
+
+def with_text_columns(docs: DataFrame, make: Callable[[list], tuple], fields: str, keep: list[str] | None = None, rows: int = 64) -> DataFrame:
+    """`docs` (or its columns `keep`) with columns that `make` computes from a list of texts.
+
+    Few texts are held at once, whatever the size of Arrow batches. Columns that have the name of a
+    new one are replaced.
+    """
+    new = [f.split() for f in fields.split(", ")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in {n for n, _ in new}]
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{n} {k}" for n, k in new])
+
+    def run(batches):
+        for batch in slices(batches, rows):
+            made = make(batch.column("text").to_pylist())
+            columns = [batch.column(c) for c in kept] + [pa.array(v, _ARROW[k]) for v, (_, k) in zip(made, new, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(n for n, _ in new)])
+
+    wanted = list(dict.fromkeys([*kept, "text"]))
+    return docs.select(*wanted).mapInArrow(run, schema)

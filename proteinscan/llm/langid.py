@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proteinscan.llm.common import bounded_sample, held_out
+from proteinscan.llm.common import bounded_sample, held_out, with_text_columns
 
 #: Texts that the machines are fitted on: of each language, and in all.
 FIT_ROWS = 800
@@ -41,7 +41,7 @@ def family_of(lang: str) -> str:
 def _letters() -> np.ndarray:
     global _ALPHA
     if _ALPHA is None:
-        _ALPHA = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        _ALPHA = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
     return _ALPHA
 
 
@@ -161,20 +161,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Hierarchy:
     return fit_hierarchy(x, [r["lang"] for r in rows])
 
 
-def predict_language(docs: DataFrame, model: Hierarchy) -> DataFrame:
-    """`docs` with `lang_pred` and `lang_score`.
+def predict_language(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -> DataFrame:
+    """`docs` (or its columns `keep`) with `lang_pred` and `lang_score`.
 
     Whole texts are read. A null text, or one without a letter, is `und` with score 0; so is every
-    text if no language was learned.
+    text if no language was learned. Repeated rows are judged alike; an empty table gives no rows.
     """
-
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
-        for at in range(0, len(texts), 256):
-            found = model.predict(list(texts.iloc[at : at + 256]))
-            langs += found[0]
-            scores += found[1].tolist()
-        return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
-
-    return docs.withColumn("_p", predict("text")).withColumn("lang_pred", F.col("_p.lang")).withColumn("lang_score", F.col("_p.score")).drop("_p")
+    return with_text_columns(docs, model.predict, "lang_pred string, lang_score double", keep)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proteinscan.llm.common import bounded_sample, clean_labels, held_out
+from proteinscan.llm.common import bounded_sample, clean_labels, held_out, with_text_columns
 
 #: Labelled rows of each class that the model is fitted on, at most.
 FIT_ROWS = 20_000
@@ -125,14 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discrim
     return fit_discriminant({k: (v[0], v[1 : 1 + d], v[1 + d :].reshape(d, d)) for k, v in sums.items() if v[0]})
 
 
-def score_quality(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """`docs` with `score` (0 to 1) and `predicted`; every row and text is scored, null as empty."""
+def score_quality(docs: DataFrame, model: Discriminant, keep: list[str] | None = None) -> DataFrame:
+    """`docs` (or its columns `keep`) with `score` (0 to 1) and `predicted`.
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=float)
-        return pd.Series(model.scores(np.array([statistics(t) for t in texts])))
+    Every row and whole text is scored, a null text like an empty one; with a class that has no
+    labels every score is 0.5. Repeated rows score alike; an empty table gives no rows.
+    """
 
-    scored = docs.withColumn("score", score("text"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    def score(texts: list) -> tuple:
+        x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS))
+        scores = model.scores(x)
+        return scores, (scores >= 0.5).astype(np.int32)
+
+    return with_text_columns(docs, score, "score double, predicted int", keep)
