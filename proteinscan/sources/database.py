@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from proteinscan.functions.alphabet import encode
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _encoded(sequences: pd.Series) -> pd.Series:
     return sequences.map(lambda s: encode(s or "").tobytes())
 
