@@ -230,7 +230,7 @@ def _unresolved(members: DataFrame, percent: int) -> DataFrame:
         if depth == DEPTHS[-1] or crowded.isEmpty():
             break
         if depth == DEPTHS[0]:
-            deep = written(crowded.groupBy("id").agg(F.sum(F.shiftleft(F.lit(1), F.col("tree"))).cast("long").alias("deep")), "deep")
+            deep = written(crowded.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, tree)")).alias("deep")), "deep")
         left = members.select("id", "comp", "signature").join(crowded.select("id").distinct(), "id", "left_semi")
     rows = functools.reduce(DataFrame.unionByName, final)
     # Regions still too large at the last depth are compared block against block.
