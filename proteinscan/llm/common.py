@@ -48,18 +48,25 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
-def bounded_sample(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most `per_class` rows of each label, lowest hash of doc_id first.
+def bounded_sample(labelled: DataFrame, label: str, per_class: int, buckets: int = 256) -> DataFrame:
+    """At most `per_class` rows of each label, lowest hash of doc_id first; ids are distinct in a label.
 
-    A class is thinned by that hash to about twice the bound before its rows meet, so a task reads
-    a fixed number of rows however large the class is. There are few labels; their counts are broadcast.
+    The hash is cut into `buckets` over about twice the bound. Buckets that fit together are kept
+    whole where they lie; only the rows of the bucket that crosses the bound meet and are ranked.
+    There are few labels; their counts, at most `buckets` each, are broadcast.
     """
     scale = 1 << 30
     sizes = labelled.groupBy(label).agg(F.count("*").alias("_size"))
     rows = labelled.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).join(F.broadcast(sizes), label)
-    rows = rows.where(F.col("_hash") < F.lit(2.0 * per_class * scale) / F.col("_size"))
-    order = Window.partitionBy(label).orderBy("_hash", "doc_id")
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).select(*labelled.columns)
+    rows = rows.withColumn("_bucket", F.floor(F.col("_hash") * F.col("_size") * F.lit(buckets / (2.0 * per_class * scale)))).where(F.col("_bucket") < buckets)
+    counts = rows.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(label).orderBy("_bucket"))
+    counts = counts.withColumn("_room", F.lit(per_class) - upto + F.col("_n")).where(F.col("_room") > 0)
+    rows = rows.join(F.broadcast(counts), [label, "_bucket"])
+    whole = rows.where(F.col("_n") <= F.col("_room"))
+    edge = rows.where(F.col("_n") > F.col("_room"))
+    edge = edge.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("_hash", "doc_id"))).where(F.col("_rank") <= F.col("_room"))
+    return whole.select(*labelled.columns).union(edge.select(*labelled.columns))
 
 
 def clean_labels(labels: DataFrame, label: str) -> DataFrame:

@@ -145,7 +145,7 @@ def fit_hierarchy(x: np.ndarray, langs: list[str]) -> Hierarchy:
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Hierarchy:
     """Fit on at most `fit_rows` documents of each language (FIT_ROWS_ALL in all) that are not held out."""
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
+    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).distinct()
     chosen = bounded_sample(known, "lang", fit_rows).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS_ALL).select("doc_id")
 
     def describe(frames):

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from proteinscan.llm import common, components, langid, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
 from proteinscan.llm.queries import QUERIES, RANK_FILE
@@ -235,6 +236,12 @@ def test_samples_are_bounded(spark):
     rows = spark.range(5000).selectExpr("id AS doc_id", "int(id % 10 = 0) AS label")
     found = {r["label"]: r["count"] for r in common.bounded_sample(rows, "label", 100).groupBy("label").count().collect()}
     assert found == {0: 100, 1: 100}
+    # Exactly the lowest hashes; a class under the bound is kept whole.
+    many = spark.range(5000).selectExpr("id AS doc_id", "int(if(id < 30, 2, id % 2)) AS label")
+    chosen = common.bounded_sample(many, "label", 100)
+    assert {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()} == {0: 100, 1: 100, 2: 30}
+    ranked = many.where("label = 1").orderBy(F.expr("pmod(xxhash64(doc_id), 1073741824)"), "doc_id").limit(100)
+    assert sorted(r["doc_id"] for r in chosen.where("label = 1").collect()) == sorted(r["doc_id"] for r in ranked.collect())
 
 
 def test_media(docs, texts, none):
