@@ -58,7 +58,8 @@ def bounded_sample(labelled: DataFrame, label: str, per_class: int, buckets: int
     scale = 1 << 30
     sizes = labelled.groupBy(label).agg(F.count("*").alias("_size"))
     rows = labelled.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).join(F.broadcast(sizes), label)
-    rows = rows.withColumn("_bucket", F.floor(F.col("_hash") * F.col("_size") * F.lit(buckets / (2.0 * per_class * scale)))).where(F.col("_bucket") < buckets)
+    rows = rows.withColumn("_bucket", F.floor(F.col("_hash") * F.col("_size") * F.lit(buckets / (2.0 * per_class * scale))))
+    rows = written(rows.where(F.col("_bucket") < buckets), "thinned")
     counts = rows.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(label).orderBy("_bucket"))
     counts = counts.withColumn("_room", F.lit(per_class) - upto + F.col("_n")).where(F.col("_room") > 0)
