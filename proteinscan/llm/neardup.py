@@ -5,7 +5,9 @@ sequences share a prefix are neighbours. Regions are prefixes: they start at the
 of the wanted similarity shares in some tree with near certainty, and deepen where they are crowded.
 Documents with equal shingle sets are one class from the start. Candidates are confirmed exactly,
 first those with the smallest document of their region, then, inside regions that still hold
-several components, all pairs across components whose signatures are alike enough.
+several components, all pairs across components whose signatures are alike enough. Deeper regions
+only merge the obvious components of a crowded region; what then still lies across components in
+it is compared at the first depth, block by block, so that no pair is lost to crowding.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proteinscan.llm.common import slices, written
@@ -28,7 +30,7 @@ TREES = 24
 #: Depths at which a region may end. Two documents of similarity 0.85 share no first-depth region
 #: of 24 with probability (1 - 0.85**5)**24, under one in a million.
 DEPTHS = (5, 8, 12, 16)
-#: Rows of a region that one step compares; more rows go deeper, and at the last depth to blocks.
+#: Rows of a region that one step compares; more rows go deeper first, and then to blocks.
 REGION_ROWS = 2048
 #: How far, in standard deviations, a signature's estimate may fall below the wanted similarity.
 SLACK = 4.5
@@ -161,11 +163,40 @@ def _with_last(frames):
         yield True, held
 
 
-def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows `id, comp, tree, key` of crowded regions, dealt into pairs of blocks: `block, side` besides.
+
+    A component of many rows has blocks of its own, which are not paired with each other; smaller
+    components share blocks. Every pair of rows across components meets in one pair of blocks.
+    """
+    region = ["tree", "key"]
+    comps = rows.groupBy(*region, "comp").agg(F.count("*").alias("n"))
+    comps = written(comps.withColumn("large", F.col("n") >= REGION_ROWS), "comps")
+    group = F.when(F.col("large"), F.col("comp"))  # null: the small components of the region
+    groups = comps.groupBy(*region, group.alias("group")).agg(F.ceil(F.sum("n") / REGION_ROWS).cast("int").alias("blocks"))
+    before = Window.partitionBy(*region).orderBy("group")
+    everything = Window.partitionBy(*region)
+    groups = groups.withColumn("start", (F.sum("blocks").over(before) - F.col("blocks")).cast("int")).withColumn("all", F.sum("blocks").over(everything).cast("int"))
+    large = groups.where(F.col("group").isNotNull()).withColumnRenamed("group", "comp")
+    small = groups.where(F.col("group").isNull()).drop("group")
+    columns = ["id", "comp", "tree", "key", "blocks", "start", "all", "large"]
+    own = rows.join(large, [*region, "comp"]).withColumn("large", F.lit(True)).select(columns)
+    shared = rows.join(comps.where("not large").select(*region, "comp"), [*region, "comp"], "left_semi").join(small, region).withColumn("large", F.lit(False)).select(columns)
+    rows = own.union(shared).withColumn("mine", F.col("start") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    rows = rows.where(~F.col("large") | (F.col("other") < F.col("start")) | (F.col("other") >= F.col("start") + F.col("blocks")))
+    lo, hi = F.least("mine", "other").cast("long"), F.greatest("mine", "other").cast("long")
+    rows = rows.withColumn("block", lo * F.lit(1 << 31) + hi).withColumn("side", F.when(lo == hi, F.lit(2)).otherwise((F.col("mine") == hi).cast("int")))
+    return rows.select("id", "comp", "tree", "key", "block", "side")
+
+
+def _pairs_across(rows: DataFrame, percent: int, crowded: bool = False) -> DataFrame:
     """Pairs of different components inside regions (`tree, key, block`) with alike signatures.
 
     Partitions are sorted by region, and a region is compared in memory by blocks of its rows; a
-    pair is reported by the first tree in which both share the first depth.
+    pair is reported by the first tree in which both share the first depth. If the regions are the
+    `crowded` ones of the first depth, pairs that share another one there are left out: they have
+    been compared.
     """
     orders = tree_orders(HASHES, TREES)
     p = percent / 100
@@ -176,19 +207,22 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
         for i in range(0, len(ids), step):
             for j in range(i, len(ids), step):
                 a, b = slice(i, i + step), slice(j, j + step)
-                alike = (sig[a][:, None, :] == sig[b][None, :, :]).sum(axis=2)
                 # Of a pair of blocks (side 0 and 1), rows of one block are compared in a step of their own.
                 apart = (side[a][:, None] != side[b][None, :]) | (side[a][:, None] == 2)
-                x, y = np.nonzero((alike >= least) & (comp[a][:, None] != comp[b][None, :]) & apart)
+                apart &= comp[a][:, None] != comp[b][None, :]
+                if not apart.any():
+                    continue
+                alike = (sig[a][:, None, :] == sig[b][None, :, :]).sum(axis=2)
+                x, y = np.nonzero((alike >= least) & apart)
                 x, y = x + i, y + j
                 x, y = x[x < y], y[x < y]
                 # The first tree with a common region of the first depth reports the pair, unless
                 # that region was too crowded to be compared at that depth.
-                for t in range(tree):
+                for t in range(TREES if crowded else tree):
                     if not len(x):
                         break
                     first = orders[t][: DEPTHS[0]]
-                    said = (sig[x][:, first] == sig[y][:, first]).all(axis=1) & ((deep[x] >> t) & 1 == 0)
+                    said = (sig[x][:, first] == sig[y][:, first]).all(axis=1) & (((deep[x] >> t) & 1 == 0) | (crowded and t < tree))
                     x, y = x[~said], y[~said]
                 if len(x):
                     found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
@@ -211,13 +245,17 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
-    ordered = rows.repartition("tree", "key", "block").sortWithinPartitions("tree", "key", "block", "id")
+    ordered = rows.repartition("tree", "key", "block").sortWithinPartitions("tree", "key", "block", "side", "comp", "id")
     return ordered.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _unresolved(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of `members(id, comp, signature)` across components, by adaptive regions."""
-    left, final, crowded = members.select("id", "comp", "signature"), [], None
+def _unresolved(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs of `members(id, comp, signature)` across components, by adaptive regions.
+
+    Besides, the rows `id, tree, key` of the regions that are crowded at the first depth, with `deep`,
+    the trees in which the row's region is so; None if there are none.
+    """
+    left, final, crowded, rest = members.select("id", "comp", "signature"), [], None, None
     for depth in DEPTHS:
         rows = _regions(left, depth, ["id", "comp"])
         if crowded is not None:
@@ -225,26 +263,32 @@ def _unresolved(members: DataFrame, percent: int) -> DataFrame:
         rows = written(rows, "regions")
         sizes = rows.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         rows = written(rows.join(sizes.select("tree", "key", "n"), ["tree", "key"]), "regions")
-        final.append(rows if depth == DEPTHS[-1] else rows.where(F.col("n") <= REGION_ROWS))
-        crowded = written(rows.where(F.col("n") > REGION_ROWS).select("id", "tree"), "crowded")
-        if depth == DEPTHS[-1] or crowded.isEmpty():
+        final.append(rows.where(F.col("n") <= REGION_ROWS).select("id", "comp", "tree", "key", F.lit(0).cast("long").alias("block"), F.lit(2).alias("side")))
+        crowded = written(rows.where(F.col("n") > REGION_ROWS).select("id", "comp", "tree", "key"), "crowded")
+        if crowded.isEmpty():
             break
         if depth == DEPTHS[0]:
             deep = written(crowded.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, tree)")).alias("deep")), "deep")
+            rest = crowded.select("id", "tree", "key").join(deep, "id")
+        if depth == DEPTHS[-1]:
+            final.append(_dealt(crowded))
+            break
         left = members.select("id", "comp", "signature").join(crowded.select("id").distinct(), "id", "left_semi")
-    rows = functools.reduce(DataFrame.unionByName, final)
-    # Regions still too large at the last depth are compared block against block.
-    blocks = F.ceil(F.col("n") / REGION_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    rows = rows.withColumn("block", lo * F.lit(1 << 20) + hi).withColumn("side", F.when(lo == hi, F.lit(2)).otherwise((F.col("mine") == hi).cast("int")))
-    rows = rows.select("id", "comp", "tree", "key", "block", "side").join(members.select("id", "signature"), "id")
-    if len(final) > 1:
+    rows = functools.reduce(DataFrame.unionByName, final).join(members.select("id", "signature"), "id")
+    if rest is not None:
         rows = rows.join(deep, "id", "left").fillna(0, ["deep"])
     else:
         rows = rows.withColumn("deep", F.lit(0).cast("long"))
-    return _pairs_across(rows, percent)
+    return _pairs_across(rows, percent), rest
+
+
+def _rest(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of `members` across components in the crowded regions `rest` of the first depth."""
+    rows = written(rest.drop("deep").join(members.select("id", "comp"), "id"), "rest")
+    mixed = rows.groupBy("tree", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    rows = _dealt(written(rows.join(mixed.select("tree", "key"), ["tree", "key"], "left_semi"), "rest"))
+    rows = rows.join(members.select("id", "signature"), "id").join(rest.select("id", "deep").distinct(), "id")
+    return _pairs_across(rows, percent, crowded=True)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
@@ -281,11 +325,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     found = written(components(links), "components")
 
     # Second round: whatever the regions hold across the components found so far.
-    known = met.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    members = written(classes.select("id", "signature").join(known, "id"), "members")
-    more = written(confirmed(_unresolved(members, percent), sets, percent), "links")
+    def in_components() -> DataFrame:
+        known = met.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+        return written(classes.select("id", "signature").join(known, "id"), "members")
+
+    pairs, rest = _unresolved(in_components(), percent)
+    pairs = pairs if rest is None else written(pairs, "pairs")
+    more = written(confirmed(pairs, sets, percent), "links")
     if not more.isEmpty():
-        found = written(components(links.union(more)), "components")
+        links = links.union(more)
+        found = written(components(links), "components")
+
+    # Third round: pairs of crowded regions that still lie across components, at the first depth.
+    if rest is not None:
+        new = _rest(rest, in_components(), percent).join(pairs, ["a", "b"], "left_anti")
+        more = written(confirmed(new, sets, percent), "links")
+        if not more.isEmpty():
+            found = written(components(links.union(more)), "components")
 
     by_class = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = described.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")

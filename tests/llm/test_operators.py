@@ -117,6 +117,29 @@ def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
     assert found == brute_components(texts, 85)
 
 
+def test_near_duplicates_in_a_crowded_family(spark, monkeypatch):
+    """Variants of one text, each alike enough to one other only: no link goes through a hub, all regions are crowded."""
+    rng = random.Random(6)
+    base, slots = words(rng, 190).split(), range(4, 186, 5)
+    texts, used = [], set()
+
+    def variant(changed, tag):
+        return " ".join(f"{w}{tag}x" if k in changed else w for k, w in enumerate(base))
+
+    for unit in range(4000):
+        a, b, c, d = rng.sample(slots, 4)
+        pairs = {frozenset(p) for p in ((a, b), (a, c), (b, c), (a, d), (b, d))}
+        if not pairs & used:
+            used |= pairs
+            texts += [variant({a, b, c}, unit), variant({a, b, d}, f"{unit}y")]
+    rng.shuffle(texts)
+    monkeypatch.setattr(neardup, "REGION_ROWS", 8)
+    expected = brute_components(texts, 80)
+    assert len(texts) > 120 and 2 * len({c for _, c in expected.values()}) == len(texts)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(spark, texts), 80).collect()}
+    assert found == expected
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70)]
     found = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
