@@ -242,6 +242,27 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, toxicity.fit(docs, labels.where("false"))).where("toxic = 1").count() == 0
 
 
+def test_toxicity_of_long_and_gapped_obfuscations(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    spelled = "  ".join(" ".join(w) for w in words(random.Random(4), 30).split())
+    many_marks = "i" + "*" * 45 + "diot"
+    forms = ["i.d i.o t", "i. d. i. o. t", "i_d i_o t", "iii" + "d" * 50 + "iot", "i" * 90 + "d1ot!", f"{spelled}  i d i o t  {spelled}", many_marks]
+    for text in forms:
+        assert "idiot" in model.restore(text), text
+        assert model.scores([text])[0] > 0.5, text
+    assert model.scores([spelled, "_" * 500 + "a", "a " + "_" * 500 + "... b", "a." * 20_000])[0] < 0.5
+
+
+def test_decoding_in_pieces_equals_decoding_whole(monkeypatch):
+    rng = random.Random(8)
+    bigrams = toxicity._bigram_model(np.array([[rng.random() * 9 for _ in range(28)] for _ in range(28)]))
+    tokens = ["".join(rng.choices("abcdefghij1034*. -", k=rng.randint(100, 900))) for _ in range(20)]
+    cut = toxicity.viterbi(tokens, bigrams)
+    monkeypatch.setattr(toxicity, "PIECE", 1000)
+    assert cut == toxicity.viterbi(tokens, bigrams)
+
+
 def test_language(spark):
     rng = random.Random(9)
     letters = {"en": "thewaornd", "de": "ißüchenst", "fr": "éèauxleoi", "es": "ñóciolasr"}
