@@ -6,9 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Tables of more rows are not broadcast; rows of a hot key are then dealt over so many tasks.
+BROADCAST_ROWS = 200_000
+SALTS = 16
 
 _local_dirs: dict[str, str] = {}
 
@@ -48,22 +54,41 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
+def checked_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`small` with a broadcast hint if it has at most `rows` rows, else as it is."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
+def joined_by_hot_key(rows: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+    """Join rows, of which any share may have one `key`, with a table of one row per key.
+
+    A table of at most BROADCAST_ROWS rows is broadcast, and the rows stay where they are. A larger
+    one is repeated for each of SALTS salts, and rows get a salt from the hash of `spread`, so that
+    the rows of a key are dealt over SALTS tasks.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def bounded_sample(labelled: DataFrame, label: str, per_class: int, buckets: int = 256) -> DataFrame:
     """At most `per_class` rows of each label, lowest hash of doc_id first; ids are distinct in a label.
 
     The hash is cut into `buckets` over about twice the bound. Buckets that fit together are kept
     whole where they lie; only the rows of the bucket that crosses the bound meet and are ranked.
-    There are few labels; their counts, at most `buckets` each, are broadcast.
     """
     scale = 1 << 30
     sizes = labelled.groupBy(label).agg(F.count("*").alias("_size"))
-    rows = labelled.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).join(F.broadcast(sizes), label)
+    rows = labelled.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(scale)))
+    rows = joined_by_hot_key(rows, sizes, label, F.col("doc_id"))
     rows = rows.withColumn("_bucket", F.floor(F.col("_hash") * F.col("_size") * F.lit(buckets / (2.0 * per_class * scale))))
-    rows = written(rows.where(F.col("_bucket") < buckets), "thinned")
+    rows = written(rows.where(F.col("_bucket") < buckets), "thinned")  # about twice the bound
     counts = rows.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(label).orderBy("_bucket"))
     counts = counts.withColumn("_room", F.lit(per_class) - upto + F.col("_n")).where(F.col("_room") > 0)
-    rows = rows.join(F.broadcast(counts), [label, "_bucket"])
+    rows = rows.join(checked_broadcast(counts), [label, "_bucket"])
     whole = rows.where(F.col("_n") <= F.col("_room"))
     edge = rows.where(F.col("_n") > F.col("_room"))
     edge = edge.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("_hash", "doc_id"))).where(F.col("_rank") <= F.col("_room"))
@@ -93,7 +118,7 @@ def with_text_columns(docs: DataFrame, make: Callable[[list], tuple], fields: st
     """
     new = [f.split() for f in fields.split(", ")]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {n for n, _ in new}]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{n} {k}" for n, k in new])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.DoubleType() if k == "double" else T.IntegerType() if k == "int" else T.StringType()) for n, k in new])
 
     def run(batches):
         for batch in slices(batches, rows):
@@ -102,4 +127,14 @@ def with_text_columns(docs: DataFrame, make: Callable[[list], tuple], fields: st
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(n for n, _ in new)])
 
     wanted = list(dict.fromkeys([*kept, "text"]))
-    return docs.select(*wanted).mapInArrow(run, schema)
+    return docs.select(*(f"`{c}`" for c in wanted)).mapInArrow(run, schema)
+
+
+def where_text(docs: DataFrame, keep: Callable[[list], np.ndarray], rows: int = 64) -> DataFrame:
+    """The rows, with all their columns, whose texts `keep` marks; it gets a list of texts."""
+
+    def run(batches):
+        for batch in slices(batches, rows):
+            yield batch.filter(pa.array(keep(batch.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,13 +1,17 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-A tree of the forest orders the signatures by its own sequence of coordinates; documents whose
-sequences share a prefix are neighbours. Regions are prefixes: they start at the depth that a link
-of the wanted similarity shares in some tree with near certainty, and deepen where they are crowded.
-Documents with equal shingle sets are one class from the start. Candidates are confirmed exactly,
-first those with the smallest document of their region, then, inside regions that still hold
-several components, all pairs across components whose signatures are alike enough. Deeper regions
-only merge the obvious components of a crowded region; what then still lies across components in
-it is compared at the first depth, block by block, so that no pair is lost to crowding.
+Each tree of the forest is a sorted order of all signatures, by its own sequence of coordinates.
+Rows that share the first `FIRST` coordinates are a region; it is a run of the order. Candidates
+come from the orders in two rounds:
+
+1. A row meets its neighbours before and after it, those with the longest common prefix over all
+   trees, and the first document of its part of a region. Parts deepen, coordinate by coordinate,
+   until they hold at most PART_ROWS rows, so the depth follows how crowded a region is.
+2. Confirmed links make components. What a region still holds across components is compared as a
+   whole, in pairs of blocks if it is crowded, on the full sets: no pair is lost to crowding.
+
+So two documents are found if they share a region in any tree, whatever else lies in it. Documents
+with equal shingle sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -15,25 +19,30 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proteinscan.llm.common import slices, written
+from proteinscan.llm.common import joined_by_hot_key, slices, written
 from proteinscan.llm.components import components
 
 WORDS = 5
 HASHES = 256
 TREES = 24
-#: Depths at which a region may end. Two documents of similarity 0.85 share no first-depth region
-#: of 24 with probability (1 - 0.85**5)**24, under one in a million.
-DEPTHS = (5, 8, 12, 16)
-#: Rows of a region that one step compares; more rows go deeper first, and then to blocks.
-REGION_ROWS = 2048
-#: How far, in standard deviations, a signature's estimate may fall below the wanted similarity.
-SLACK = 4.5
+#: Coordinates (of 8 bits) that a region shares. Two documents of similarity 0.85 share no region
+#: of 24 trees with probability (1 - 0.85**5)**24, under one in a million; at 0.8, 7 in 100,000.
+FIRST = 5
+#: Coordinates of a row's place in an order.
+DEPTH = 12
+#: Rows that share their first document.
+PART_ROWS = 256
+#: Rows of a region, or thousands of their shingles, that make a block.
+BLOCK = 1024
+#: Regions of more rows are dealt over SALTS tasks when they are joined with what belongs to them.
+CROWDED, SALTS = 4096, 16
+#: Rows of a run that a task holds at once.
+HELD = 65_536
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,18 +72,17 @@ def _family(hashes: int) -> tuple[np.ndarray, np.ndarray]:
 def tree_orders(hashes: int, trees: int) -> np.ndarray:
     """Coordinate sequence of each tree; the first ones of different trees are disjoint."""
     rng = np.random.default_rng(21)
-    first, depth = DEPTHS[0], DEPTHS[-1]
-    out = np.empty((trees, depth), np.int64)
+    out = np.empty((trees, DEPTH), np.int64)
     for t in range(trees):
-        own = (np.arange(first) + t * first) % hashes
-        out[t] = np.concatenate([own, rng.permutation(np.setdiff1d(np.arange(hashes), own))[: depth - first]])
+        own = (np.arange(FIRST) + t * FIRST) % hashes
+        out[t] = np.concatenate([own, rng.permutation(np.setdiff1d(np.arange(hashes), own))[: DEPTH - FIRST]])
     return out
 
 
 def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
-    """MinHash values, cut to 16 bits, of non-empty sets; one row each."""
+    """MinHash values, cut to 8 bits, of non-empty sets; one row each."""
     multiply, add = _family(hashes)
-    out = np.empty((hashes, len(sets)), np.uint16)
+    out = np.empty((hashes, len(sets)), np.uint8)
     flat = np.concatenate(sets)
     flat = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
     starts = np.cumsum([0, *map(len, sets[:-1])])
@@ -84,7 +92,7 @@ def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
         x *= np.uint32(0x2C1B3C6D)
         least = np.minimum.reduceat(x, starts)
         least ^= least >> np.uint32(16)
-        out[k] = (least * np.uint32(0x297A2D39) >> np.uint32(16)).astype(np.uint16)
+        out[k] = (least * np.uint32(0x297A2D39) >> np.uint32(24)).astype(np.uint8)
     return out.T.copy()
 
 
@@ -108,42 +116,128 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def _regions(members: DataFrame, depth: int, carry: list[str]) -> DataFrame:
-    """A row per member and tree: `key` names the tree and the first `depth` coordinates."""
-    orders = tree_orders(HASHES, TREES)[:, :depth]
+def _orders(classes: DataFrame) -> DataFrame:
+    """`id, region, deep` of each class in each tree, in signature order.
+
+    `region` is the tree's number and the first FIRST coordinates, `deep` the coordinates after
+    them; both as whole numbers, so that their order is the order of the coordinates. Ranges of the
+    order are dealt to tasks, so a region of any size is spread.
+    """
+    orders = tree_orders(HASHES, TREES)
+
+    def packed(coordinates: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(coordinates), np.int64)
+        for k in range(coordinates.shape[1]):
+            out = (out << 8) | coordinates[:, k].astype(np.int64)
+        return out
 
     def spread(batches):
         for batch in slices(batches, 1024):
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(batch.num_rows, HASHES)
-            keys = np.empty((batch.num_rows, TREES), np.uint64)
-            for t in range(TREES):
-                key = np.full(batch.num_rows, t + 1, np.uint64)
-                for c in orders[t]:
-                    key = (key ^ (key >> np.uint64(29))) * _MIX + sig[:, c]
-                keys[:, t] = key ^ (key >> np.uint64(32))
-            columns = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), TREES)) for c in carry]
-            trees = pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*columns, trees, pa.array(keys.reshape(-1).view(np.int64))], names=[*carry, "tree", "key"])
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, HASHES)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            region = np.concatenate([packed(sig[:, o[:FIRST]]) | (t << 8 * FIRST) for t, o in enumerate(orders)])
+            deep = np.concatenate([packed(sig[:, o[FIRST:]]) for o in orders])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, TREES)), pa.array(region), pa.array(deep)], names=["id", "region", "deep"])
+
+    rows = classes.select("id", "signature").mapInArrow(spread, "id long, region long, deep long")
+    return rows.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id")
+
+
+def shared_prefix(deep: np.ndarray) -> np.ndarray:
+    """Coordinates that successive rows of one region have in common, first to last."""
+    differ = deep[1:] ^ deep[:-1]
+    return FIRST + sum((differ >> 8 * k == 0).astype(np.int64) for k in range(DEPTH - FIRST))
+
+
+def part_starts(common: np.ndarray, most: int) -> np.ndarray:
+    """Starts of the parts of a region: prefixes deepen until a part holds at most `most` rows.
+
+    `common` holds what successive rows share. Rows that share all coordinates are cut by number.
+    """
+    starts, pending = [], [(0, len(common) + 1, FIRST)]
+    while pending:
+        first, end, depth = pending.pop()
+        if end - first <= most:
+            starts.append(first)
+        elif depth == DEPTH:
+            starts += range(first, end, most)
+        else:
+            bounds = [first, *(first + 1 + np.flatnonzero(common[first : end - 1] <= depth)), end]
+            pending += [(int(a), int(b), depth + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return np.array(sorted(starts))
 
-    return members.select(*carry, "signature").mapInArrow(spread, ", ".join(f"{c} long" for c in carry) + ", tree int, key long")
+
+#: `first`: smallest id of the row's part; neighbours in the order with what they share, null if alone.
+MET_SCHEMA = "id long, region long, salt int, first long, before long, before_common int, after long, after_common int"
+
+
+def _met(orders: DataFrame) -> DataFrame:
+    """The rows that share their region with another one, each with whom it meets in it.
+
+    A task walks through its range of the order and holds one run at a time. Rows at the ends of a
+    range are kept, as their region may go on in the next one.
+    """
+
+    def run_of(region: int, ids: np.ndarray, deep: np.ndarray, long_before: bool) -> pa.RecordBatch:
+        n = len(ids)
+        common = shared_prefix(deep)
+        starts = part_starts(common, PART_ROWS)
+        first = np.repeat(np.minimum.reduceat(ids, starts), np.diff([*starts, n]))
+        crowded = long_before or n >= CROWDED
+        salt = ids % SALTS if crowded else np.zeros(n, np.int64)
+        known = np.arange(n) > 0
+        before, after = np.roll(ids, 1), np.roll(ids, -1)
+        left, right = np.concatenate([[0], common]), np.concatenate([common, [0]])
+        columns = [
+            pa.array(ids), pa.array(np.full(n, region)), pa.array(salt.astype(np.int32)), pa.array(first),
+            pa.array(before, mask=~known), pa.array(left.astype(np.int32)), pa.array(after, mask=~known[::-1]), pa.array(right.astype(np.int32)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MET_SCHEMA.split(", ")])
+
+    def walk(batches):
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        at_start, long_before = True, False
+        for batch in batches:
+            id_, region, deep = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("id", "region", "deep"), strict=True))
+            starts = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1]) if len(region) else np.zeros(1, np.int64)
+            ends = np.concatenate([starts[1:], [len(region)]])
+            for s, e in zip(starts[:-1], ends[:-1], strict=True):
+                if e - s > 1 or at_start or long_before:
+                    yield run_of(region[s], id_[s:e], deep[s:e], long_before)
+                at_start = long_before = False
+            rest = starts[-1]
+            if len(region) - rest >= HELD:
+                yield run_of(region[rest], id_[rest:], deep[rest:], long_before)
+                rest, at_start, long_before = len(region), False, True
+            elif len(starts) > 1:
+                long_before = False
+            held = [id_[rest:], region[rest:], deep[rest:]]
+        if len(held[0]):
+            yield run_of(held[1][0], held[0], held[2], long_before)
+
+    return orders.mapInArrow(walk, MET_SCHEMA)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least `percent` in a hundred of their union."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(both) - shared)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have at least `percent` in a hundred of their union in common."""
+    """The pairs whose full sets are alike enough."""
 
     def check(batches):
         for batch in slices(batches, 512):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            good = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], names=["a", "b"])
+            good = [
+                _alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"), F.col("n").alias("n_a")), "a")
     joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"), F.col("n").alias("n_b")), "b")
@@ -152,143 +246,147 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def _with_last(frames):
-    """Each frame with whether it is the last one."""
-    held = None
-    for frame in frames:
-        if held is not None:
-            yield False, held
-        held = frame
-    if held is not None:
-        yield True, held
+def _blocks(weight: Column) -> Column:
+    return F.ceil(weight / F.lit(float(BLOCK))).cast("int")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows `id, comp, tree, key` of crowded regions, dealt into pairs of blocks: `block, side` besides.
+    """Rows `id, region, salt, comp, n` of regions with several components, dealt into pairs of blocks.
 
-    A component of many rows has blocks of its own, which are not paired with each other; smaller
-    components share blocks. Every pair of rows across components meets in one pair of blocks.
+    Adds `lo, hi`, the numbers of the two blocks, and `side`: 0 or 1 for the block, 2 if both are
+    one. A component that fills a block has blocks of its own, which are not paired with each other;
+    smaller ones share blocks. Every two rows across components meet in one pair of blocks.
     """
-    region = ["tree", "key"]
-    comps = rows.groupBy(*region, "comp").agg(F.count("*").alias("n"))
-    comps = written(comps.withColumn("large", F.col("n") >= REGION_ROWS), "comps")
-    group = F.when(F.col("large"), F.col("comp"))  # null: the small components of the region
-    groups = comps.groupBy(*region, group.alias("group")).agg(F.ceil(F.sum("n") / REGION_ROWS).cast("int").alias("blocks"))
-    before = Window.partitionBy(*region).orderBy("group")
-    everything = Window.partitionBy(*region)
-    groups = groups.withColumn("start", (F.sum("blocks").over(before) - F.col("blocks")).cast("int")).withColumn("all", F.sum("blocks").over(everything).cast("int"))
-    large = groups.where(F.col("group").isNotNull()).withColumnRenamed("group", "comp")
-    small = groups.where(F.col("group").isNull()).drop("group")
-    columns = ["id", "comp", "tree", "key", "blocks", "start", "all", "large"]
-    own = rows.join(large, [*region, "comp"]).withColumn("large", F.lit(True)).select(columns)
-    shared = rows.join(comps.where("not large").select(*region, "comp"), [*region, "comp"], "left_semi").join(small, region).withColumn("large", F.lit(False)).select(columns)
-    rows = own.union(shared).withColumn("mine", F.col("start") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    weight = F.greatest(F.lit(1.0), F.col("n") / 1024.0)
+    comps = rows.groupBy("region", "comp").agg(F.sum(weight).alias("w"), F.count("*").alias("rows"))
+    large = F.when(F.col("w") >= BLOCK, F.struct("comp", _blocks(F.col("w")).alias("blocks")))
+    layout = comps.groupBy("region").agg(
+        F.sum("rows").alias("rows"), F.count("*").alias("comps"), F.sort_array(F.collect_list(large)).alias("large"),
+        F.coalesce(F.sum(F.when(F.col("w") < BLOCK, F.col("w"))), F.lit(0.0)).alias("small"),
+    )
+    # A region's components with a block of their own are fewer than its rows by a factor of BLOCK.
+    layout = layout.where("comps > 1").withColumn("shared", _blocks(F.col("small")))
+
+    def blocks_of(some: Column) -> Column:
+        return F.col("shared") + F.aggregate(some, F.lit(0), lambda s, x: s + x["blocks"])
+
+    starts = F.transform("large", lambda x, i: F.struct(x["comp"].alias("comp"), x["blocks"].alias("blocks"), blocks_of(F.slice("large", F.lit(1), i)).alias("start")))
+    layout = layout.select("region", "rows", "shared", starts.alias("large"), blocks_of(F.col("large")).alias("all"))
+    layout = written(layout, "layout")
+    # The rows of a crowded run have salts; its region has at least as many rows.
+    salts = F.sequence(F.lit(0), F.when(F.col("rows") >= CROWDED, F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    rows = rows.join(layout.withColumn("salt", F.explode(salts)).drop("rows"), ["region", "salt"])
+    own = F.try_element_at(F.filter("large", lambda x: x["comp"] == F.col("comp")), F.lit(1))
+    rows = rows.withColumn("own", own)
+    first, blocks = F.coalesce(F.col("own.start"), F.lit(0)), F.coalesce(F.col("own.blocks"), F.col("shared"))
+    rows = rows.withColumn("mine", first + F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
-    rows = rows.where(~F.col("large") | (F.col("other") < F.col("start")) | (F.col("other") >= F.col("start") + F.col("blocks")))
-    lo, hi = F.least("mine", "other").cast("long"), F.greatest("mine", "other").cast("long")
-    rows = rows.withColumn("block", lo * F.lit(1 << 31) + hi).withColumn("side", F.when(lo == hi, F.lit(2)).otherwise((F.col("mine") == hi).cast("int")))
-    return rows.select("id", "comp", "tree", "key", "block", "side")
+    rows = rows.where(F.col("own").isNull() | (F.col("other") < F.col("own.start")) | (F.col("other") >= F.col("own.start") + F.col("own.blocks")))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    return rows.select("id", "comp", "region", lo.alias("lo"), hi.alias("hi"), F.when(lo == hi, F.lit(2)).otherwise((F.col("mine") == hi).cast("int")).alias("side"))
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of `a` has in common with each of `b`, as a product of 0/1 matrices."""
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    often = times > 1
+    number = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    width = 4096
+    for at in range(0, int(often.sum()), width):
+        s, e = np.searchsorted(column, (at, at + width))
+        x = np.zeros((len(a) + len(b), width), np.float32)
+        x[row[s:e], column[s:e] - at] = 1
+        out += x[: len(a)] @ x[len(a) :].T
+    return out.astype(np.int64)
+
+
+def links_across(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions, of different components and sides, whose sets are alike enough.
+
+    Both ways of comparing are exact; the one with less work is taken.
+    """
+    one = bool(side[0] == 2)
+    a, b = (np.arange(len(comp)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    x, y = n[a][:, None], n[b][None, :]
+    wanted = (comp[a][:, None] != comp[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+    if one:
+        wanted &= a[:, None] < b[None, :]
+    i, j = np.nonzero(wanted)
+    if len(i) * (400 + n.mean()) < 2 * len(a) * len(b) + 100 * n.sum():
+        good = np.array([_alike(sets[p], sets[q], percent) for p, q in zip(a[i], b[j], strict=True)], bool)
+    else:
+        shared = shared_counts([sets[p] for p in a], [sets[q] for q in b])[i, j]
+        good = 100 * shared >= percent * (n[a[i]] + n[b[j]] - shared)
+    return a[i[good]], b[j[good]]
+
+
+def _merged(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows (smallest component, component) of the components that links of positions connect."""
+    names, at = np.unique(comp, return_inverse=True)
+    label, before = np.arange(len(names)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[at[a]], label[at[b]])
+        np.minimum.at(label, at[a], least)
+        np.minimum.at(label, at[b], least)
+        label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return np.stack([names[label[moved]], names[moved]], axis=1)
 
 
-def _pairs_across(rows: DataFrame, percent: int, crowded: bool = False) -> DataFrame:
-    """Pairs of different components inside regions (`tree, key, block`) with alike signatures.
+def _across(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`a, b`: components that are connected by a link inside a pair of blocks.
 
-    Partitions are sorted by region, and a region is compared in memory by blocks of its rows; a
-    pair is reported by the first tree in which both share the first depth. If the regions are the
-    `crowded` ones of the first depth, pairs that share another one there are left out: they have
-    been compared.
+    Full sets travel with the rows, so that a pair of blocks is decided where it meets.
     """
-    orders = tree_orders(HASHES, TREES)
-    p = percent / 100
-    least = int(HASHES * (p - SLACK * (p * (1 - p) / HASHES) ** 0.5))
-
-    def within(tree, ids, comp, side, deep, sig) -> list[np.ndarray]:
-        found, step = [], 64
-        for i in range(0, len(ids), step):
-            for j in range(i, len(ids), step):
-                a, b = slice(i, i + step), slice(j, j + step)
-                # Of a pair of blocks (side 0 and 1), rows of one block are compared in a step of their own.
-                apart = (side[a][:, None] != side[b][None, :]) | (side[a][:, None] == 2)
-                apart &= comp[a][:, None] != comp[b][None, :]
-                if not apart.any():
-                    continue
-                alike = (sig[a][:, None, :] == sig[b][None, :, :]).sum(axis=2)
-                x, y = np.nonzero((alike >= least) & apart)
-                x, y = x + i, y + j
-                x, y = x[x < y], y[x < y]
-                # The first tree with a common region of the first depth reports the pair, unless
-                # that region was too crowded to be compared at that depth.
-                for t in range(TREES if crowded else tree):
-                    if not len(x):
-                        break
-                    first = orders[t][: DEPTHS[0]]
-                    said = (sig[x][:, first] == sig[y][:, first]).all(axis=1) & (((deep[x] >> t) & 1 == 0) | (crowded and t < tree))
-                    x, y = x[~said], y[~said]
-                if len(x):
-                    found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
-        return found
-
-    def compare(frames):
-        rest = None
-        for last, frame in _with_last(frames):
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if not len(frame):
+
+    def groups(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            name = np.stack([held.column(c).to_numpy() for c in ("region", "lo", "hi")])
+            starts = [0, *(np.flatnonzero((name[:, 1:] != name[:, :-1]).any(axis=0)) + 1)]
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                yield held.slice(s, e - s)
+            held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield held
+
+    def compare(batches):
+        for group in groups(batches):
+            comp, side = group.column("comp").to_numpy(), group.column("side").to_numpy()
+            if (comp == comp[0]).all() or (side[0] != 2 and (side == side[0]).all()):
                 continue
-            name = frame[["tree", "key", "block"]].to_numpy()
-            starts = [0, *(np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1)]
-            if last:
-                starts.append(len(frame))
-            tree, ids, comp, side, deep = (frame[c].to_numpy() for c in ("tree", "id", "comp", "side", "deep"))
-            sig = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), HASHES)
-            out = [pair for s, e in zip(starts[:-1], starts[1:], strict=True) for pair in within(tree[s], ids[s:e], comp[s:e], side[s:e], deep[s:e], sig[s:e])]
-            rest = frame.iloc[starts[-1] :]
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    ordered = rows.repartition("tree", "key", "block").sortWithinPartitions("tree", "key", "block", "side", "comp", "id")
-    return ordered.mapInPandas(compare, "a long, b long").distinct()
-
-
-def _unresolved(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs of `members(id, comp, signature)` across components, by adaptive regions.
-
-    Besides, the rows `id, tree, key` of the regions that are crowded at the first depth, with `deep`,
-    the trees in which the row's region is so; None if there are none.
-    """
-    left, final, crowded, rest = members.select("id", "comp", "signature"), [], None, None
-    for depth in DEPTHS:
-        rows = _regions(left, depth, ["id", "comp"])
-        if crowded is not None:
-            rows = rows.join(crowded, ["id", "tree"], "left_semi")
-        rows = written(rows, "regions")
-        sizes = rows.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        rows = written(rows.join(sizes.select("tree", "key", "n"), ["tree", "key"]), "regions")
-        final.append(rows.where(F.col("n") <= REGION_ROWS).select("id", "comp", "tree", "key", F.lit(0).cast("long").alias("block"), F.lit(2).alias("side")))
-        crowded = written(rows.where(F.col("n") > REGION_ROWS).select("id", "comp", "tree", "key"), "crowded")
-        if crowded.isEmpty():
-            break
-        if depth == DEPTHS[0]:
-            deep = written(crowded.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, tree)")).alias("deep")), "deep")
-            rest = crowded.select("id", "tree", "key").join(deep, "id")
-        if depth == DEPTHS[-1]:
-            final.append(_dealt(crowded))
-            break
-        left = members.select("id", "comp", "signature").join(crowded.select("id").distinct(), "id", "left_semi")
-    rows = functools.reduce(DataFrame.unionByName, final).join(members.select("id", "signature"), "id")
-    if rest is not None:
-        rows = rows.join(deep, "id", "left").fillna(0, ["deep"])
-    else:
-        rows = rows.withColumn("deep", F.lit(0).cast("long"))
-    return _pairs_across(rows, percent), rest
+            a, b = links_across(comp, side, [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()], percent)
+            if len(a):
+                found = _merged(comp, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    rows = dealt.join(sets.select("id", "set"), "id").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "side")
+    return rows.select("region", "lo", "hi", "side", "comp", "set").mapInArrow(compare, "a long, b long").distinct()
+
 
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """`id, n, set` of the documents whose doc_id is in `wanted`; one row for each text of a doc_id."""
 
-def _rest(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of `members` across components in the crowded regions `rest` of the first depth."""
-    rows = written(rest.drop("deep").join(members.select("id", "comp"), "id"), "rest")
-    mixed = rows.groupBy("tree", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rows = _dealt(written(rows.join(mixed.select("tree", "key"), ["tree", "key"], "left_semi"), "rest"))
-    rows = rows.join(members.select("id", "signature"), "id").join(rest.select("id", "deep").distinct(), "id")
-    return _pairs_across(rows, percent, crowded=True)
+    def sets_of(batches):
+        for batch in slices(batches, 128):
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["id", "n", "set"],
+            )
+
+    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    return texts.mapInArrow(sets_of, "id long, n long, set binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
@@ -298,57 +396,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     hundred of their union; `component_id` is the smallest doc_id reachable over links. Rows with
     equal sets are one class. Documents without words (null or empty text) are linked with nothing,
     not even each other. A row with a null doc_id has a null component and is not kept; rows that
-    repeat a doc_id each get a row, by their own text. An empty table gives no rows; other columns are ignored.
+    repeat a doc_id each get a row, with their own n_shingles, and are one document with several
+    texts when it comes to links. An empty table gives no rows; other columns are ignored.
     """
     described = written(_describe(docs, words), "described")
     identified = described.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(identified.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
-
-    # First round: each class with the smallest one of its region, in every tree.
-    rows = written(_regions(classes, DEPTHS[0], ["id"]), "regions")
-    hubs = rows.groupBy("tree", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = written(rows.join(hubs, ["tree", "key"]), "regions")
-    met = written(rows.select("id").distinct(), "met")
-    wanted = met.withColumnRenamed("id", "doc_id")
-
-    def sets_of(batches):
-        for batch in slices(batches, 128):
-            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "set"])
-
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(sets_of, "id long, n long, set binary")
-    sets = written(sets.dropDuplicates(["id", "set"]) if _repeats(described) else sets, "sets")
-
-    pairs = rows.where("a < id").select("a", F.col("id").alias("b")).distinct()
-    links = written(confirmed(pairs, sets, percent), "links")
+    classes = identified.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.count("*").alias("rows"))
+    classes = written(classes, "classes")
+    met = written(_met(_orders(classes)), "met")
+
+    # First round: the first of a row's part and its neighbours of the longest prefix, over all trees.
+    def nearest(side: str) -> Column:
+        return F.max(F.when(F.col(side).isNotNull(), F.struct(f"{side}_common", side)))[side]
+
+    near = met.groupBy("id").agg(F.min("first").alias("first"), nearest("before").alias("before"), nearest("after").alias("after"), F.count("*").alias("regions"))
+    near = written(near, "near")
+    pairs = near.select("id", F.explode(F.array("first", "before", "after")).alias("other")).where("other <> id")
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    repeats = identified.groupBy("doc_id").count().where("count > 1")
+    repeated = not repeats.isEmpty()
+    sets = _sets(docs, near.select("id"), words)
+    sets = written(sets.dropDuplicates(["id", "set"]) if repeated else sets, "sets")
+    links = confirmed(pairs, sets, percent)
+    if repeated:  # a doc_id of several texts links the classes of these texts
+        own = identified.join(repeats, "doc_id", "left_semi").join(classes.select("digest", "id"), "digest")
+        links = links.union(own.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
+    links = written(links, "links")
     found = written(components(links), "components")
 
-    # Second round: whatever the regions hold across the components found so far.
-    def in_components() -> DataFrame:
-        known = met.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-        return written(classes.select("id", "signature").join(known, "id"), "members")
-
-    pairs, rest = _unresolved(in_components(), percent)
-    pairs = pairs if rest is None else written(pairs, "pairs")
-    more = written(confirmed(pairs, sets, percent), "links")
-    if not more.isEmpty():
-        links = links.union(more)
-        found = written(components(links), "components")
-
-    # Third round: pairs of crowded regions that still lie across components, at the first depth.
-    if rest is not None:
-        new = _rest(rest, in_components(), percent).join(pairs, ["a", "b"], "left_anti")
-        more = written(confirmed(new, sets, percent), "links")
-        if not more.isEmpty():
-            found = written(components(links.union(more)), "components")
-
-    by_class = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = described.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    # Second round: whatever regions hold across the components found so far.
+    sizes = sets.groupBy("id").agg(F.max("n").alias("n")).join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
+    rows = written(met.select("id", "region", "salt").join(sizes, "id"), "regions")
+    merged = written(_across(_dealt(rows), sets, percent), "merged")
+    if not merged.isEmpty():
+        found = written(components(links.union(merged)), "components")
+
+    # Classes of one row that are linked with nothing keep their own doc_id.
+    shared = classes.join(found, "id", "left").where((F.col("rows") > 1) | F.col("component").isNotNull())
+    shared = written(shared.select("digest", F.coalesce("component", "id").alias("component")), "shared")
+    out = joined_by_hot_key(described.select("doc_id", "n_shingles", "digest"), shared, "digest", F.col("doc_id"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
-
-
-def _repeats(described: DataFrame) -> bool:
-    """Whether a doc_id occurs in more than one row."""
-    return not described.groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -13,38 +13,9 @@ from pyspark.sql import functions as F
 
 from proteinscan.llm import common, components, langid, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
 from proteinscan.llm.queries import QUERIES, RANK_FILE
+from tests.llm.conftest import brute_components, documents, words
 
 RANKS = (public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, length long, bucket string"
-
-
-def words(rng, n):
-    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(n))
-
-
-def documents(spark, texts, source=lambda i: f"s{i % 3}"):
-    """Rows with extra columns whose names clash with inner ones."""
-    return spark.createDataFrame([(i, t, "en", source(i), 0, 1, 2, "x") for i, t in enumerate(texts)], SCHEMA)
-
-
-@pytest.fixture(scope="module")
-def texts():
-    rng = random.Random(3)
-    base = words(rng, 120)
-    near = base.replace(base.split()[60], "changed", 1)
-    return [None, "", " ", "one", "One", "a b c d", base, base, near, words(rng, 30_000), *(words(rng, rng.randint(1, 400)) for _ in range(50)), base.upper()]
-
-
-@pytest.fixture(scope="module")
-def docs(spark, texts):
-    return documents(spark, texts)
-
-
-@pytest.fixture(scope="module")
-def none(spark, docs):
-    return docs.where("false")
-
-
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
@@ -81,65 +52,6 @@ def test_shortest_pack_first_places_all():
     assert packing.shortest_pack_first({100: 25}, 1024) == [((100,) * 5, 1), ((100,) * 10, 2)]
 
 
-def brute_components(texts, percent):
-    sets = {}
-    for i, t in enumerate(texts):
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    group, before = {i: i for i in sets}, None
-    while group != before:
-        before = dict(group)
-        for a, b in links:
-            group[a] = group[b] = min(group[a], group[b])
-    return {i: (len(sets[i]), group[i]) for i in sets}
-
-
-def test_near_duplicates(docs, texts, none):
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
-    assert found == brute_components(texts, 85)
-    assert neardup.near_duplicates(none).count() == 0
-
-
-def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
-    """A star of near copies around one text, with regions of few rows, so that they deepen and split into blocks."""
-    rng = random.Random(5)
-    base = words(rng, 150).split()
-    copies = []
-    for _ in range(70):
-        copy = list(base)
-        for k in rng.sample(range(150), 2):
-            copy[k] = words(rng, 1) + "x"
-        copies.append(" ".join(copy))
-    texts = [*copies, " ".join(base)]
-    monkeypatch.setattr(neardup, "REGION_ROWS", 40)
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(spark, texts)).collect()}
-    assert found == brute_components(texts, 85)
-
-
-def test_near_duplicates_in_a_crowded_family(spark, monkeypatch):
-    """Variants of one text, each alike enough to one other only: no link goes through a hub, all regions are crowded."""
-    rng = random.Random(6)
-    base, slots = words(rng, 190).split(), range(4, 186, 5)
-    texts, used = [], set()
-
-    def variant(changed, tag):
-        return " ".join(f"{w}{tag}x" if k in changed else w for k, w in enumerate(base))
-
-    for unit in range(4000):
-        a, b, c, d = rng.sample(slots, 4)
-        pairs = {frozenset(p) for p in ((a, b), (a, c), (b, c), (a, d), (b, d))}
-        if not pairs & used:
-            used |= pairs
-            texts += [variant({a, b, c}, unit), variant({a, b, d}, f"{unit}y")]
-    rng.shuffle(texts)
-    monkeypatch.setattr(neardup, "REGION_ROWS", 8)
-    expected = brute_components(texts, 80)
-    assert len(texts) > 120 and 2 * len({c for _, c in expected.values()}) == len(texts)
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(spark, texts), 80).collect()}
-    assert found == expected
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70)]
     found = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
