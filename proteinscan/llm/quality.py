@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import dataclasses
-import re
+import functools
+import math
 
 import numpy as np
 import pandas as pd
@@ -20,34 +21,60 @@ STATISTICS = (
     "words", "word_length", "word_length_spread", "letter_share", "space_share", "symbol_share", "pipe_share", "digit_share",
     "stop_share", "distinct_share", "repeated_lines", "line_words", "capital_share", "edge_symbol_share",
 )
-_LETTERS = re.compile(r"[^\W\d_]")
-_SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]|_")
-_EDGES = re.compile(r"\S[^\w\s.,;:!?'\"()-]+(?=\s|$)")
-_CAPITALS = re.compile(r"(?<!\S)[^\W\d_a-z]")
+_LETTER, _SPACE, _SYMBOL, _EDGE, _DIGIT, _PIPE, _CAPITAL = (1 << k for k in range(7))
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """What each code point is, as bits: an edge symbol is a symbol but no underscore."""
+    out = np.zeros(0x110000, np.uint8)
+    for code in range(len(out)):
+        ch = chr(code)
+        if ch.isspace():
+            out[code] = _SPACE
+        elif ch.isalnum():
+            out[code] = _DIGIT if "0" <= ch <= "9" else 0 if ch.isdecimal() else _LETTER if "a" <= ch <= "z" else _LETTER | _CAPITAL
+        elif ch == "_":
+            out[code] = _SYMBOL
+        elif ch not in ".,;:!?'\"()-":
+            out[code] = _SYMBOL | _EDGE | (_PIPE if ch == "|" else 0)
+    return out
 
 
 def statistics(text: str | None) -> list[float]:
     """Statistics of a whole text, each through a log or a logit so that both tails count alike."""
     text = text or ""
-    words = text.split()
-    n, chars = len(words), max(1, len(text))
-    lengths = np.fromiter(map(len, words), np.float64, n) if n else np.zeros(1)
-    short = sum(1 for w in words if len(w) <= 3)
+    kinds = _classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    space = np.concatenate([[True], kinds & _SPACE > 0, [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:]) - 1
+    n, chars = len(starts), max(1, len(text))
+    lengths = ends - starts + 1 if n else np.zeros(1)
     lines = text.split("\n")
-    symbols = len(_SYMBOLS.findall(text))
 
-    def logit(count: float, of: float) -> float:
-        p = (count + 0.5) / (of + 1.0)
-        return float(np.log(p / max(1e-9, 1 - p))) if p < 1 else 10.0
+    def count(bit: int) -> int:
+        return int(np.count_nonzero(kinds & bit))
 
-    letters = len(_LETTERS.findall(text))
+    def logit(part: float, of: float) -> float:
+        p = (part + 0.5) / (of + 1.0)
+        return math.log(p / max(1e-9, 1 - p)) if p < 1 else 10.0
+
+    capitals = int(np.count_nonzero(kinds[starts] & _CAPITAL))
+    edges = int(np.count_nonzero((kinds[ends] & _EDGE > 0) & (lengths > 1))) if n else 0
     return [
-        float(np.log1p(n)), float(np.log1p(lengths.mean())), float(np.log1p(lengths.std())), logit(letters, chars), logit(chars - sum(map(len, words)) if n else 0, chars),
-        logit(symbols, chars), logit(text.count("|"), max(1, n)), logit(sum(map(text.count, "0123456789")), chars), logit(short, max(1, n)), logit(len(set(words)), max(1, n)),
-        logit(len(lines) - len(set(lines)), len(lines)), float(np.log1p(n / len(lines))), logit(len(_CAPITALS.findall(text)), max(1, n)), logit(len(_EDGES.findall(text)), max(1, n)),
+        math.log1p(n), math.log1p(lengths.mean()), math.log1p(lengths.std()), logit(count(_LETTER), chars), logit(chars - lengths.sum() if n else 0, chars),
+        logit(count(_SYMBOL), chars), logit(count(_PIPE), max(1, n)), logit(count(_DIGIT), chars), logit(int((lengths <= 3).sum()) if n else 0, max(1, n)),
+        logit(len(set(text.split())), max(1, n)), logit(len(lines) - len(set(lines)), len(lines)), math.log1p(n / len(lines)), logit(capitals, max(1, n)), logit(edges, max(1, n)),
     ]
 
 
+def solve_lower(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution y of `factor` y = b for a lower triangular factor, by forward substitution."""
+    y = np.empty_like(b)
+    for i in range(len(factor)):
+        y[i] = (b[i] - factor[i, :i] @ y[:i]) / factor[i, i]
+    return y
+
+
 @dataclasses.dataclass(frozen=True)
 class Discriminant:
     """Per class: log prior, mean, Cholesky factor of the shrunken covariance, its log determinant."""
@@ -60,16 +87,19 @@ class Discriminant:
     log_dets: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Probability of class 1, from the difference of the Mahalanobis log densities."""
+        """Probability of class 1, from the difference of the Mahalanobis log densities.
+
+        The factors are made once, when the model is fitted. The difference is divided by the
+        number of statistics: these depend on each other, so densities overstate their evidence; a
+        tempered difference keeps its sign and does not saturate.
+        """
         if not len(self.priors):
             return np.full(len(x), 0.5)
         z = np.clip((x - self.center) / self.scale, -8, 8)
         log_density = []
         for prior, mean, factor, log_det in zip(self.priors, self.means, self.factors, self.log_dets, strict=True):
-            y = np.linalg.solve(factor, (z - mean).T)
+            y = solve_lower(factor, (z - mean).T)
             log_density.append(prior - 0.5 * (y * y).sum(axis=0) - 0.5 * log_det)
-        # Text statistics depend on each other, so densities overstate their evidence; a tempered
-        # difference keeps its sign and does not saturate.
         return 1.0 / (1.0 + np.exp(-np.clip((log_density[1] - log_density[0]) / len(self.center), -30, 30)))
 
 
@@ -129,7 +159,8 @@ def score_quality(docs: DataFrame, model: Discriminant, keep: list[str] | None =
     """`docs` (or its columns `keep`) with `score` (0 to 1) and `predicted`.
 
     Every row and whole text is scored, a null text like an empty one; with a class that has no
-    labels every score is 0.5. Repeated rows score alike; an empty table gives no rows.
+    labels every score is 0.5. Repeated rows score alike, ids may be null, columns that have the
+    name of a new one are replaced; an empty table gives no rows.
     """
 
     def score(texts: list) -> tuple:
