@@ -8,12 +8,15 @@ holds), and the resulting patterns are joined back to the pieces by their rank w
 from __future__ import annotations
 
 import base64
+import dataclasses
 import functools
 import heapq
+import json
 import zlib
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,17 +28,36 @@ BUCKET_ROWS = 5000
 MIN_BUCKETS = 64
 
 
+@dataclasses.dataclass(frozen=True)
+class Vocabulary:
+    """Files of one vocabulary, by name or path, and the pattern that splits text before its merges.
+
+    Names are looked up where a task runs.
+    """
+
+    ranks: str = "byte_bpe_50k.tiktoken"
+    tokenizer: str = "byte_bpe_50k.json"
+    pattern: str = public_tokenizers.PATTERN
+
+
 @functools.lru_cache(maxsize=2)
-def rank_encoder(rank_path: str, pattern: str):
-    """Encoder over a rank file; it gives the ids of the equal `tokenizers` vocabulary."""
+def encoder(vocabulary: Vocabulary):
+    """Function from a text to its ids: those of the vocabulary's `tokenizers` file.
+
+    The rank file is read much faster than that one but knows no special tokens; they are taken
+    from the tokenizer's file, and their strings in a text are read as `tokenizers` reads them.
+    """
     import tiktoken
 
-    with open(rank_path, "rb") as lines:
+    with open(public_tokenizers.path(vocabulary.ranks), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(vocabulary.tokenizer)) as described:
+        special = {t["content"]: t["id"] for t in json.load(described)["added_tokens"]}
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=special)
+    return functools.partial(encoding.encode, allowed_special="all")
 
 
-def document_pieces(docs: DataFrame, rank_path: str, pattern: str, max_len: int = 1024, end_id: int = 0) -> DataFrame:
+def document_pieces(docs: DataFrame, vocabulary: Vocabulary, max_len: int = 1024, end_id: int = 0) -> DataFrame:
     """One row per piece of at most `max_len` ids: full pieces from the start, then the remainder.
 
     A document's ids are those of its text (null counts as empty) and `end_id`. `ids_crc32` is
@@ -43,11 +65,11 @@ def document_pieces(docs: DataFrame, rank_path: str, pattern: str, max_len: int
     """
 
     def cut(batches):
-        encoder = rank_encoder(rank_path, pattern)
+        encode = encoder(vocabulary)
         for batch in slices(batches):
             out = ([], [], [], [], [])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encoder.encode_ordinary(text or ""), end_id], dtype="<u4")
+                ids = np.array([*encode(text or ""), end_id], dtype="<u4")
                 for start in range(0, len(ids), max_len):
                     piece = ids[start : start + max_len]
                     for column, value in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
@@ -112,19 +134,20 @@ def slot_table(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[n
     return {k: tuple(np.array(x, dtype=np.int64) for x in zip(*v, strict=True)) for k, v in slots.items()}
 
 
-def pack(docs: DataFrame, rank_path: str, pattern: str, max_len: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: Vocabulary = Vocabulary(), max_len: int = 1024, end_id: int = 0) -> DataFrame:
     """Pieces with `sequence_id` and `offset`.
 
     Every row of `docs` is packed. Null and empty texts are one piece of one id, repeated rows are
-    packed as often as they occur, and an empty table gives no rows. Other columns are ignored.
+    packed as often as they occur, ids may be null, and an empty table gives no rows. Other columns
+    are ignored.
     """
-    pieces = written(document_pieces(docs, rank_path, pattern, max_len, end_id), "pieces")
+    pieces = written(document_pieces(docs, vocabulary, max_len, end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_len rows
     slots = slot_table(shortest_pack_first(histogram, max_len))
 
     # Rank within a length: ranks inside a bucket, plus the counts of the buckets before it.
     buckets = max(MIN_BUCKETS, sum(histogram.values()) // BUCKET_ROWS)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))
