@@ -17,24 +17,48 @@ found AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)
 SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(found.component, sets.doc_id) AS component_id, sets.doc_id = coalesce(found.component, sets.doc_id) AS kept
 FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN found ON found.id = classes.id"""
 
-_SYMBOLS = "#$%&*|{}<>^~=\\"
-MIXING = f"""WITH sized AS (
-  SELECT doc_id, source, size, greatest(0.1, 1.0::DOUBLE / (1.0::DOUBLE + 2.0::DOUBLE * (length(text) - length(translate(text, '{_SYMBOLS}', ''))) / greatest(size, 1))) AS w
-  FROM (SELECT doc_id, source, coalesce(text, '') AS text, len({_WORDS}) AS size FROM documents)),
-s1 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sized GROUP BY source),
-s2 AS (SELECT *, (sid % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s1),
-s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
-s4 AS (SELECT source, sid, source_size, least(cap, max(level) OVER () * weight) AS target FROM s3),
-s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM s4),
-s6 AS (SELECT *, round(target - epochs * source_size)::BIGINT AS budget FROM s5),
-keyed AS (SELECT d.*, s6.* EXCLUDE (source), -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / w AS key FROM sized d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
-placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed)
-SELECT doc_id, size, source_size, target, (epochs * size + CASE WHEN epochs >= 3 THEN 0 ELSE least(size, greatest(0, budget - before)) END)::BIGINT AS taken FROM placed"""
-
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _GROUPS = " || ".join(f"to_base(('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT, 32, 8)" for k in range(4))
 WARC = f"""SELECT page_id, payload_bytes, translate({_GROUPS}, '{_DIGITS}', '{_BASE32}') AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)"""
 
-ORACLES = {"op3_minhash_near_dedup": NEAR_DEDUP, "op4_mixing": MIXING, "op7_warc": WARC}
+#: CRC-32 byte by byte: the table of its remainders, then a fold over the text's bytes.
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])))"
+
+SHARDING = f"""WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
+rows AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, md5(coalesce(text, '')) AS h, {_CRC} AS text_crc32 FROM documents, crc_table),
+placed AS (
+  SELECT *, row_number() OVER o - 1 AS row, sum(size) OVER () AS total,
+    ((2 * coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size) * 24) // (2 * sum(size) OVER ()) AS cut
+  FROM rows WINDOW o AS (ORDER BY h, doc_id NULLS FIRST, size)),
+grouped AS (SELECT *, min(cut) OVER g AS first_cut, max(cut) OVER g AS last_cut, sum(size) OVER g AS b FROM placed WINDOW g AS (PARTITION BY h)),
+sharded AS (SELECT *, CASE WHEN first_cut < last_cut AND b * 24 * 20 <= total THEN first_cut ELSE cut END AS shard FROM grouped)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row - min(row) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded"""
+
+_RUNS = "list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16))"
+
+
+def _hashes(text: str) -> str:
+    return f"(SELECT CASE WHEN len(w) = 0 THEN [] ELSE {_RUNS} END FROM (SELECT list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w))"
+
+
+def _contained(a: str, b: str) -> str:
+    return f"CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) WHEN len({a}) = len({b}) THEN 1.0 ELSE 0.0 END"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}_low) > 0 AND len({b}_low) > 0 THEN {_contained(a + '_low', b + '_low')} ELSE {_contained(a, b)} END"
+
+
+FINGERPRINTS = f"""WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+pairs AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first(text) OVER (ORDER BY doc_id DESC)) AS after FROM rows),
+edits AS (SELECT *, left(text, length(text) - length(text) // 3) || left(after, length(text) // 3) AS edited FROM pairs),
+hashed AS (SELECT *, list_distinct({_hashes('text')}) AS a, list_distinct({_hashes('edited')}) AS e, list_distinct({_hashes('after')}) AS n FROM edits),
+low AS (SELECT *, list_sort(list_filter(a, lambda x: x < '10000000')) AS a_low, list_sort(list_filter(e, lambda x: x < '10000000')) AS e_low, list_filter(n, lambda x: x < '10000000') AS n_low FROM hashed)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, coalesce(array_to_string(a_low, ','), '') AS fingerprint, coalesce(array_to_string(e_low, ','), '') AS edited_fingerprint, {_alike('a', 'e')} AS near_edited, {_alike('a', 'n')} AS near_next FROM low"""
+
+ORACLES = {
+    "op3_minhash_near_dedup": NEAR_DEDUP, "op7_warc": WARC, "op9_sharding": SHARDING, "op10_document_fingerprints": FINGERPRINTS,
+}

@@ -1,7 +1,9 @@
 """Threshold-scaled fingerprints: every shingle hash below a fixed fraction. DataFrame functions only.
 
 Two sketches made with one fraction are comparable whatever their documents' lengths: the union of
-sketches is the sketch of the union, and the shared share of a sketch estimates containment.
+sketches is the sketch of the union, and the shared share of a sketch estimates containment. A text
+of few shingles may have no hash below the limit; its sketch is empty, and its likeness to another
+text is then read from the full hashes of both.
 """
 
 from __future__ import annotations
@@ -9,39 +11,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 WORDS = 5
-FRACTION = 0.25
-#: Ranges of doc_id: several for each shuffle partition, and at most so many in all.
-RANGES_PER_PARTITION = 4
+#: Share of all hashes that a sketch keeps. A hash takes 16 characters of a fingerprint as text and
+#: a shingle about 6 of its document, so a fingerprint is about a sixth of its text.
+FRACTION = 1 / 16
+#: Bytes of text that a range of doc_id holds, about, and the number of ranges at most.
+RANGE_BYTES = 16 << 20
 MAX_RANGES = 65_536
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """Hashes of the text's runs of `words` words; with fewer words, of all of them as one."""
+    """The first 16 hexadecimal digits of the MD5 of each run of `words` words; with fewer words, of all of them."""
     tokens = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
 
-    def runs(h: Column) -> Column:
-        last = F.greatest(F.size(h) - F.lit(words - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*[F.try_element_at(h, i + F.lit(k)) for k in range(words)]))
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - F.lit(words - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, F.lit(words)), " ").cast("binary")), 1, 16))
 
-    return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, runs(h)).otherwise(F.array().cast("array<bigint>"))), 1)
+    return F.element_at(F.transform(F.array(tokens), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<string>"))), 1)
 
 
-def sketch(text: Column, fraction: float = FRACTION, words: int = WORDS) -> Column:
-    """Sorted distinct hashes below `fraction` of the range, else the smallest one alone.
+def limit(fraction: float) -> str:
+    """Hashes below this string are the `fraction` that sketches keep."""
+    if not 0 < fraction < 1:
+        raise ValueError(f"fraction is {fraction}; it must be between 0 and 1")
+    return f"{int(fraction * 16**8):08x}"
 
-    The smallest hash stands in for documents so short that none falls below, so that only texts
-    without words have an empty sketch.
-    """
-    limit = F.lit(int(-(2**63) + fraction * 2**64))
 
-    def keep(all_hashes: Column) -> Column:
-        low = F.filter(all_hashes, lambda x: x < limit)
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(all_hashes) > 0, F.array(F.array_min(all_hashes))).otherwise(low)
+def sketch_of(hashes: Column, fraction: float = FRACTION) -> Column:
+    """Sorted distinct hashes below `fraction` of the range; none of a short text may be."""
+    return F.array_sort(F.array_distinct(F.filter(hashes, lambda x: x < F.lit(limit(fraction)))))
+
 
-    return F.element_at(F.transform(F.array(shingle_hashes(text, words)), keep), 1)
+def sketch(text: Column, fraction: float = FRACTION, words: int = WORDS) -> Column:
+    return sketch_of(shingle_hashes(text, words), fraction)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -50,13 +53,18 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, shared / least).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+def likeness(a: Column, b: Column, hashes_a: Column, hashes_b: Column) -> Column:
+    """Containment of the sketches `a` and `b`; if one is empty, that of the texts' full hashes."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), containment(a, b)).otherwise(containment(F.array_distinct(hashes_a), F.array_distinct(hashes_b)))
+
+
 def merge(a: Column, b: Column) -> Column:
     """Sketch of both documents together."""
     return F.array_sort(F.array_union(a, b))
 
 
 def as_text(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda x: F.lower(F.hex(x))), ",")
+    return F.array_join(hashes, ",")
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -73,27 +81,33 @@ def _range_of(value: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows `doc_id, text` with `next_text`, the text of the next smaller doc_id (after the last: of the first).
 
-    Ids are dealt into ranges; a range gets, as its last row, a copy of the first row of the range
-    after it, so that one shuffle of the texts is enough. Rows without an id come last, and rows
-    that share an id are ordered by their text.
+    Ids are dealt into ranges by the bytes of their texts; an id that many rows share, or that many
+    lack, has several ranges, by a hash of the text. A range gets, as its last row, a copy of the
+    first row of the range after it, so that one shuffle of the texts is enough. Rows without an id
+    come last; rows that share one are ordered by that hash, then by text.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = min(MAX_RANGES, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order_by = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    rows = docs.select(order_by.alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    ranges = min(MAX_RANGES, max(8, size // RANGE_BYTES))
     shares = [k / ranges for k in range(1, ranges)]
-    found = rows.agg(F.percentile_approx("id", F.lit(shares), 10 * ranges).alias("p")).first()["p"] or []
-    bounds = sorted(set(found))
-    rows = rows.withColumn("range", F.lit(len(bounds)) - _range_of(F.col("id"), bounds)).withColumn("guest", F.lit(False))
-
-    heads = rows.groupBy("range").agg(F.max("id").alias("id"))  # a row per range, MAX_RANGES at most
+    bounds = sorted(rows.agg(F.percentile_approx("id", F.lit(shares), 10 * ranges).alias("p")).first()["p"] or [])
+    # Ids that are a bound several times are that often too frequent for one range.
+    upto = _range_of(F.col("id"), bounds)
+    times = upto - F.when(F.col("id") > -(2**63), _range_of(F.col("id") - 1, bounds)).otherwise(F.lit(0))
+    place = F.col("h") / F.lit(2.0**64) + F.lit(0.5)
+    rows = rows.withColumn("range", F.lit(len(bounds)) - upto + F.least(F.floor(place * times).cast("int"), F.greatest(times - 1, F.lit(0))))
+    rows = rows.withColumn("guest", F.lit(False))
+
+    # A row per range, MAX_RANGES at most: what comes first in it goes to the range before it too.
+    heads = rows.groupBy("range").agg(F.min(F.struct(F.bitwise_not("id").alias("k"), "h")).alias("head"))
     order = Window.orderBy("range")
     ring = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("id", F.coalesce(F.lag("range").over(order), F.last("range").over(ring)).alias("to"))
-    guests = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    guests = guests.join(F.broadcast(heads), "id").groupBy("id", "to").agg(F.min("text").alias("text"))
-    guests = guests.select("id", F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("range"), F.lit(True).alias("guest"))
+    heads = heads.select(F.bitwise_not("head.k").alias("id"), "head.h", F.coalesce(F.lag("range").over(order), F.last("range").over(ring)).alias("to"))
+    guests = rows.select("id", "h", "text").join(F.broadcast(heads), ["id", "h"]).groupBy("id", "h", "to").agg(F.min("text").alias("text"))
+    guests = guests.select("id", F.lit(None).cast("long").alias("doc_id"), "text", "h", F.col("to").alias("range"), F.lit(True).alias("guest"))
 
-    within = Window.partitionBy("range").orderBy("guest", F.desc("id"), "text")
+    within = Window.partitionBy("range").orderBy("guest", F.desc("id"), "h", "text")
     return rows.unionByName(guests).withColumn("next_text", F.lead("text").over(within))
 
 
@@ -102,14 +116,19 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS
 
     Returns `doc_id, n_chars, edited, sketch, edited_sketch, near_edited, near_next`. The edited
     text has its last third replaced by the start of the next document's. Null texts count as
-    empty; equal texts have equal sketches; repeated rows give a row each; an empty table none.
+    empty; equal texts have equal sketches; two texts without words are alike by 1, one and a text
+    with words by 0; repeated rows give a row each; an empty table none; other columns are ignored.
     """
     rows = with_next(docs)
-    within = Window.partitionBy("range").orderBy("guest", F.desc("id"), "text")
+    within = Window.partitionBy("range").orderBy("guest", F.desc("id"), "h", "text")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("sketch", sketch(F.col("text"), fraction, words)).withColumn("next_sketch", F.lead("sketch").over(within))
     rows = rows.where(~F.col("guest"))
-    rows = rows.select("doc_id", "sketch", "next_sketch", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
+    rows = rows.select("doc_id", "text", "next_text", "sketch", "next_sketch", n.cast("long").alias("n_chars"), edited.alias("edited"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), fraction, words))
-    return rows.select("doc_id", "n_chars", "edited", "sketch", "edited_sketch", containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    full = shingle_hashes(F.col("text"), words)
+    near_edited = likeness(F.col("sketch"), F.col("edited_sketch"), full, shingle_hashes(F.col("edited"), words))
+    near_next = likeness(F.col("sketch"), F.col("next_sketch"), full, shingle_hashes(F.col("next_text"), words))
+    return rows.select("doc_id", "n_chars", "edited", "sketch", "edited_sketch", near_edited.alias("near_edited"), near_next.alias("near_next"))
