@@ -47,48 +47,64 @@ def padded(data: bytes, block: int = BLOCK) -> bytes:
 
 
 _WINDOW = np.hanning(FRAME).astype(np.float32)
-#: Peaks are taken from these bands of the spectrum, one each.
-_BANDS = ((2, 40), (40, 160), (160, FRAME // 2 + 1))
+#: Bands of the spectrum; a frame has at most one peak in each.
+BANDS = ((2, 40), (40, 160), (160, FRAME // 2))
+#: Frames that are transformed at once, so that a long recording needs little memory.
+FRAMES = 512
+
+
+def spectrum(frames: np.ndarray) -> np.ndarray:
+    """Magnitudes of the windowed Fourier transform of each frame."""
+    return np.abs(np.fft.rfft(frames * _WINDOW, axis=1))
 
 
 def spectral_pairs(samples: bytes) -> np.ndarray:
     """Rows (frame, bin, bin of a later peak, frames between) of a short-time Fourier transform.
 
-    In each frame the strongest bin of each band is a peak if it exceeds the band's mean in the
-    whole recording; a frame's strongest peak is paired with those of the next `FAN_OUT` frames.
+    The strongest bin of a band is a peak of its frame if no bin beside it is stronger and it
+    exceeds the band's mean over the whole recording. A peak is paired with the peaks of the same
+    band in the next `FAN_OUT` frames. A recording without a pair has one of gap 0: the strongest
+    bin of its first frame with itself.
     """
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
     if len(x) < FRAME:
         x = np.pad(x, (0, FRAME - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    strongest = np.empty(len(frames), np.int32)
-    present = np.empty(len(frames), bool)
-    for at in range(0, len(frames), 512):  # so that a long recording needs little memory at once
-        power = np.abs(np.fft.rfft(frames[at : at + 512] * _WINDOW, axis=1))
-        peaks = np.stack([power[:, a:b].argmax(axis=1) + a for a, b in _BANDS], axis=1)
-        ratio = np.stack([power[:, a:b].max(axis=1) / (power[:, a:b].mean(axis=1) + 1e-6) for a, b in _BANDS], axis=1)
-        pick = ratio.argmax(axis=1)
-        strongest[at : at + 512] = peaks[np.arange(len(pick)), pick]
-        present[at : at + 512] = ratio.max(axis=1) > 1
+    n = len(frames)
+    bins, level = np.empty((n, len(BANDS)), np.int32), np.empty((n, len(BANDS)), np.float32)
+    local, total = np.empty((n, len(BANDS)), bool), np.zeros(len(BANDS))
+    loudest = 0
+    for at in range(0, n, FRAMES):
+        power = spectrum(frames[at : at + FRAMES])
+        rows, part = np.arange(len(power)), slice(at, at + len(power))
+        if at == 0:
+            loudest = int(power[0].argmax())
+        for k, (low, high) in enumerate(BANDS):
+            top = power[:, low:high].argmax(axis=1) + low
+            bins[part, k], level[part, k] = top, power[rows, top]
+            local[part, k] = (power[rows, top - 1] <= level[part, k]) & (power[rows, top + 1] <= level[part, k])
+            total[k] += power[:, low:high].sum(dtype=np.float64)
+    mean = total / (n * np.array([high - low for low, high in BANDS]))
+    peak = local & (level > mean)
     out = []
     for gap in range(1, FAN_OUT + 1):
-        both = np.flatnonzero(present[:-gap] & present[gap:])
-        out.append(np.stack([both, strongest[both], strongest[both + gap], np.full(len(both), gap)], axis=1))
+        at, band = np.nonzero(peak[:-gap] & peak[gap:])
+        out.append(np.stack([at, bins[at, band], bins[at + gap, band], np.full(len(at), gap)], axis=1))
     pairs = np.concatenate(out).astype(np.int32)
     if not len(pairs):
-        pairs = np.array([[0, strongest[0], strongest[0], 0]], np.int32)
-    return pairs[np.lexsort((pairs[:, 3], pairs[:, 0]))]
+        return np.array([[0, loudest, loudest, 0]], np.int32)
+    return pairs[np.lexsort((pairs[:, 3], pairs[:, 1], pairs[:, 0]))]
 
 
 def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """Media digests and time-coded spectral pairs of every text, `media` itself on request.
 
     The text's UTF-8 bytes (null: none) are padded to blocks, stored as WAV and read back; payload
-    columns describe what was read. Equal texts give equal values; repeated rows give a row each;
-    an empty table gives none; other columns are ignored. Texts without two peaks (shorter than
-    three blocks) have one pair of gap 0.
+    columns describe what was read. Equal texts give equal values; repeated rows give a row each,
+    ids may be null; an empty table gives none; other columns are ignored. A text that is shorter
+    than three blocks is one frame and has one pair of gap 0.
     """
-    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs binary, media binary"
+    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs binary, media binary"  # pairs: packed until the arrays are made
 
     def store(batches):
         for batch in slices(batches, 64):
