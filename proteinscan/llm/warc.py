@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import uuid
 import zlib
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proteinscan.llm.common import slices
+from proteinscan.llm.common import joined_by_hot_key, slices, written
 
 #: Texts with at least so many bytes are stored once; further copies are revisit records.
 MIN_REVISIT_BYTES = 0
@@ -26,18 +27,33 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record as a gzip member; with `refers_to` a revisit without the payload."""
-    name = "none" if page_id is None else str(page_id)
-    body = b"" if refers_to is not None else payload
-    # Header lines end at CR LF, so a URL cannot hold them.
-    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+def record_id(archive: str, number: int) -> str:
+    """Id of the `number`th record of an archive; archives of one run have names of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{number}')}>"
+
+
+def record(identity: str, date: str, page: dict) -> bytes:
+    """One record as a gzip member; a page with `refers_to` is a revisit without the payload.
+
+    A revisit names the address and date of the response that holds its payload.
+    """
+
+    def uri(value: str | None) -> str:  # header lines end at CR LF, so an address cannot hold them
+        return (value or "").replace("\r", "%0D").replace("\n", "%0A")
+
+    payload = page["html"].encode()
+    revisit = page["refers_to"] is not None
+    body = b"" if revisit else payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Target-URI: {target}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"WARC-Block-Digest: sha1:{payload_digest(body)}", f"X-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {identity}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri(page['url'])}",
+        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"WARC-Block-Digest: sha1:{payload_digest(body)}",
+        f"X-Page-ID: {'' if page['page_id'] is None else page['page_id']}", f"X-Payload-Length: {len(payload)}",
     ]
-    if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    if revisit:
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {uri(page['refers_to_url'])}",
+            f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {page['refers_to']}",
+        ]
     head += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + body + b"\r\n\r\n") + packer.flush()
@@ -79,24 +95,31 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def classified(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """`page_id, url, html, refers_to`: of equal payloads, the row with the largest page_id is kept.
+    """`page_id, url, html, refers_to, refers_to_url`: of equal payloads the row with the largest page_id is kept.
 
-    Only payloads that occur more than once take part in the join, and they are counted before it.
+    Rows that share both payload and that page_id are all responses; of their addresses the last
+    in order is referred to. Only payloads that occur more than once are looked up, and pages stay
+    where they are or are dealt by salt, so a page that half the table repeats is no hot key.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("h", F.sha1(F.col("html").cast("binary")))
-    copies = rows.groupBy("h").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"), F.max(F.octet_length("html")).alias("bytes"))
-    copies = copies.where((F.col("n") > 1) & (F.col("bytes") >= min_revisit_bytes)).select("h", "kept")
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("h"))
+    by_id = F.struct(F.col("page_id"), F.col("url"))
+    copies = rows.groupBy("h").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"), F.max(F.octet_length("html")).alias("bytes"), F.max_by("url", by_id).alias("kept_url"))
+    copies = written(copies.where((F.col("n") > 1) & (F.col("bytes") >= min_revisit_bytes)).select("h", "kept", "kept_url"), "copies")
     revisit = F.col("kept").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")))
-    return rows.join(copies, "h", "left").select("page_id", "url", "html", F.when(revisit, F.col("kept")).alias("refers_to"))
+    joined = joined_by_hot_key(rows, copies, "h", F.struct("page_id", "url"), "left")
+    return joined.select("page_id", "url", "html", F.when(revisit, F.col("kept")).alias("refers_to"), F.when(revisit, F.col("kept_url")).alias("refers_to_url"))
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> DataFrame:
     """Write an archive per task into `folder`, a URI that all executors share; returns their names and counts.
 
     A task writes under a name of its own and renames at the end, so a task that is run again, or
     twice at once, leaves one whole archive. Null html is an empty payload; pages that repeat a
-    page_id are a record each; an empty table gives no archive.
+    page_id, or have none, are a record each; an empty table gives no archive. `date` is the time
+    of all records, now if not given.
     """
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     uri = uri.replace("file:///", "file:/").replace("file:/", "file:///")
 
@@ -111,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
                     if out is None:
                         files.create_dir(base, recursive=True)
                         out = files.open_output_stream(temporary, compression=None)
-                    out.write(record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"]))
+                    out.write(record(record_id(final, count), date, row))
                     count += 1
         finally:
             if out is not None:
@@ -132,10 +155,6 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     and the length of the payload they stand for.
     """
 
-    def page_of(name: str) -> int | None:
-        value = name.removeprefix("<urn:page:").removesuffix(">")
-        return None if value == "none" else int(value)
-
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -149,8 +168,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                         if not revisit and (payload_digest(block) != digest or len(block) != int(head["x-payload-length"])):
                             raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
                         rows.append({
-                            "page_id": page_of(head["warc-record-id"]), "url": head["warc-target-uri"], "payload_bytes": int(head["x-payload-length"]), "payload_digest": digest,
-                            "record_type": head["warc-type"], "refers_to": page_of(head["warc-refers-to"]) if revisit else None, "payload": block if with_payload else None,
+                            "page_id": int(head["x-page-id"]) if head["x-page-id"] else None, "url": head["warc-target-uri"], "payload_bytes": int(head["x-payload-length"]), "payload_digest": digest,
+                            "record_type": head["warc-type"], "refers_to": int(head["x-refers-to-page-id"]) if revisit else None, "payload": block if with_payload else None,
                         })
                         count += 1
                         if len(rows) == 256:
