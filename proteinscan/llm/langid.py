@@ -6,13 +6,14 @@ import dataclasses
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from proteinscan.llm.common import bounded_sample, held_out, with_text_columns
+from proteinscan.llm.common import bounded_sample, held_out, slices, with_text_columns, written
 
-#: Texts that the machines are fitted on: of each language, and in all.
+#: Texts that the machines are fitted on, at most: of each language, and of all of them.
 FIT_ROWS = 800
 FIT_ROWS_ALL = 16_000
 DIMENSIONS = 2048
@@ -143,20 +144,27 @@ def fit_hierarchy(x: np.ndarray, langs: list[str]) -> Hierarchy:
     return Hierarchy(families, machines(sorted(families), fam_of), {f: machines(v, lang_of) for f, v in families.items()})
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Hierarchy:
-    """Fit on at most `fit_rows` documents of each language (FIT_ROWS_ALL in all) that are not held out."""
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).distinct()
-    chosen = bounded_sample(known, "lang", fit_rows).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS_ALL).select("doc_id")
-
-    def describe(frames):
-        for frame in frames:
-            rows = frame[[has_letter(t) for t in frame["text"]]]
-            for at in range(0, len(rows), 256):
-                part = rows.iloc[at : at + 256]
-                yield pd.DataFrame({"lang": part["lang"], "x": [v.tobytes() for v in features(list(part["text"])).astype(np.float16)]})
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_rows_all: int = FIT_ROWS_ALL) -> Hierarchy:
+    """Fit on at most `fit_rows` documents of each language that are not held out.
 
-    texts = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = texts.select("text", "lang").mapInPandas(describe, "lang string, x binary").orderBy("lang", "x").limit(FIT_ROWS_ALL).collect()
+    With so many languages that these would be more than `fit_rows_all`, each gets an equal share of
+    that number, one document at least, so no language is left out. Of rows that share a doc_id and
+    a language one is taken. There is a machine for each pair of families, and of languages in one.
+    """
+    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).distinct()
+    languages = known.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    chosen = written(bounded_sample(known, "lang", max(1, min(fit_rows, fit_rows_all // max(1, languages)))), "chosen")
+
+    def describe(batches):
+        for batch in slices(batches, 256):
+            told = batch.filter(pa.array([has_letter(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            x = [v.tobytes() for v in features(told.column("text").to_pylist()).astype(np.float16)]
+            yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("lang"), pa.array(x, pa.binary())], names=["doc_id", "lang", "x"])
+
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # a bounded number of rows
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("x", T.BinaryType())])
+    rows = texts.mapInArrow(describe, schema).groupBy("doc_id", "lang").agg(F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: (r["lang"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
     return fit_hierarchy(x, [r["lang"] for r in rows])
 
@@ -165,6 +173,7 @@ def predict_language(docs: DataFrame, model: Hierarchy, keep: list[str] | None =
     """`docs` (or its columns `keep`) with `lang_pred` and `lang_score`.
 
     Whole texts are read. A null text, or one without a letter, is `und` with score 0; so is every
-    text if no language was learned. Repeated rows are judged alike; an empty table gives no rows.
+    text if no language was learned. Repeated rows are judged alike, ids may be null, columns that
+    have the name of a new one are replaced; an empty table gives no rows.
     """
     return with_text_columns(docs, model.predict, "lang_pred string, lang_score double", keep)
