@@ -1,6 +1,8 @@
 """The operators on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables."""
 
+import hashlib
 import io
+import itertools
 import math
 import random
 import zlib
@@ -12,16 +14,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from proteinscan.llm import common, components, langid, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
-from proteinscan.llm.queries import QUERIES, RANK_FILE
+from proteinscan.llm.queries import QUERIES
 from tests.llm.conftest import brute_components, documents, words
 
-RANKS = (public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
-def test_packing(docs, texts):
+def tokenizer():
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
-    rows = packing.pack(docs, *RANKS).collect()
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing(docs, texts):
+    exact = tokenizer()
+    rows = packing.pack(docs).collect()
     filled = Counter()
     for i, text in enumerate(texts):
         ids = np.array([*exact.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -34,9 +38,18 @@ def test_packing(docs, texts):
     assert max(filled.values()) <= 1024
 
 
+def test_ids_are_those_of_the_tokenizer(spark):
+    """Special tokens in a text, white space, marks and letters of all kinds, and all texts of the small table."""
+    exact, encode = tokenizer(), packing.encoder(packing.Vocabulary())
+    odd = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> \n<|endoftext|><|endoftext|>", "<|endoftext|", "  x\t\n\r\n  y ", "naïve façade — 日本語 ١٢٣ 🙂🏽", "don't WE'LL I'M", "\x00\x7f\u200b\u0301", "１２３½²"]
+    found = [r["text"] for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    for text in [*odd, *(t or "" for t in found)]:
+        assert encode(text) == exact.encode(text, add_special_tokens=False).ids, text[:80]
+
+
 def test_packing_of_no_rows_and_repeated_rows(docs, none):
-    assert packing.pack(none, *RANKS).count() == 0
-    assert packing.pack(docs.union(docs), *RANKS).count() == 2 * packing.pack(docs, *RANKS).count()
+    assert packing.pack(none).count() == 0
+    assert packing.pack(docs.union(docs)).count() == 2 * packing.pack(docs).count()
 
 
 def test_shortest_pack_first_places_all():
@@ -69,7 +82,56 @@ def test_mixing(spark, docs, none):
     assert math.isclose(sum(t for _, t, _ in by_source.values()), sum(r["size"] for r in rows))
     again = mixing.mix(docs.repartition(3)).collect()
     assert {(r["doc_id"], r["taken"]) for r in again} == {(r["doc_id"], r["taken"]) for r in rows}
-    assert mixing.mix(none).count() == 0 and mixing.repeat_rows(docs).columns == docs.columns
+    assert mixing.mix(none).count() == 0 and mixing.repeat_rows(none).count() == 0 and mixing.repeat_rows(docs).columns == docs.columns
+
+
+def brute_mix(rows, quality_of):
+    """Words taken of (doc_id, text, source), row by row."""
+    sizes = [len((t or "").encode().split()) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows if s is not None}) + ([None] if any(s is None for _, _, s in rows) else [])
+    source_size = {n: sum(z for z, (_, _, s) in zip(sizes, rows, strict=True) if s == n) for n in names}
+    weight = {n: k % 3 + 1 for k, n in enumerate(names)}
+    target, free, left = {}, set(names), sum(sizes)
+    while free:
+        level = left / sum(weight[n] for n in free)
+        over = [n for n in free if level * weight[n] > 3 * source_size[n]]
+        for n in over or list(free):
+            target[n] = 3.0 * source_size[n] if over else level * weight[n]
+            free.discard(n)
+            left -= target[n]
+    taken = [0] * len(rows)
+    for n in names:
+        mine = [i for i, r in enumerate(rows) if r[2] == n]
+        epochs = int(target[n] // source_size[n]) if source_size[n] else 0
+        rest = round(target[n] - epochs * source_size[n])
+
+        def key(i):
+            u = (int(hashlib.md5(str(rows[i][0]).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            return -math.log(u) / max(mixing.LEAST_WEIGHT, round(quality_of[i], 4))
+
+        for i in sorted(mine, key=key):
+            part = min(sizes[i], rest) if epochs < 3 else 0
+            taken[i], rest = epochs * sizes[i] + part, rest - part
+    return {r[0]: (z, source_size[r[2]], round(target[r[2]], 6), t) for r, z, t in zip(rows, sizes, taken, strict=True)}
+
+
+def test_op4_mixing_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    scores = model.scores(np.array([quality.statistics(t) for _, t, _ in rows]))
+    assert len(set(scores.round(3))) > 10
+    found = {r["doc_id"]: (r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in QUERIES["op4_mixing"](spark, sf_dir).collect()}
+    assert found == brute_mix(rows, scores)
+
+
+def test_mixing_of_rows_without_ids(spark):
+    rows = [(None, "a b c", "x"), (None, "d e f", "x"), (1, "g h i", "x"), (1, "j k l m", "x"), (2, "", "x"), (3, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS times", "2 AS copy", "3 AS size", "4 AS `row`", "5 AS score")
+    out = mixing.repeat_rows(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted((i or 0, t) for i, t, _ in rows if t)
+    assert {(r["times"], r["copy"], r["size"], r["row"], r["score"]) for r in out} == {(1, 2, 3, 4, 5)}
 
 
 def test_targets_stop_at_three_times_a_source(spark):
@@ -107,7 +169,7 @@ def test_fingerprints(docs, texts, none):
         cut = len(text) // 3
         assert rows[i]["n_chars"] == len(text) and rows[i]["edited"] == text[: len(text) - cut] + after[:cut]
         assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
-    assert rows[6]["sketch"] == rows[7]["sketch"] and rows[0]["sketch"] == [] and len(rows[3]["sketch"]) == 1
+    assert rows[6]["sketch"] == rows[7]["sketch"] and rows[0]["sketch"] == [] and len(rows[9]["sketch"]) > 1000
     assert rows[9]["near_edited"] > 0.95  # the next text is short, so the edited one is a part of this one
     assert 0.4 < rows[10]["near_edited"] < 0.9 and rows[7]["near_next"] == 1.0
     assert sketch.fingerprints(none).count() == 0
@@ -146,7 +208,7 @@ def test_toxicity(spark):
     model = toxicity.fit(docs, labels)
     out = toxicity.score_toxicity(docs, model).collect()
     assert all(r["toxic"] == (r["doc_id"] % 4 == 0) for r in out)
-    for text in ("You 1d10t", "iiidiooot!", "an i d i o t, really", "1di0t."):
+    for text in ("You 1d10t", "iiidiooot!", "an i d i o t, really", "1di0t.", "iddiioott"):
         assert "idiot" in model.restore(text)
         assert model.scores([text])[0] > 0.5
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "x" * 200_000), (3, "$$$ 111 !!!")], "doc_id long, text string")
@@ -166,6 +228,35 @@ def test_toxicity_of_long_and_gapped_obfuscations(spark):
     assert model.scores([spelled, "_" * 500 + "a", "a " + "_" * 500 + "... b", "a." * 20_000])[0] < 0.5
 
 
+def test_viterbi_equals_enumeration():
+    rng = random.Random(11)
+    bigrams = toxicity._bigram_model(np.array([[rng.random() * 9 for _ in range(28)] for _ in range(28)]))
+
+    def value(path):
+        last, total = 0, 0.0
+        for code, _, cost in path:
+            total -= cost
+            if code >= 0:
+                total, last = total + bigrams[last, code], code
+        return total + bigrams[last, 0]
+
+    tokens = ["1d10t", "aabbcc", "i.d-i", "s*u!d", "eee3e", "é1_a", *("".join(rng.choices("abe1034*.$!", k=rng.randint(1, 6))) for _ in range(60))]
+    for token, reading in zip(tokens, toxicity.viterbi(tokens, bigrams), strict=True):
+        paths = list(itertools.product(*toxicity._lattice(token, 0, len(token))))
+        best = max(map(value, paths))
+        assert reading in {"".join(letter for _, letter, _ in p) for p in paths if value(p) > best - 1e-9}, token
+
+
+def test_logistic_model_is_at_its_optimum():
+    rng = np.random.default_rng(2)
+    rows = [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(300)]
+    y = np.array([float(0 in r or rng.random() < 0.2) for r in rows])
+    w, b = toxicity.logistic(rows, y, 6, steps=20_000, penalty=0.01)
+    x = np.array([[f in r for f in range(6)] for r in rows], float)
+    off = 1 / (1 + np.exp(-(x @ w + b))) - y
+    assert np.abs(x.T @ off / 300 + 0.01 * w).max() < 1e-6 and abs(off.mean()) < 1e-6 and w[0] > max(w[1:])
+
+
 def test_decoding_in_pieces_equals_decoding_whole(monkeypatch):
     rng = random.Random(8)
     bigrams = toxicity._bigram_model(np.array([[rng.random() * 9 for _ in range(28)] for _ in range(28)]))
@@ -215,7 +306,34 @@ def test_media(docs, texts, none):
 
 def test_spectral_peak_of_a_tone():
     tone = (128 + 100 * np.sin(2 * np.pi * 50 * np.arange(media.FRAME * 4) / media.FRAME)).astype(np.uint8)
-    assert (media.spectral_pairs(tone.tobytes())[:, 1] == 50).all()
+    pairs = media.spectral_pairs(tone.tobytes())
+    assert {(50, 50)} == {(int(p[1]), int(p[2])) for p in pairs if 40 <= p[1] < 160}
+    flat = media.spectral_pairs(bytes([128]) * media.FRAME * 4)
+    assert len(flat) == 1 and flat[0, 3] == 0  # no bin of silence exceeds its band's mean
+
+
+def brute_pairs(samples):
+    """The same pairs from sums over every sample of every frame."""
+    x = np.frombuffer(samples, np.uint8).astype(float) - 128
+    x = np.pad(x, (0, max(0, media.FRAME - len(x))))
+    k, t = np.arange(media.FRAME // 2 + 1)[:, None], np.arange(media.FRAME)
+    wave = np.exp(-2j * np.pi * k * t / media.FRAME)
+    power = np.array([np.abs(wave @ (x[s : s + media.FRAME] * np.hanning(media.FRAME))) for s in range(0, len(x) - media.FRAME + 1, media.HOP)])
+    peaks = set()
+    for low, high in media.BANDS:
+        mean = power[:, low:high].mean()
+        for f, row in enumerate(power):
+            b = max(range(low, high), key=lambda i: row[i])
+            if row[b] > mean and row[b] >= row[b - 1] and row[b] >= row[b + 1]:
+                peaks.add((f, b, (low, high)))
+    return sorted((f, b, c, g - f) for f, b, band in peaks for g, c, other in peaks if band == other and 1 <= g - f <= media.FAN_OUT)
+
+
+def test_spectral_pairs_equal_brute_force():
+    rng = random.Random(3)
+    for n in (3, 5, 9):
+        samples = media.padded(words(rng, 110 * n).encode()[: 576 * n])
+        assert sorted(tuple(p) for p in media.spectral_pairs(samples).tolist()) == brute_pairs(samples)
 
 
 def test_warc(spark, tmp_path):
@@ -231,8 +349,24 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(docs.where("false"), str(tmp_path / "e"))).count() == 0
 
 
+def test_warc_headers_and_ties(spark, tmp_path, monkeypatch):
+    """Rows that repeat page_id and payload are responses with ids of their own; a large lookup is salted."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    pages = spark.createDataFrame([(1, "a", "x"), (3, "b", "x"), (3, "c", "x"), (3, "c", "x"), (4, "d", "y"), (4, "d", "z"), (None, "e", "x")], "page_id long, url string, html string")
+    archives = warc.write_archives(pages, str(tmp_path / "w"), date="2020-02-02T00:00:00Z")
+    heads = []
+    for path in (tmp_path / "w").glob("*.gz"):
+        with open(path, "rb") as stream:
+            heads += [warc.parse_record(m)[0] for m in warc.members(stream)]
+    assert len({h["warc-record-id"] for h in heads}) == 7 and {h["warc-date"] for h in heads} == {"2020-02-02T00:00:00Z"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert sorted(h["x-page-id"] for h in revisits) == ["", "1"] and all((h["warc-refers-to-target-uri"], h["x-refers-to-page-id"]) == ("c", "3") for h in revisits)
+    assert warc.read_archives(archives).count() == 7
+
+
 def test_warc_reader_refuses_broken_archives():
-    whole = warc.record(1, "u", b"payload", None) + warc.record(2, "u", b"", 1)
+    page = {"page_id": 1, "url": "u", "html": "payload", "refers_to": None, "refers_to_url": None}
+    whole = warc.record("<urn:uuid:1>", "2020-01-01T00:00:00Z", page) + warc.record("<urn:uuid:2>", "2020-01-01T00:00:00Z", page | {"refers_to": 1, "refers_to_url": "u"})
     assert [warc.parse_record(m)[0]["warc-type"] for m in warc.members(io.BytesIO(whole), 7)] == ["response", "revisit"]
     with pytest.raises(EOFError):
         list(warc.members(io.BytesIO(whole[:-9])))
