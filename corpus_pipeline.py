@@ -32,7 +32,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity model does not mark; a null text counts as empty, without labels all stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return where_text(docs, lambda texts: model.scores(texts) < 0.5)
+    return where_text(docs, lambda texts: model.scores(texts) < 0.5, toxicity.ROWS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
