@@ -15,40 +15,67 @@ def check_gaps(gap_open: int, gap_extend: int) -> None:
             raise ValueError(f"{name} is {value}; it must be from 0 to 127")
 
 
-def score_lanes(query: np.ndarray, targets: np.ndarray, scores: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
-    """Scores of one query against targets that lie side by side: codes by (position, lane), padded.
+class Tile:
+    """Targets that lie side by side, codes by (position, lane), with the scores of every letter against them."""
+
+    def __init__(self, lanes: np.ndarray, scores: np.ndarray):
+        self.lanes, self.scores = lanes, scores
+        self._profiles: dict[type, np.ndarray] = {}
+
+    def profile(self, kind: type) -> np.ndarray:
+        """Scores by (letter, position, lane); made once, whatever the number of queries."""
+        if kind not in self._profiles:
+            self._profiles[kind] = np.take(self.scores.astype(kind), self.lanes, axis=1)
+        return self._profiles[kind]
+
+
+#: From so many lanes on, a maximum along the target runs lane by lane instead of as one accumulation.
+WIDE = 512
+
+
+def score_tile(query: np.ndarray, tile: Tile, gap_open: int, gap_extend: int) -> np.ndarray:
+    """Scores of one query against the targets of a tile.
 
     Rows of the dynamic program are whole arrays. A gap along the target is a running maximum of
     cells raised by their position; opening it from a cell that itself ends such a gap never pays,
-    so the maximum may run over cells without it. Numbers have 16 bits where none can overflow.
+    so the maximum may run over cells without it. Numbers have 8 or 16 bits where none can overflow.
     """
-    m, (n, lanes) = len(query), targets.shape
+    m, (n, lanes) = len(query), tile.lanes.shape
     if not m or not n:
         return np.zeros(lanes, np.int32)
-    bound = min(m, n) * int(scores.max()) + gap_open + gap_extend * (n + 1)
-    kind = np.int16 if bound < 32_000 else np.int32
-    table = scores.astype(kind)
-    profile = {int(a): table[a][targets] for a in np.unique(query)}
+    bound = max(min(m, n) * int(tile.scores.max()) + gap_extend * n, gap_open + gap_extend * (n + 1), -int(tile.scores.min()))
+    kind = np.int8 if bound < 127 else np.int16 if bound < 32_000 else np.int32
+    profile = tile.profile(kind)
     ramp = (gap_extend * np.arange(n, dtype=kind))[:, None]
-    first = kind(gap_open + gap_extend)
+    closing = ramp[1:] + kind(gap_open)
+    first, more = kind(gap_open + gap_extend), kind(gap_extend)
     rows = np.zeros((n + 1, lanes), kind)
-    column_gap = np.zeros((n, lanes), kind)
-    best = np.zeros((n, lanes), kind)
+    column_gap, best = np.zeros((n, lanes), kind), np.zeros((n, lanes), kind)
     cell, raised = np.empty((n, lanes), kind), np.empty((n, lanes), kind)
     for a in query:
-        np.subtract(column_gap, kind(gap_extend), out=column_gap)
-        np.maximum(column_gap, rows[1:] - first, out=column_gap)
-        np.add(rows[:-1], profile[int(a)], out=cell)
+        np.subtract(column_gap, more, out=column_gap)
+        np.subtract(rows[1:], first, out=raised)
+        np.maximum(column_gap, raised, out=column_gap)
+        np.add(rows[:-1], profile[a], out=cell)
         np.maximum(cell, column_gap, out=cell)
         np.maximum(cell, 0, out=cell)
+        np.maximum(best, cell, out=best)
         np.add(cell, ramp, out=raised)
-        np.maximum.accumulate(raised, axis=0, out=raised)
-        np.maximum(cell[1:], raised[:-1] - ramp[1:] - kind(gap_open), out=rows[2:])
+        if lanes < WIDE:
+            np.maximum.accumulate(raised, axis=0, out=raised)
+        else:
+            for i in range(1, n - 1):
+                np.maximum(raised[i], raised[i - 1], out=raised[i])
+        np.subtract(raised[:-1], closing, out=raised[:-1])
         rows[1] = cell[0]
-        np.maximum(best, rows[1:], out=best)
+        np.maximum(cell[1:], raised[:-1], out=rows[2:])
     return best.max(axis=0).astype(np.int32)
 
 
+def score_lanes(query: np.ndarray, targets: np.ndarray, scores: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
+    return score_tile(query, Tile(targets, scores), gap_open, gap_extend)
+
+
 def lanes_of(sequences: list[np.ndarray]) -> np.ndarray:
     """Codes by (position, lane), shorter sequences padded."""
     out = np.full((max(map(len, sequences), default=0), len(sequences)), alphabet.PADDING, np.uint8)

@@ -3,96 +3,148 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proteinscan.functions import alignment, matrices
+from proteinscan.functions import alignment, alphabet, matrices
+from proteinscan.session import new_path
 
 #: Positions times lanes that the kernel handles at once; larger arrays leave the processor's cache.
 TILE = 48_000
-MAX_LANES = 256
-#: Residues of queries that one pass over the database scores.
-PASS_RESIDUES = 4_000_000
+#: Residues and queries that one pass over the database scores.
+PASS_RESIDUES, PASS_QUERIES = 4_000_000, 4096
 #: Rows of a database that a task holds, to sort them by length.
-SLICE_ROWS = 4096
-
-
-def _passes(queries: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """The query set in portions of at most PASS_RESIDUES, each sent to all tasks once.
-
-    The driver streams the queries; it holds the query set, as the caller of a search does.
-    """
-    portions: list[list[tuple[int, bytes]]] = [[]]
-    held = 0
-    for row in queries.select("query_no", "residues").orderBy("query_no").toLocalIterator():
-        codes = bytes(row["residues"])
-        if portions[-1] and held + len(codes) > PASS_RESIDUES:
-            portions.append([])
-            held = 0
-        portions[-1].append((row["query_no"], codes))
-        held += len(codes)
-    return portions
-
-
-def _tiles(lengths: np.ndarray):
+SLICE_ROWS = 8192
+#: Tables of hits or queries of more rows are not broadcast.
+BROADCAST_ROWS = 200_000
+
+
+class Passes:
+    """A query set in portions, each a file in the shared folder that tasks read; the driver keeps their number."""
+
+    def __init__(self, queries: DataFrame):
+        spark = queries.sparkSession
+        path = new_path(spark, "queries")
+        portion = F.floor(F.col("before") / PASS_RESIDUES) + F.floor((F.col("query_no") - 1) / PASS_QUERIES)
+        rows = queries.select("query_no", "residues", portion.alias("portion"))
+        counted = rows.groupBy("portion").agg(F.count("*").alias("n")).collect()  # a row per pass
+        rows.write.partitionBy("portion").parquet(path)
+        if "://" not in path and not path.startswith("file:"):
+            path = f"file://{path}"
+        self.uri = path.replace("file:///", "file:/").replace("file:/", "file:///")
+        self.portions = sorted(r["portion"] for r in counted)
+
+    def read(self, portion: int) -> list[tuple[int, np.ndarray]]:
+        """Numbers and codes of a portion's queries, in a task."""
+        files, base = fs.FileSystem.from_uri(f"{self.uri}/portion={portion}")
+        parts = [x.path for x in files.get_file_info(fs.FileSelector(base)) if x.path.endswith(".parquet")]
+        rows = [(n, bytes(r)) for p in parts for t in [pq.read_table(p, filesystem=files, partitioning=None)] for n, r in zip(t["query_no"].to_pylist(), t["residues"].to_pylist(), strict=True)]
+        return [(n, alphabet.decoded(r)) for n, r in sorted(rows)]
+
+
+def _tiles(lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Runs of rows, in order of length, that fit a tile."""
     order = np.argsort(lengths, kind="stable")
+    width = np.maximum(lengths[order], 1)
     at = 0
     while at < len(order):
-        size = 1
-        while at + size < len(order) and size < MAX_LANES and (size + 1) * max(1, lengths[order[at + size]]) <= TILE:
-            size += 1
+        fits = np.arange(1, len(order) - at + 1) * width[at:] <= TILE
+        size = max(1, len(fits) if fits.all() else int(fits.argmin()))
         yield order[at : at + size]
         at += size
 
 
-def _scored(db: DataFrame, portion: list[tuple[int, bytes]], matrix: str, gap_open: int, gap_extend: int, top: int | None) -> DataFrame:
+class BestRows:
+    """The best rows of one query among those that a task has seen, in a fixed order of ties."""
+
+    def __init__(self, query_no: int, top: int):
+        self.query_no, self.top, self.least, self.parts, self.held = query_no, top, -1, [], 0
+
+    def offer(self, scores: np.ndarray, lengths: np.ndarray, places: pa.Array) -> None:
+        least = self.least
+        if len(scores) > self.top:
+            least = max(least, int(np.partition(scores, len(scores) - self.top)[len(scores) - self.top]))
+        chosen = np.flatnonzero(scores >= least)
+        if len(chosen):
+            self.parts.append(pa.table({"score": scores[chosen], "length": lengths[chosen], "place": places.take(pa.array(chosen))}))
+            self.held += len(chosen)
+        if self.held > 16 * self.top + 256:
+            self.settle()
+
+    def settle(self) -> pa.Table:
+        rows = pa.concat_tables(self.parts).combine_chunks()
+        keys = {"score": rows["score"], "length": rows["length"]}
+        place = rows["place"].combine_chunks()
+        place = place if isinstance(place, pa.Array) else place.chunk(0)
+        keys |= {f"p{k}": x for k, x in enumerate(place.flatten())} if pa.types.is_struct(place.type) else {"p": place}
+        order = pc.sort_indices(pa.table(keys), sort_keys=[(k, "descending") for k in keys])
+        rows = rows.take(order[: self.top])
+        if len(rows) == self.top:
+            self.least = rows["score"][-1].as_py()
+        self.parts, self.held = [rows], len(rows)
+        return rows
+
+
+def _batch(query_no: int, scores, lengths, places) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(scores), query_no, np.int64)), places, pa.array(lengths, pa.int32()), pa.array(scores, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["query_no", "input_pos", "length", "score"])
+
+
+def _scored(rows: DataFrame, passes: Passes, portion: int, matrix: str, gap_open: int, gap_extend: int, top: int | None) -> DataFrame:
     table = matrices.load(matrix)
-    queries = [(no, np.frombuffer(codes, np.uint8)) for no, codes in portion]
-    key = db.schema["input_pos"].dataType.simpleString()
+    key = rows.schema["input_pos"].dataType.simpleString()
 
     def run(batches):
+        queries, best = None, []
         for batch in batches:
+            if queries is None:  # a task without rows reads none
+                queries = passes.read(portion)
+                best = [BestRows(no, top) for no, _ in queries] if top else []
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                codes = [np.frombuffer(r, np.uint8) for r in part.column("residues").to_pylist()]
-                lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+                codes = [alphabet.decoded(r) for r in part.column("residues").to_pylist()]
+                lengths = np.fromiter(map(len, codes), np.int32, len(codes))
                 scores = np.zeros((len(queries), len(codes)), np.int32)
                 for rows in _tiles(lengths):
-                    lanes = alignment.lanes_of([codes[i] for i in rows])
+                    tile = alignment.Tile(alignment.lanes_of([codes[i] for i in rows]), table)
                     for q, (_, query) in enumerate(queries):
-                        scores[q, rows] = alignment.score_lanes(query, lanes, table, gap_open, gap_extend)
+                        scores[q, rows] = alignment.score_tile(query, tile, gap_open, gap_extend)
                 for q, (no, _) in enumerate(queries):
-                    chosen = np.arange(len(codes))
-                    if top is not None and top < len(codes):
-                        # Rows that tie with the last one stay: their order needs the input position.
-                        least = np.partition(scores[q], len(codes) - top)[len(codes) - top] if top else np.inf
-                        chosen = np.flatnonzero(scores[q] >= least)
-                    index = pa.array(chosen)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(chosen), no, np.int32)), part.column("input_pos").take(index), pa.array(lengths[chosen].astype(np.int32)), pa.array(scores[q][chosen])],
-                        names=["query_no", "input_pos", "length", "score"],
-                    )
+                    if top is None:
+                        yield _batch(no, scores[q], lengths, part.column("input_pos"))
+                    elif top:
+                        best[q].offer(scores[q], lengths, part.column("input_pos"))
+        for rows in best:
+            if rows.parts:
+                kept = rows.settle()
+                yield _batch(rows.query_no, *(kept[c].combine_chunks() for c in ("score", "length", "place")))
 
-    rows = db.select("input_pos", "residues")
-    cores = db.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < 2 * cores:  # a few files would keep most cores idle
-        rows = rows.repartition(4 * cores)
-    return rows.mapInArrow(run, f"query_no int, input_pos {key}, length int, score int")
+    return rows.mapInArrow(run, f"query_no long, input_pos {key}, length int, score int")
 
 
 def scores(db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, top: int | None = None) -> DataFrame:
-    """`query_no, input_pos, length, score` of all pairs; with `top`, at least each task's best ones.
+    """`query_no, input_pos, length, score` of all pairs; with `top`, each task's best ones of each query.
 
-    A database of many partitions is not moved: each meets the queries where it lies, grouped by
-    length into tiles. Headers are not read.
+    Tasks read the queries, a portion at a time, from the shared folder. A database of many
+    partitions is not moved: each meets the queries where it lies, grouped by length into tiles.
+    Headers are not read.
     """
     alignment.check_gaps(gap_open, gap_extend)
-    parts = [_scored(db, portion, matrix, gap_open, gap_extend, top) for portion in _passes(queries)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    rows = db.select("input_pos", "residues")
+    cores = db.sparkSession.sparkContext.defaultParallelism
+    if rows.select(F.spark_partition_id()).distinct().count() < 2 * cores:  # a few files would keep most cores idle
+        rows = rows.repartition(4 * cores)
+    passes = Passes(queries)
+    if not passes.portions:
+        rows, passes.portions = rows.where("false"), [0]
+    return functools.reduce(DataFrame.unionByName, [_scored(rows, passes, p, matrix, gap_open, gap_extend, top) for p in passes.portions])
 
 
 def best(scored: DataFrame, top: int = 10) -> DataFrame:
@@ -110,10 +162,14 @@ def best(scored: DataFrame, top: int = 10) -> DataFrame:
 def search(db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, top: int = 10) -> DataFrame:
     """Best hits of each query with headers, by query and rank. No sequences or queries: no rows.
 
-    Headers are joined to the hits alone, after ranking.
+    Headers are joined to the hits alone, after ranking. Hits, `top` rows of each query at most, are
+    broadcast while they are few, so that headers stay where they are.
     """
     hits = best(scores(db, queries, matrix, gap_open, gap_extend, top), top)
-    named = hits.join(db.select("input_pos", F.col("header").alias("target_header")), "input_pos")
-    named = named.join(F.broadcast(queries.select("query_no", F.col("header").alias("query_header"), F.col("length").alias("query_length"))), "query_no")
+    few = queries.count()
+    hits = F.broadcast(hits) if few * max(1, top) <= BROADCAST_ROWS else hits
+    named = db.select("input_pos", F.col("header").alias("target_header")).join(hits, "input_pos")
+    about = queries.select("query_no", F.col("header").alias("query_header"), F.col("length").alias("query_length"))
+    named = named.join(F.broadcast(about) if few <= BROADCAST_ROWS else about, "query_no")
     columns = ("query_no", "query_header", "query_length", "rank", "score", F.col("input_pos").alias("target_id"), "target_header", F.col("length").alias("target_length"))
     return named.select(*columns).orderBy("query_no", "rank")

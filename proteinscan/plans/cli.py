@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession
 
@@ -36,13 +37,14 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("proteinscan").getOrCreate()
     ship_package(spark)
     if given.command == "preprocess":
+        began = time.perf_counter()
         about = database.preprocess(read_fasta(spark, given.input, given.strict), given.output).first()
-        print(f"{given.output}: {about['sequences']} sequences, {about['residues']} residues, longest {about['longest']}")
+        print(f"{given.output}: {about['sequences']} sequences, {about['residues']} residues, longest {about['longest']}, {time.perf_counter() - began:.2f} s")
         return 0
     db = database.load(spark, given.db)
     queries = database.numbered_queries(read_fasta(spark, given.query, given.strict))
     hits, metrics = report.timed_search(db, queries, matrix=given.sm, gap_open=given.gap_open, gap_extend=given.gap_extend, top=given.top)
-    for line in report.lines(hits, db, metrics):
+    for line in report.lines(queries, hits, database.info(spark, given.db).first().asDict(), metrics, given.db, given.query):
         print(line)
     return 0
 

@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proteinscan.functions import alphabet, alignment, matrices
-from proteinscan.operators import layout
 from proteinscan.operators import search as finder
 from proteinscan.plans import report
+from proteinscan.session import new_path
 from proteinscan.sources import database
+from proteinscan.sources.fasta import read_fasta, write_fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Table, key and text column of what serves as sequences.
-PARTS, NATIONS, REGIONS = ("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")
+PARTS, NATIONS = ("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name")
+#: The fixed number of nations.
+NATION_KEYS = 25
 DOCUMENTS, BENCHMARK = ("documents", "doc_id", "text"), ("benchmark", "item_id", "text")
 
 
@@ -48,37 +51,51 @@ def residue_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def db_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return database.info(_db(spark, sf_dir, DOCUMENTS))
+    """The summary that a preprocessed database stores."""
+    path = new_path(spark, "database")
+    return database.preprocess(sequences(spark, sf_dir, DOCUMENTS), path)
 
 
 def db_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    position = F.row_number().over(finder.Window.orderBy("length", "input_pos"))
-    return _db(spark, sf_dir, DOCUMENTS).select("input_pos", "length", position.alias("position"))
+    return database.in_order(_db(spark, sf_dir, DOCUMENTS)).select("input_pos", "length", "position")
 
 
 def query_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _queries(spark, sf_dir, BENCHMARK).select("query_no", "header", "length", layout.padded_length(F.col("length")).alias("padded_length"))
+    return _queries(spark, sf_dir, BENCHMARK).select("query_no", "header", "length", report.padded_length(F.col("length")).alias("padded_length"))
+
+
+def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as FASTA, read again, preprocessed and loaded: what a database holds of them."""
+    path = new_path(spark, "fasta")
+    write_fasta(sequences(spark, sf_dir, DOCUMENTS), f"{path}/text")
+    database.preprocess(read_fasta(spark, f"{path}/text"), f"{path}/database")
+    return database.load(spark, f"{path}/database").select("header", "length", F.md5("residues").alias("residues_md5"))
 
 
 def search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.cells(_db(spark, sf_dir, DOCUMENTS), _queries(spark, sf_dir, BENCHMARK))
 
 
-def lane_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.lane_groups(_db(spark, sf_dir, DOCUMENTS))
+LENGTH_BIN, SCORE_BIN = 16, 10
+PORTION_RESIDUES = 200_000
 
 
-CHUNK_BYTES = 200_000
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences and residues by length."""
+    first = (F.floor(F.col("length") / LENGTH_BIN) * LENGTH_BIN).alias("from_length")
+    return _db(spark, sf_dir, DOCUMENTS).groupBy(first).agg(F.count("*").alias("sequences"), F.sum("length").alias("residues"))
 
 
-def chunk_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.chunks(layout.lane_groups(_db(spark, sf_dir, DOCUMENTS)), CHUNK_BYTES)
+def db_portions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of equal residues in which a database is dealt over files."""
+    dealt = database.portions(database.in_order(_db(spark, sf_dir, DOCUMENTS)), PORTION_RESIDUES)
+    return dealt.groupBy("portion").agg(F.count("*").alias("sequences"), F.sum("length").alias("residues"), F.min("position").alias("first_position"))
 
 
-def profile_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    length = F.col("length")
-    chosen = [layout.profile_choice(layout.padded_length(length), forced=f).alias(f"profile_{f.lower()}") for f in ("auto", "Q", "S")]
-    return _db(spark, sf_dir, DOCUMENTS).select("input_pos", *chosen)
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each query by score."""
+    scored = all_scores(queries=BENCHMARK)(spark, sf_dir)
+    return scored.groupBy("query_no", (F.floor(F.col("score") / SCORE_BIN) * SCORE_BIN).alias("from_score")).agg(F.count("*").alias("pairs"))
 
 
 def score_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +119,12 @@ def _text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residue_scores(matrix: str) -> Query:
-    """Scores of the residues that occur in part names against all letters, under one matrix."""
+    """Scores of the letters that occur in documents against all letters, under one matrix, with their number."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = sequences(spark, sf_dir, PARTS).select(F.explode(F.split("seq", "")).alias("a")).where("a <> ''").groupBy("a").agg(F.count("*").alias("n"))
-        return used.join(F.broadcast(matrices.table(spark, (matrix,))), "a").select("a", "b", "score", "n")
+        letters = sequences(spark, sf_dir, DOCUMENTS).select(F.explode(F.split(F.translate("seq", "JOU", "[[["), "")).alias("a")).where("a <> ''")
+        used = letters.groupBy("a").agg(F.count("*").alias("n"))
+        return used.join(F.broadcast(matrices.table(spark, (matrix,))), "a").select("a", "b", "score", "n")  # 576 rows are broadcast
 
     return query
 
@@ -119,16 +137,14 @@ def all_scores(matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: i
 
 
 def sw_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of region names against nation names by the built-in expression."""
-    q = _queries(spark, sf_dir, REGIONS).select("query_no", F.col("input_pos").alias("_q"))
-    q = q.join(sequences(spark, sf_dir, REGIONS).select(F.col("input_pos").alias("_q"), F.col("seq").alias("query")), "_q").drop("_q")
-    nations = sequences(spark, sf_dir, NATIONS).select("input_pos", F.length("seq").alias("length"), "seq")
-    return F.broadcast(q).join(nations).select("query_no", "input_pos", "length", alignment.score_expr(F.col("query"), F.col("seq")).alias("score"))
-
+    """Scores of part names against the nation names of their portion by the built-in expression.
 
-def precision_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tier = F.when(F.col("score") < 127, "int8").when(F.col("score") < 32767, "int16").otherwise("int32")
-    return all_scores(queries=BENCHMARK)(spark, sf_dir).groupBy("query_no", tier.alias("tier")).agg(F.count("*").alias("pairs"))
+    Each part meets the one nation whose key is its own key modulo the number of nations.
+    """
+    q = _queries(spark, sf_dir, NATIONS).select("query_no", F.col("input_pos").alias("nation"))
+    q = q.join(sequences(spark, sf_dir, NATIONS).select(F.col("input_pos").alias("nation"), F.col("seq").alias("query")), "nation")
+    parts = sequences(spark, sf_dir, PARTS).select("input_pos", F.length("seq").alias("length"), "seq", (F.col("input_pos") % NATION_KEYS).alias("nation"))
+    return parts.join(q, "nation").select("query_no", "input_pos", "length", alignment.score_expr(F.col("query"), F.col("seq")).alias("score"))
 
 
 def sw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +173,7 @@ def _sql_numbered(source: tuple[str, str, str]) -> str:
 _SQL_CODES = f"list_transform(list_filter(string_split(seq, ''), lambda c: c <> ''), lambda c: CASE WHEN instr('{alphabet.LETTERS}', c) > 0 THEN instr('{alphabet.LETTERS}', c) - 1 ELSE {alphabet.DUMMY} END)"
 
 
-def sql_scores(queries: tuple[str, str, str], targets: tuple[str, str, str], matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2) -> str:
+def sql_scores(queries: tuple[str, str, str], targets: tuple[str, str, str], matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, where: str = "true") -> str:
     """Named queries `q`, `t` and `scored` (query_no, input_pos, length, score), by anti-diagonals.
 
     Lists run over the target; matrices are symmetric, so the sides may change roles.
@@ -168,7 +184,7 @@ def sql_scores(queries: tuple[str, str, str], targets: tuple[str, str, str], mat
     pair = f"(CASE WHEN k > 0 THEN before[k] ELSE 0 END) + [{values}][tc[k + 1] * 24 + qc[d + 1 - k] + 1]"
     return f"""WITH RECURSIVE q AS (SELECT *, {_SQL_CODES} AS codes FROM ({_sql_numbered(queries)})),
 t AS (SELECT *, length(seq) AS length, {_SQL_CODES} AS codes FROM ({_sql_sequences(targets)})),
-pairs AS (SELECT q.query_no, t.input_pos, q.length AS m, t.length AS n, q.codes AS qc, t.codes AS tc FROM q, t),
+pairs AS (SELECT q.query_no, t.input_pos, q.length AS m, t.length AS n, q.codes AS qc, t.codes AS tc FROM q, t WHERE {where}),
 r AS (
   SELECT query_no, input_pos, m, n, qc, tc, 0 AS d, list_transform(range(n), lambda k: {{'h': 0, 'e': -{cost}, 'f': -{cost}}}) AS now, list_transform(range(n), lambda k: 0) AS before, 0 AS best
   FROM pairs WHERE m > 0 AND n > 0
@@ -183,9 +199,9 @@ scored AS (
 """
 
 
-_SQL_LANES = f"""WITH RECURSIVE s AS (SELECT length(seq) AS length, row_number() OVER (ORDER BY length(seq), input_pos) - 1 AS position FROM ({_sql_sequences(DOCUMENTS)})),
-g AS (SELECT position // {layout.LANES} AS lane_group, count(*) AS members, CAST(ceil(max(length) / {layout.UNROLL}.0) * {layout.UNROLL} AS BIGINT) AS group_length FROM s GROUP BY 1)
-"""
+_SQL_PLACED = f"SELECT *, row_number() OVER (ORDER BY length, input_pos) AS position, coalesce(sum(length) OVER (ORDER BY length, input_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT input_pos, length(seq) AS length FROM ({_sql_sequences(DOCUMENTS)}))"
+#: Stored residues: the code of each letter plus one, as a byte.
+_SQL_RESIDUES = f"md5(translate(regexp_replace(seq, '[^{alphabet.LETTERS}]', '[', 'g'), '{alphabet.LETTERS}[', (SELECT string_agg(chr(k::INTEGER), '' ORDER BY k) FROM range(1, 25) AS x(k))))"
 _SQL_RANK = "row_number() OVER (PARTITION BY query_no ORDER BY score DESC, length DESC, input_pos DESC)"
 
 
@@ -197,8 +213,8 @@ def _sql_matrix(matrix: str) -> str:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        search_documents, seq_clean, residue_encode, db_info, db_sorted, query_order, search_cells, lane_groups, chunk_assign, profile_choice,
-        score_profile, query_profile, sw_expr, precision_tier, sw_topk, search_report,
+        search_documents, seq_clean, residue_encode, fasta_roundtrip, db_info, db_sorted, db_portions, length_histogram, query_order, search_cells,
+        score_profile, query_profile, sw_expr, score_histogram, sw_topk, search_report,
     )
 }
 QUERIES |= {f"residue_scores_{m}": residue_scores(m) for m in matrices.MATRICES}
@@ -213,19 +229,17 @@ ORACLES: dict[str, str] = {
     "db_sorted": f"SELECT input_pos, length(seq) AS length, row_number() OVER (ORDER BY length(seq), input_pos) AS position FROM ({_DOCS})",
     "query_order": f"SELECT query_no, header, length, length + length % 2 AS padded_length FROM ({_sql_numbered(BENCHMARK)})",
     "search_cells": f"SELECT *, query_residues * database_residues AS cells FROM (SELECT coalesce(sum(length), 0) AS query_residues, coalesce(sum(length + length % 2), 0) AS padded_query_residues FROM ({_sql_numbered(BENCHMARK)})), (SELECT coalesce(sum(length(seq)), 0) AS database_residues FROM ({_DOCS}))",
-    "lane_groups": _SQL_LANES + f"SELECT lane_group, members, group_length, group_length * {layout.LANES} AS padded_residues, coalesce(sum(group_length * {layout.LANES}) OVER (ORDER BY lane_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS padded_before FROM g",
-    "chunk_assign": _SQL_LANES + f""", c AS (SELECT 0 AS lane_group, 0 AS chunk, group_length * {layout.LANES} + 6 AS size FROM g WHERE lane_group = 0
-UNION ALL SELECT g.lane_group, CASE WHEN c.size > {CHUNK_BYTES} THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN c.size > {CHUNK_BYTES} THEN 0 ELSE c.size END + g.group_length * {layout.LANES} + 6 FROM c JOIN g ON g.lane_group = c.lane_group + 1)
-SELECT lane_group, chunk FROM c""",
-    "profile_choice": f"SELECT input_pos, CASE WHEN n + n % 2 < {layout.PROFILE_THRESHOLD} THEN 'Q' ELSE 'S' END AS profile_auto, 'Q' AS profile_q, 'S' AS profile_s FROM (SELECT input_pos, length(seq) AS n FROM ({_DOCS}))",
+    "fasta_roundtrip": f"SELECT header, length(seq) AS length, {_SQL_RESIDUES} AS residues_md5 FROM ({_DOCS})",
+    "length_histogram": f"SELECT length // {LENGTH_BIN} * {LENGTH_BIN} AS from_length, count(*) AS sequences, sum(length) AS residues FROM ({_SQL_PLACED}) GROUP BY 1",
+    "db_portions": f"SELECT before // {PORTION_RESIDUES} AS portion, count(*) AS sequences, sum(length) AS residues, min(position) AS first_position FROM ({_SQL_PLACED}) GROUP BY 1",
     "score_profile": f"SELECT input_pos, position, a AS letter, score FROM (SELECT input_pos, unnest(range(length(seq))) AS position, substr(seq, unnest(range(length(seq))) + 1, 1) AS c FROM ({_sql_sequences(PARTS)})) JOIN {_sql_matrix(matrices.DEFAULT)} ON b = CASE WHEN instr('{alphabet.LETTERS}', c) > 0 THEN c ELSE '[' END",
     "query_profile": f"SELECT input_pos, position, sum(score) AS total, max(score) AS largest FROM (SELECT input_pos, unnest(range(length(seq))) AS position, substr(seq, unnest(range(length(seq))) + 1, 1) AS c FROM ({_sql_sequences(BENCHMARK)})) JOIN {_sql_matrix(matrices.DEFAULT)} ON a = CASE WHEN instr('{alphabet.LETTERS}', c) > 0 THEN c ELSE '[' END GROUP BY ALL",
-    "sw_expr": sql_scores(REGIONS, NATIONS) + "SELECT * FROM scored",
+    "sw_expr": sql_scores(NATIONS, PARTS, where=f"t.input_pos % {NATION_KEYS} = q.input_pos") + "SELECT * FROM scored",
     "sw_scores": sql_scores(BENCHMARK, PARTS) + "SELECT * FROM scored",
-    "precision_tier": sql_scores(BENCHMARK, PARTS) + "SELECT query_no, CASE WHEN score < 127 THEN 'int8' WHEN score < 32767 THEN 'int16' ELSE 'int32' END AS tier, count(*) AS pairs FROM scored GROUP BY ALL",
+    "score_histogram": sql_scores(BENCHMARK, PARTS) + f"SELECT query_no, score // {SCORE_BIN} * {SCORE_BIN} AS from_score, count(*) AS pairs FROM scored GROUP BY ALL",
     "sw_topk": sql_scores(BENCHMARK, PARTS) + f"SELECT * FROM (SELECT *, {_SQL_RANK} AS rank FROM scored) WHERE rank <= 10",
     "search_report": sql_scores(NATIONS, PARTS) + f"SELECT query_no, q.header AS query_header, q.length AS query_length, rank, score, s.input_pos AS target_id, t.header AS target_header, s.length AS target_length FROM (SELECT *, {_SQL_RANK} AS rank FROM scored) AS s JOIN q USING (query_no) JOIN t ON t.input_pos = s.input_pos WHERE rank <= 10",
 }
-ORACLES |= {f"residue_scores_{m}": f"SELECT a, b, score, n FROM (SELECT unnest(string_split(seq, '')) AS a, count(*) AS n FROM ({_sql_sequences(PARTS)}) GROUP BY 1) JOIN {_sql_matrix(m)} USING (a)" for m in matrices.MATRICES}
+ORACLES |= {f"residue_scores_{m}": f"SELECT a, b, score, n FROM (SELECT unnest(string_split(translate(seq, 'JOU', '[[['), '')) AS a, count(*) AS n FROM ({_DOCS}) GROUP BY 1) JOIN {_sql_matrix(m)} USING (a)" for m in matrices.MATRICES}
 ORACLES |= {f"sw_scores_{m}": sql_scores(NATIONS, PARTS, m) + "SELECT * FROM scored" for m in matrices.MATRICES}
 ORACLES |= {f"sw_gap_{o}_{e}": sql_scores(NATIONS, PARTS, gap_open=o, gap_extend=e) + "SELECT * FROM scored" for o, e in ((0, 0), (3, 1), (127, 127))}

@@ -1,41 +1,59 @@
-"""The preprocessed database: encoded sequences in order of length, as Parquet."""
+"""The preprocessed database: encoded sequences, dealt over files by their residues, and their summary."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from proteinscan.functions.alphabet import encode
+from proteinscan.functions.alphabet import encoded
+from proteinscan.operators.ranking import with_prefix
 
-
-@F.pandas_udf(BinaryType())
-def _encoded(sequences: pd.Series) -> pd.Series:
-    return sequences.map(lambda s: encode(s or "").tobytes())
+#: Residues of neighbours in length that stay together, and about those of a file.
+GROUP_RESIDUES, FILE_RESIDUES = 1 << 20, 1 << 25
 
 
 def with_residues(rows: DataFrame) -> DataFrame:
     """`input_pos, header, length, residues` from `input_pos, header, seq`; a null sequence has none."""
-    return rows.select("input_pos", "header", F.coalesce(F.length("seq"), F.lit(0)).alias("length"), _encoded("seq").alias("residues"))
+    return rows.select("input_pos", "header", F.coalesce(F.length("seq"), F.lit(0)).alias("length"), encoded(F.col("seq")).alias("residues"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Sequences with their `position` in database order, by length, then input position, and the residues `before`."""
+    return with_prefix(rows, ["length", "input_pos"], "length")
 
 
-def by_length(rows: DataFrame) -> DataFrame:
-    """Sequences in database order: by length, then input position."""
-    return rows.orderBy("length", "input_pos")
+def portions(ordered: DataFrame, residues: int) -> DataFrame:
+    """Sequences in order with `portion`: neighbours of about equal residues in all, whatever their number."""
+    return ordered.withColumn("portion", F.floor(F.col("before") / residues))
 
 
 def preprocess(rows: DataFrame, path: str) -> DataFrame:
-    """Write `input_pos, header, seq` as a database and return its summary row."""
-    by_length(with_residues(rows)).write.parquet(path)
-    return info(load(rows.sparkSession, path))
+    """Write `input_pos, header, seq` as a database and return its summary, which is stored too.
+
+    Neighbours in length make groups of equal residues, and groups are spread over files, so no
+    file holds all long sequences. Inside a file sequences are in order of length.
+    """
+    spark = rows.sparkSession
+    dealt = portions(in_order(with_residues(rows)), GROUP_RESIDUES)
+    total = dealt.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    files = max(spark.sparkContext.defaultParallelism, -(-total // FILE_RESIDUES))
+    dealt = dealt.repartition(files, "portion").sortWithinPartitions("length", "input_pos").drop("before", "portion")
+    dealt.write.parquet(f"{path}/sequences")
+    summary(load(spark, path)).coalesce(1).write.parquet(f"{path}/summary")
+    return info(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """`input_pos, header, length, residues, position` of a stored database."""
+    return spark.read.parquet(f"{path}/sequences")
+
+
+def info(spark: SparkSession, path: str) -> DataFrame:
+    """The stored summary of a database; its sequences are not read."""
+    return spark.read.parquet(f"{path}/summary")
 
 
-def info(db: DataFrame) -> DataFrame:
+def summary(db: DataFrame) -> DataFrame:
     """Sequences, residues, longest header and longest sequence; one row, zeros for an empty database."""
     return db.agg(
         F.count("*").alias("sequences"), F.coalesce(F.sum("length"), F.lit(0)).alias("residues"),
@@ -44,5 +62,6 @@ def info(db: DataFrame) -> DataFrame:
 
 
 def numbered_queries(rows: DataFrame) -> DataFrame:
-    """Queries with `query_no` from 1, by length, then input position. A query set is small."""
-    return with_residues(rows).withColumn("query_no", F.row_number().over(Window.orderBy("length", "input_pos")))
+    """Queries `query_no, input_pos, header, length, residues, before`, numbered from 1 by length, then input position."""
+    ordered = in_order(with_residues(rows))
+    return ordered.select(F.col("position").alias("query_no"), "input_pos", "header", "length", "residues", "before")

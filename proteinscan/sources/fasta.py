@@ -2,30 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from proteinscan.functions.alphabet import clean
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """Raw pieces `file, block, value` with `row`, their number inside the block.
 
-def read_fasta(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
-    """`input_pos, header, seq, length` of every record.
+    A block of a file is read by one task from its start to its end, so a change of file or block is
+    the start of one.
+    """
+
+    def number(batches):
+        last, row = (None, None), -1
+        for batch in batches:
+            files, blocks = batch.column("file").to_numpy(zero_copy_only=False), batch.column("block").to_numpy()
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])
+            if batch.num_rows:
+                new[0] = (files[0], blocks[0]) != last
+                last = (files[-1], blocks[-1])
+            at = np.arange(batch.num_rows)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            rows = np.where(start >= 0, at - start, row + 1 + at)
+            row = int(rows[-1]) if len(rows) else row
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], names=[*batch.schema.names, "row"])
+
+    return raw.mapInArrow(number, "file string, block long, value string, row long")
+
+
+def parse(reader: DataFrameReader | DataStreamReader, path: str | list[str], strict: bool = False) -> DataFrame:
+    """`input_pos, header, seq, length` of every record that `reader`, of a batch or a stream, finds.
 
-    Files are split at `>` on a line start, so large files are read in parallel. A header may hold
-    `>`; blank lines, CR LF and a missing last newline are harmless; a record may have no residues.
-    `input_pos` is ordered like the input: by file, place in the file, and record.
+    Pieces end at `>` on a line start, which the split takes away; the first piece of a file still
+    has its own. So a header may begin with or hold further `>`.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-    )
-    rows = raw.select(place.alias("input_pos"), F.regexp_replace("value", "^>", "").alias("value"))
+    raw = reader.option("lineSep", "\n>").text(path)
+    rows = _numbered(raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"))
+    first = (F.col("block") == 0) & (F.col("row") == 0)
+    value = F.when(first, F.regexp_replace("value", "^>", "")).otherwise(F.col("value"))
+    rows = rows.select(F.struct("file", "block", "row").alias("input_pos"), value.alias("value")).where(F.trim("value") != "")
     header = F.regexp_replace(F.regexp_extract("value", r"^([^\n]*)", 1), r"\r$", "")
     body = F.regexp_replace("value", r"^[^\n]*\n?", "")
-    rows = rows.where(F.trim("value") != "").select("input_pos", header.alias("header"), clean(body, strict).alias("seq"))
+    rows = rows.select("input_pos", header.alias("header"), clean(body, strict).alias("seq"))
     return rows.withColumn("length", F.length("seq"))
 
 
+def read_fasta(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+    """`input_pos, header, seq, length` of every record.
+
+    Files are split at `>` on a line start, so large files are read in parallel. Blank lines, CR LF
+    and a missing last newline are harmless; a record may have no residues. `input_pos` is ordered
+    like the input: by file, place in the file, and record.
+    """
+    return parse(spark.read, path, strict)
+
+
 def write_fasta(rows: DataFrame, path: str, width: int = 60) -> None:
     """Write `header` and `seq` as FASTA text, `width` residues a line."""
     folded = F.regexp_replace(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"), "\n$", "")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from proteinscan.functions.alphabet import clean
 from proteinscan.operators.search import search
 from proteinscan.sources import database
+from proteinscan.sources.fasta import parse
 
 
 def stream_search(spark: SparkSession, folder: str, db: DataFrame, output: str, checkpoint: str, **parameters) -> StreamingQuery:
@@ -16,12 +15,9 @@ def stream_search(spark: SparkSession, folder: str, db: DataFrame, output: str,
 
     A batch that is run again after a failure replaces its own rows.
     """
-    raw = spark.readStream.option("lineSep", "\n>").text(folder)
-    value = F.regexp_replace("value", "^>", "")
-    rows = raw.select(F.regexp_extract(value, r"^([^\r\n]*)", 1).alias("header"), clean(F.regexp_replace(value, r"^[^\n]*\n?", "")).alias("seq"))
+    rows = parse(spark.readStream, folder)
 
     def one(batch: DataFrame, number: int) -> None:
-        queries = database.numbered_queries(batch.withColumn("input_pos", F.monotonically_increasing_id()))
-        search(db, queries, **parameters).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        search(db, database.numbered_queries(batch), **parameters).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

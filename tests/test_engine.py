@@ -7,8 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from proteinscan import queries as queries_of_the_engine
 from proteinscan.functions import alphabet, alignment, matrices
-from proteinscan.operators import layout, search
+from proteinscan.operators import ranking, search
 from proteinscan.plans import cli, report
 from proteinscan.sources import database
 from proteinscan.sources.fasta import read_fasta, write_fasta
@@ -101,7 +102,7 @@ def test_ties_and_order(spark):
     assert listed[2] == [("t4", 26), ("t1", 26), ("t6", 17), ("t2", 14), ("t7", 11), ("t3", 8), ("t5", 0)]
     assert [r["target_header"] for r in search.search(db, queries, top=3).collect()] == ["t6", "t4", "t1", "t4", "t1", "t6"]
     assert search.search(db, queries, top=0).count() == 0
-    assert [r["header"] for r in database.by_length(db).collect()] == ["t2", "t7", "t3", "t5", "t1", "t4", "t6"]
+    assert [r["header"] for r in database.in_order(db).orderBy("position").collect()] == ["t2", "t7", "t3", "t5", "t1", "t4", "t6"]
     with pytest.raises(ValueError, match="top"):
         search.search(db, queries, top=-1)
 
@@ -113,7 +114,7 @@ def test_nulls_empty_tables_and_many_ties(spark):
     empty = database.with_residues(frame(spark, ["A"]).where("false"))
     assert search.search(empty, queries).count() == 0
     assert search.search(db, database.numbered_queries(frame(spark, ["A"]).where("false"))).count() == 0
-    assert database.info(empty).first().asDict() == {"sequences": 0, "residues": 0, "max_title_length": 0, "longest": 0}
+    assert database.summary(empty).first().asDict() == {"sequences": 0, "residues": 0, "max_title_length": 0, "longest": 0}
 
 
 def test_passes_do_not_change_scores(spark, monkeypatch):
@@ -123,6 +124,81 @@ def test_passes_do_not_change_scores(spark, monkeypatch):
     one = {tuple(r) for r in search.scores(db, queries).collect()}
     monkeypatch.setattr(search, "PASS_RESIDUES", 50)
     assert {tuple(r) for r in search.scores(db.repartition(7), queries).collect()} == one and len(one) == 540
+    monkeypatch.setattr(search, "PASS_QUERIES", 2)
+    assert {tuple(r) for r in search.scores(db, queries).collect()} == one
+
+
+def test_a_task_keeps_its_best_rows_only(spark, monkeypatch):
+    """Over many slices, with ties; also where the input position is a struct."""
+    rng = random.Random(2)
+    rows = ["".join(rng.choices("AW", k=rng.randrange(1, 5))) for _ in range(900)]
+    db, queries = database.with_residues(frame(spark, rows)).coalesce(1), database.numbered_queries(frame(spark, ["AWA", "WW"]))
+    monkeypatch.setattr(search, "SLICE_ROWS", 50)
+    monkeypatch.setattr(spark.sparkContext.__class__, "defaultParallelism", 0)
+    everything = search.best(search.scores(db, queries), 7)
+    kept = search.scores(db, queries, top=7)
+    assert kept.count() == 14 and {tuple(r) for r in search.best(kept, 7).collect()} == {tuple(r) for r in everything.collect()}
+    placed = db.withColumn("input_pos", F.struct(F.lit("f").alias("file"), (F.col("input_pos") % 5).alias("block"), F.col("input_pos").alias("row")))
+    kept, everything = search.scores(placed, queries, top=7), search.best(search.scores(placed, queries), 7)
+    assert kept.count() == 14 and {tuple(r) for r in search.best(kept, 7).collect()} == {tuple(r) for r in everything.collect()}
+
+
+def test_search_documents_equals_brute_force(spark, tmp_path):
+    """The flagship over small tables, every pair scored by itself."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"] and len(r["text"]) < 400][:12]
+    parts = ["".join(c for c in t.upper() if "A" <= c <= "Z") for t in texts]
+    passages = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()][:4]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = [(r["query_header"], r["rank"], r["score"], r["target_id"], r["target_length"]) for r in queries_of_the_engine.search_documents(spark, str(tmp_path)).collect()]
+    expected = []
+    for i in range(len(passages)):
+        query = "".join(c for c in passages[i].upper() if "A" <= c <= "Z")
+        hits = sorted(((alignment.score_pair(query, p), len(p), k) for k, p in enumerate(parts)), reverse=True)[:10]
+        expected += [(str(i), rank, score, k, n) for rank, (score, n, k) in enumerate(hits, 1)]
+    assert sorted(found) == sorted(expected)
+
+
+def test_positions_and_prefix_sums(spark):
+    rows = spark.range(500).selectExpr("id", "id * 7 % 13 AS length").repartition(6)
+    out = ranking.with_prefix(rows, ["length", "id"], "length").orderBy("position").collect()
+    expected, before = sorted((r["length"], r["id"]) for r in out), 0
+    for position, (r, (length, key)) in enumerate(zip(out, expected, strict=True), 1):
+        assert (r["position"], r["length"], r["id"], r["before"]) == (position, length, key, before)
+        before += length
+    assert ranking.with_prefix(rows.where("false"), ["length", "id"], "length").count() == 0
+
+
+def test_wide_and_narrow_tiles_agree():
+    rng = random.Random(3)
+    query, table = alphabet.encode("".join(rng.choices(STD, k=40))), matrices.load("blosum62")
+    for n in (1, 2, 9, 30):
+        codes = [alphabet.encode("".join(rng.choices(STD, k=rng.randrange(1, n + 1)))) for _ in range(alignment.WIDE + 3)]
+        wide = alignment.score_lanes(query, alignment.lanes_of(codes), table, 3, 1)
+        narrow = [int(alignment.score_lanes(query, alignment.lanes_of([c]), table, 3, 1)[0]) for c in codes]
+        assert wide.tolist() == narrow
+
+
+def test_foreign_letters_are_no_residues(spark):
+    rows = spark.createDataFrame([("MßK",), ("Mıﬁk",), ("m😀k\t",), ("ſK",), (None,)], "s string")
+    out = rows.select(alphabet.clean(F.col("s")).alias("c"), F.length(alphabet.clean(F.col("s"))).alias("n"), alphabet.encoded(alphabet.clean(F.col("s"))).alias("r")).collect()
+    assert [r["n"] for r in out] == [3, 4, 3, 2, None]
+    for r in out:
+        assert alphabet.decoded(bytes(r["r"])).tolist() == alphabet.encode(r["c"] or "").tolist()
+    assert alphabet.decoded(bytes(out[1]["r"])).tolist()[1:3] == [alphabet.DUMMY] * 2
+
+
+def test_a_database_is_dealt_by_residues(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(database, "GROUP_RESIDUES", 300)
+    rng = random.Random(4)
+    rows = ["A" * rng.randrange(1, 200) for _ in range(400)]
+    about = database.preprocess(frame(spark, rows), str(tmp_path / "db")).first()
+    assert about["residues"] == sum(map(len, rows))
+    db = database.load(spark, str(tmp_path / "db"))
+    files = db.groupBy(F.input_file_name()).agg(F.max("length").alias("longest"), F.sum("length").alias("n")).collect()
+    assert len(files) >= 3 and min(r["longest"] for r in files) > 100
+    ordered = db.orderBy("position").collect()
+    assert [r["position"] for r in ordered] == list(range(1, 401)) and [(r["length"], r["input_pos"]) for r in ordered] == sorted((len(x), i) for i, x in enumerate(rows, 1))
 
 
 def test_expression_equals_kernel(spark):
@@ -148,17 +224,27 @@ def test_fasta(spark, tmp_path):
     assert read_fasta(spark, str(tmp_path / "out")).count() == 3
 
 
-def test_report_layout_and_command_line(spark, tmp_path, capsys):
+def test_markers_inside_headers_and_several_files(spark, tmp_path):
+    """Only the marker that starts a record goes: the first of a file, whether or not it is the file's first character."""
+    (tmp_path / "a.fa").write_text(">>x\nMK\n>>y\nV\n>z>\nA")
+    (tmp_path / "b.fa").write_text("\n>u\nL\n>>v\nA\n")
+    (tmp_path / "c.fa").write_text(">w\nK\n")
+    rows = read_fasta(spark, str(tmp_path)).coalesce(1).orderBy("input_pos").collect()
+    assert [(r["header"], r["seq"]) for r in rows] == [(">x", "MK"), (">y", "V"), ("z>", "A"), ("u", "L"), (">v", "A"), ("w", "K")]
+
+
+def test_report_and_command_line(spark, tmp_path, capsys):
     fasta = tmp_path / "q.fa"
     fasta.write_text("".join(f">t{i}\n{s}\n" for i, s in enumerate(TARGETS, 1)))
     assert cli.main(["preprocess", "-i", str(fasta), "-o", str(tmp_path / "db")]) == 0
     assert cli.main(["search", "-q", str(fasta), "-d", str(tmp_path / "db"), "-r", "2"]) == 0
-    assert "Query 1: t2 (3 residues)\nScore\tSequence\n14\tt6\n14\tt4" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "Query 1: t2 (3 residues)\nScore\tSequence\n14\tt6\n14\tt4" in said and f"Database: {tmp_path / 'db'}\n  7 sequences, " in said
+    assert f"Queries: {fasta}" in said and "Search started 2" in said and " s\n" in said.split("longest 7, ")[1]
+    assert cli.main(["search", "-q", str(fasta), "-d", str(tmp_path / "db"), "-r", "0"]) == 0
+    assert "Query 7: t6 (7 residues)\nScore\tSequence\n\nSearch started" in capsys.readouterr().out
     db = database.with_residues(frame(spark, TARGETS))
     assert report.cells(db, database.numbered_queries(frame(spark, ["MKV"]))).first()["cells"] == 3 * sum(map(len, TARGETS))
-    groups = layout.lane_groups(db, 3)
-    assert [tuple(r) for r in groups.orderBy("lane_group").collect()] == [(0, 3, 5, 15, 0), (1, 3, 10, 30, 15), (2, 1, 10, 30, 45)]
-    assert [r["chunk"] for r in layout.chunks(groups, 20, 3).orderBy("lane_group").collect()] == [0, 1, 2]
 
 
 def test_streamed_queries(spark, tmp_path):
