@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,36 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proteinscan.session import new_path, shared_dir, written
+
 #: Tables of more rows are not broadcast; rows of a hot key are then dealt over so many tasks.
 BROADCAST_ROWS = 200_000
 SALTS = 16
 
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; in local mode without that setting, a temporary one."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
-    return _local_dirs[sc.applicationId]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/proteinscan/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = [
+    "bounded_sample", "checked_broadcast", "clean_labels", "held_out", "joined_by_hot_key", "new_path", "shared_dir", "slices", "table", "where_text", "with_text_columns", "written",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
