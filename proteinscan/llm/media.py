@@ -104,31 +104,39 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     ids may be null; an empty table gives none; other columns are ignored. A text that is shorter
     than three blocks is one frame and has one pair of gap 0.
     """
-    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs binary, media binary"  # pairs: packed until the arrays are made
+    kinds = {
+        "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
+        "media_bytes": pa.int64(), "media_sha256": pa.string(), "media": pa.binary(),
+    }
+    fields = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media binary, pairs {FEATURE_TYPE}"
+
+    def described(text: str | None) -> tuple[tuple, np.ndarray]:
+        data = (text or "").encode()
+        stored = to_wav(padded(data))
+        back = from_wav(stored)
+        digests = len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest()
+        return (*digests, stored if keep_media else None), spectral_pairs(back)
 
     def store(batches):
         for batch in slices(batches, 64):
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = (text or "").encode()
-                media = to_wav(padded(data))
-                back = from_wav(media)
-                rows.append((doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), spectral_pairs(back).tobytes(), media if keep_media else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-            names = [f.split()[0] for f in fields.split(", ")]
-            columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            arrays = {n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds, strict=True)}
-            pairs = [np.frombuffer(p, np.int32).reshape(-1, 4) for p in arrays["pairs"].to_pylist()]
-            flat = np.concatenate(pairs) if pairs else np.empty((0, 4), np.int32)
+            if not batch.num_rows:
+                continue
+            found = [described(t) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id").to_pylist(), *map(list, zip(*(row for row, _ in found), strict=True))]
+            arrays = {n: pa.array(c, k) for c, (n, k) in zip(columns, kinds.items(), strict=True)}
+            flat = np.concatenate([p for _, p in found])
             structs = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(4)], names=["frame", "low", "high", "gap"])
-            arrays["pairs"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32()), structs)
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=names)
+            arrays["pairs"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) for _, p in found)]), pa.int32()), structs)
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
-    out = docs.select("doc_id", "text").mapInArrow(store, fields.replace("pairs binary", f"pairs {FEATURE_TYPE}"))
+    out = docs.select("doc_id", "text").mapInArrow(store, fields)
     return out if keep_media else out.drop("media")
 
 
 def feature_text(pairs: Column) -> Column:
     """The pairs as `frame:low-high+gap` in time order, for output as text."""
-    one = lambda p: F.concat(p["frame"].cast("string"), F.lit(":"), p["low"].cast("string"), F.lit("-"), p["high"].cast("string"), F.lit("+"), p["gap"].cast("string"))
+
+    def one(pair: Column) -> Column:
+        return F.concat(*(x for mark, name in zip(("", ":", "-", "+"), ("frame", "low", "high", "gap"), strict=True) for x in (F.lit(mark), pair[name].cast("string"))))
+
     return F.array_join(F.transform(pairs, one), " ")
