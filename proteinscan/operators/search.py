@@ -45,7 +45,10 @@ class Passes:
         """Numbers and codes of a portion's queries, in a task."""
         files, base = fs.FileSystem.from_uri(f"{self.uri}/portion={portion}")
         parts = [x.path for x in files.get_file_info(fs.FileSelector(base)) if x.path.endswith(".parquet")]
-        rows = [(n, bytes(r)) for p in parts for t in [pq.read_table(p, filesystem=files, partitioning=None)] for n, r in zip(t["query_no"].to_pylist(), t["residues"].to_pylist(), strict=True)]
+        rows: list[tuple[int, bytes]] = []
+        for part in parts:
+            table = pq.read_table(part, filesystem=files, partitioning=None)
+            rows += zip(table["query_no"].to_pylist(), map(bytes, table["residues"].to_pylist()), strict=True)
         return [(n, alphabet.decoded(r)) for n, r in sorted(rows)]
 
 

@@ -25,7 +25,10 @@ def cells(db: DataFrame, queries: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.when(side, value)), F.lit(0))
 
     length, is_query = F.col("length"), F.col("query")
-    out = sides.agg(total(is_query, length).alias("query_residues"), total(is_query, padded_length(length)).alias("padded_query_residues"), total(~is_query, length).alias("database_residues"))
+    out = sides.agg(
+        total(is_query, length).alias("query_residues"), total(is_query, padded_length(length)).alias("padded_query_residues"),
+        total(~is_query, length).alias("database_residues"),
+    )
     return out.withColumn("cells", F.col("query_residues") * F.col("database_residues"))
 
 
