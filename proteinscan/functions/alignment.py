@@ -16,21 +16,33 @@ def check_gaps(gap_open: int, gap_extend: int) -> None:
 
 
 class Tile:
-    """Targets that lie side by side, codes by (position, lane), with the scores of every letter against them."""
+    """Targets that lie side by side, codes by (position, lane), with the scores of every letter against them.
+
+    Profiles and work space are made once for a kind of number, whatever the number of queries.
+    """
 
     def __init__(self, lanes: np.ndarray, scores: np.ndarray):
         self.lanes, self.scores = lanes, scores
         self._profiles: dict[type, np.ndarray] = {}
+        self._space: dict[tuple, list[np.ndarray]] = {}
 
     def profile(self, kind: type) -> np.ndarray:
-        """Scores by (letter, position, lane); made once, whatever the number of queries."""
+        """Scores by (letter, position, lane)."""
         if kind not in self._profiles:
             self._profiles[kind] = np.take(self.scores.astype(kind), self.lanes, axis=1)
         return self._profiles[kind]
 
-
-#: From so many lanes on, a maximum along the target runs lane by lane instead of as one accumulation.
-WIDE = 512
+    def space(self, kind: type, gap_open: int, gap_extend: int) -> list[np.ndarray]:
+        """Rising costs of extending and of closing a gap, zeros, and arrays of the program's rows, all zero where they start so."""
+        n, lanes = self.lanes.shape
+        key = (kind, gap_open, gap_extend)
+        if key not in self._space:
+            ramp = np.repeat((gap_extend * np.arange(n, dtype=kind))[:, None], lanes, axis=1)
+            self._space[key] = [ramp, ramp + kind(gap_open), *(np.zeros((n + k, lanes), kind) for k in (0, 1, 0, 0, 0, 0, 0))]
+        space = self._space[key]
+        for part in space[3:6]:
+            part.fill(0)
+        return space
 
 
 def score_tile(query: np.ndarray, tile: Tile, gap_open: int, gap_extend: int) -> np.ndarray:
@@ -38,7 +50,9 @@ def score_tile(query: np.ndarray, tile: Tile, gap_open: int, gap_extend: int) ->
 
     Rows of the dynamic program are whole arrays. A gap along the target is a running maximum of
     cells raised by their position; opening it from a cell that itself ends such a gap never pays,
-    so the maximum may run over cells without it. Numbers have 8 or 16 bits where none can overflow.
+    so the maximum may run over cells without it. It spans as many cells as a gap can have before it
+    costs more than the largest cell of the row, in steps that double. Numbers have 8 or 16 bits
+    where none can overflow.
     """
     m, (n, lanes) = len(query), tile.lanes.shape
     if not m or not n:
@@ -46,29 +60,30 @@ def score_tile(query: np.ndarray, tile: Tile, gap_open: int, gap_extend: int) ->
     bound = max(min(m, n) * int(tile.scores.max()) + gap_extend * n, gap_open + gap_extend * (n + 1), -int(tile.scores.min()))
     kind = np.int8 if bound < 127 else np.int16 if bound < 32_000 else np.int32
     profile = tile.profile(kind)
-    ramp = (gap_extend * np.arange(n, dtype=kind))[:, None]
-    closing = ramp[1:] + kind(gap_open)
+    ramp, closing, zeros, rows, column_gap, best, cell, raised, other = tile.space(kind, gap_open, gap_extend)
     first, more = kind(gap_open + gap_extend), kind(gap_extend)
-    rows = np.zeros((n + 1, lanes), kind)
-    column_gap, best = np.zeros((n, lanes), kind), np.zeros((n, lanes), kind)
-    cell, raised = np.empty((n, lanes), kind), np.empty((n, lanes), kind)
     for a in query:
         np.subtract(column_gap, more, out=column_gap)
         np.subtract(rows[1:], first, out=raised)
         np.maximum(column_gap, raised, out=column_gap)
         np.add(rows[:-1], profile[a], out=cell)
         np.maximum(cell, column_gap, out=cell)
-        np.maximum(cell, 0, out=cell)
+        np.maximum(cell, zeros, out=cell)
         np.maximum(best, cell, out=best)
+        largest = int(cell.max())
+        if largest <= gap_open + gap_extend:  # no gap pays
+            rows[1:] = cell
+            continue
         np.add(cell, ramp, out=raised)
-        if lanes < WIDE:
-            np.maximum.accumulate(raised, axis=0, out=raised)
-        else:
-            for i in range(1, n - 1):
-                np.maximum(raised[i], raised[i - 1], out=raised[i])
-        np.subtract(raised[:-1], closing, out=raised[:-1])
+        span = min(n - 1, (largest - gap_open) // gap_extend) if gap_extend else n - 1
+        now, then, step = raised, other, 1
+        while step < span:
+            np.maximum(now[step:], now[:-step], out=then[step:])
+            then[:step] = now[:step]
+            now, then, step = then, now, 2 * step
+        np.subtract(now[:-1], closing[1:], out=then[:-1])
         rows[1] = cell[0]
-        np.maximum(cell[1:], raised[:-1], out=rows[2:])
+        np.maximum(cell[1:], then[:-1], out=rows[2:])
     return best.max(axis=0).astype(np.int32)
 
 

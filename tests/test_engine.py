@@ -172,11 +172,17 @@ def test_positions_and_prefix_sums(spark):
 def test_wide_and_narrow_tiles_agree():
     rng = random.Random(3)
     query, table = alphabet.encode("".join(rng.choices(STD, k=40))), matrices.load("blosum62")
-    for n in (1, 2, 9, 30):
-        codes = [alphabet.encode("".join(rng.choices(STD, k=rng.randrange(1, n + 1)))) for _ in range(alignment.WIDE + 3)]
+    for n in (1, 2, 9, 30, 300):
+        codes = [alphabet.encode("".join(rng.choices(STD, k=rng.randrange(1, n + 1)))) for _ in range(60)]
         wide = alignment.score_lanes(query, alignment.lanes_of(codes), table, 3, 1)
         narrow = [int(alignment.score_lanes(query, alignment.lanes_of([c]), table, 3, 1)[0]) for c in codes]
         assert wide.tolist() == narrow
+    # One tile, several queries and gap costs, in any order; gaps so long that they need all steps.
+    parts = [alphabet.encode(x) for x in (STD * 3, STD + "G" * 70 + STD, "W" * 40)]
+    tile = alignment.Tile(alignment.lanes_of(parts), table)
+    for text, gap_open, gap_extend in ((STD * 2, 3, 1), (STD, 10, 2), (STD * 2, 0, 0), (STD * 2, 3, 1), ("W" * 9, 127, 127), (STD * 2, 1, 0)):
+        found = alignment.score_tile(alphabet.encode(text), tile, gap_open, gap_extend).tolist()
+        assert found == [scalar(text, x, "blosum62", gap_open, gap_extend) for x in (STD * 3, STD + "G" * 70 + STD, "W" * 40)]
 
 
 def test_foreign_letters_are_no_residues(spark):
