@@ -65,10 +65,16 @@ def test_shortest_pack_first_places_all():
     assert packing.shortest_pack_first({100: 25}, 1024) == [((100,) * 5, 1), ((100,) * 10, 2)]
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70)]
+@pytest.mark.parametrize("many", [10**6, 0])
+def test_components(spark, monkeypatch, many):
+    """Chains, a loop, a hub; also with hubs joined apart."""
+    from proteinscan.llm import components as module
+
+    monkeypatch.setattr(module, "MANY_EDGES", many)
+    monkeypatch.setattr(module, "HUB_EDGES", 5)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70)] + [(i, 500) for i in range(100, 140)] + [(500, 400)]
     found = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50}
+    assert found == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50, **{i: 100 for i in (*range(100, 140), 400, 500)}}
 
 
 def test_mixing(spark, docs, none):
