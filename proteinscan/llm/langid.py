@@ -74,15 +74,18 @@ def features(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarra
 
 
 def linear_machine(x: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> np.ndarray:
-    """Weights (last: intercept) of a squared-hinge linear machine for y of -1 and 1, by momentum."""
+    """Weights (last: intercept) of a squared-hinge linear machine for y of -1 and 1, by momentum.
+
+    Everything has 32 bits, as the features do; a wider factor would have them copied in every step.
+    """
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = np.zeros(x.shape[1])
-    v = np.zeros_like(w)
+    y = y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ w))
-        gradient = penalty * w - 2 * ((share * slack * y) @ x)
-        v = 0.9 * v - 0.1 * gradient
+        slack = np.maximum(np.float32(0), np.float32(1) - y * (x @ w))
+        gradient = np.float32(penalty) * w - np.float32(2) * ((share * slack * y) @ x)
+        v = np.float32(0.9) * v - np.float32(0.1) * gradient
         w = w + v
     return w
 
@@ -102,7 +105,7 @@ class Hierarchy:
         least = np.ones((len(x), len(names)))
         at = {n: i for i, n in enumerate(names)}
         for (a, b), w in machines.items():
-            margin = x @ w[:-1] + w[-1]
+            margin = (x @ w[:-1] + w[-1]).astype(np.float64)
             p = 1 / (1 + np.exp(-np.clip(4 * margin, -30, 30)))
             rank[:, at[a]] += (margin > 0) + 1e-3 * np.tanh(margin)
             rank[:, at[b]] += (margin <= 0) - 1e-3 * np.tanh(margin)
