@@ -37,8 +37,8 @@ FIRST = 5
 DEPTH = 12
 #: Rows that share their first document.
 PART_ROWS = 256
-#: Rows of a region, or thousands of their shingles, that make a block.
-BLOCK = 1024
+#: Rows of a region, or thousands of their shingles, that make a block; two blocks are compared at once.
+BLOCK = 512
 #: Regions of more rows are dealt over SALTS tasks when they are joined with what belongs to them.
 CROWDED, SALTS = 4096, 16
 #: Rows of a run that a task holds at once.
@@ -298,13 +298,13 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     out = np.zeros((len(a), len(b)), np.float32)
-    width = 4096
+    width = 1024
     for at in range(0, int(often.sum()), width):
         s, e = np.searchsorted(column, (at, at + width))
         x = np.zeros((len(a) + len(b), width), np.float32)
         x[row[s:e], column[s:e] - at] = 1
         out += x[: len(a)] @ x[len(a) :].T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def links_across(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +314,7 @@ def links_across(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], per
     """
     one = bool(side[0] == 2)
     a, b = (np.arange(len(comp)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    n = np.fromiter(map(len, sets), np.int32, len(sets))
     x, y = n[a][:, None], n[b][None, :]
     wanted = (comp[a][:, None] != comp[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
     if one:
