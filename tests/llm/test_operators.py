@@ -263,6 +263,16 @@ def test_logistic_model_is_at_its_optimum():
     assert np.abs(x.T @ off / 300 + 0.01 * w).max() < 1e-6 and abs(off.mean()) < 1e-6 and w[0] > max(w[1:])
 
 
+def test_cut_lies_in_the_gap_between_the_classes():
+    rng = np.random.default_rng(4)
+    y = np.arange(200) % 4 == 0
+    rows = [sorted({0, *rng.integers(1, 4, 2).tolist()}) if k else sorted(set(rng.integers(1, 6, 2).tolist())) for k in y]
+    cut = toxicity._cut(rows, y.astype(float), 6)
+    w, b = toxicity.logistic(rows, y.astype(float), 6)
+    assert [w[r].sum() + b > cut for r in rows] == y.tolist()
+    assert toxicity._cut([[], []], np.array([0.0, 1.0]), 0) == 0.0
+
+
 def test_decoding_in_pieces_equals_decoding_whole(monkeypatch):
     rng = random.Random(8)
     bigrams = toxicity._bigram_model(np.array([[rng.random() * 9 for _ in range(28)] for _ in range(28)]))
