@@ -199,9 +199,20 @@ scored AS (
 """
 
 
-_SQL_PLACED = f"SELECT *, row_number() OVER (ORDER BY length, input_pos) AS position, coalesce(sum(length) OVER (ORDER BY length, input_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT input_pos, length(seq) AS length FROM ({_sql_sequences(DOCUMENTS)}))"
+_SQL_PLACED = f"""SELECT *, row_number() OVER o AS position, coalesce(sum(length) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM (SELECT input_pos, length(seq) AS length FROM ({_sql_sequences(DOCUMENTS)})) WINDOW o AS (ORDER BY length, input_pos)"""
 #: Stored residues: the code of each letter plus one, as a byte.
-_SQL_RESIDUES = f"md5(translate(regexp_replace(seq, '[^{alphabet.LETTERS}]', '[', 'g'), '{alphabet.LETTERS}[', (SELECT string_agg(chr(k::INTEGER), '' ORDER BY k) FROM range(1, 25) AS x(k))))"
+_SQL_BYTES = "(SELECT string_agg(chr(k::INTEGER), '' ORDER BY k) FROM range(1, 25) AS x(k))"
+_SQL_RESIDUES = f"md5(translate(regexp_replace(seq, '[^{alphabet.LETTERS}]', '[', 'g'), '{alphabet.LETTERS}[', {_SQL_BYTES}))"
+
+
+def _sql_positions(source: tuple[str, str, str]) -> str:
+    """Each residue of each sequence as the symbol under which a matrix lists it."""
+    one = "substr(seq, unnest(range(length(seq))) + 1, 1)"
+    each = f"SELECT input_pos, unnest(range(length(seq))) AS position, {one} AS c FROM ({_sql_sequences(source)})"
+    return f"SELECT input_pos, position, CASE WHEN instr('{alphabet.LETTERS}', c) > 0 THEN c ELSE '[' END AS symbol FROM ({each})"
+
+
 _SQL_RANK = "row_number() OVER (PARTITION BY query_no ORDER BY score DESC, length DESC, input_pos DESC)"
 
 
@@ -225,21 +236,28 @@ _DOCS = _sql_sequences(DOCUMENTS)
 ORACLES: dict[str, str] = {
     "seq_clean": f"SELECT input_pos, length(seq) AS length, md5(translate(seq, 'JOU', '[[[')) AS residues_md5 FROM ({_DOCS})",
     "residue_encode": f"SELECT input_pos, array_to_string({_SQL_CODES}, ',') AS codes FROM ({_sql_sequences(PARTS)})",
-    "db_info": f"SELECT count(*) AS sequences, coalesce(sum(length(seq)), 0) AS residues, coalesce(max(length(header)), 0) AS max_title_length, coalesce(max(length(seq)), 0) AS longest FROM ({_DOCS})",
+    "db_info": f"""SELECT count(*) AS sequences, coalesce(sum(length(seq)), 0) AS residues, coalesce(max(length(header)), 0) AS max_title_length,
+  coalesce(max(length(seq)), 0) AS longest FROM ({_DOCS})""",
     "db_sorted": f"SELECT input_pos, length(seq) AS length, row_number() OVER (ORDER BY length(seq), input_pos) AS position FROM ({_DOCS})",
     "query_order": f"SELECT query_no, header, length, length + length % 2 AS padded_length FROM ({_sql_numbered(BENCHMARK)})",
-    "search_cells": f"SELECT *, query_residues * database_residues AS cells FROM (SELECT coalesce(sum(length), 0) AS query_residues, coalesce(sum(length + length % 2), 0) AS padded_query_residues FROM ({_sql_numbered(BENCHMARK)})), (SELECT coalesce(sum(length(seq)), 0) AS database_residues FROM ({_DOCS}))",
+    "search_cells": f"""SELECT *, query_residues * database_residues AS cells
+FROM (SELECT coalesce(sum(length), 0) AS query_residues, coalesce(sum(length + length % 2), 0) AS padded_query_residues FROM ({_sql_numbered(BENCHMARK)})),
+  (SELECT coalesce(sum(length(seq)), 0) AS database_residues FROM ({_DOCS}))""",
     "fasta_roundtrip": f"SELECT header, length(seq) AS length, {_SQL_RESIDUES} AS residues_md5 FROM ({_DOCS})",
     "length_histogram": f"SELECT length // {LENGTH_BIN} * {LENGTH_BIN} AS from_length, count(*) AS sequences, sum(length) AS residues FROM ({_SQL_PLACED}) GROUP BY 1",
     "db_portions": f"SELECT before // {PORTION_RESIDUES} AS portion, count(*) AS sequences, sum(length) AS residues, min(position) AS first_position FROM ({_SQL_PLACED}) GROUP BY 1",
-    "score_profile": f"SELECT input_pos, position, a AS letter, score FROM (SELECT input_pos, unnest(range(length(seq))) AS position, substr(seq, unnest(range(length(seq))) + 1, 1) AS c FROM ({_sql_sequences(PARTS)})) JOIN {_sql_matrix(matrices.DEFAULT)} ON b = CASE WHEN instr('{alphabet.LETTERS}', c) > 0 THEN c ELSE '[' END",
-    "query_profile": f"SELECT input_pos, position, sum(score) AS total, max(score) AS largest FROM (SELECT input_pos, unnest(range(length(seq))) AS position, substr(seq, unnest(range(length(seq))) + 1, 1) AS c FROM ({_sql_sequences(BENCHMARK)})) JOIN {_sql_matrix(matrices.DEFAULT)} ON a = CASE WHEN instr('{alphabet.LETTERS}', c) > 0 THEN c ELSE '[' END GROUP BY ALL",
+    "score_profile": f"SELECT input_pos, position, a AS letter, score FROM ({_sql_positions(PARTS)}) JOIN {_sql_matrix(matrices.DEFAULT)} ON b = symbol",
+    "query_profile": f"""SELECT input_pos, position, sum(score) AS total, max(score) AS largest
+FROM ({_sql_positions(BENCHMARK)}) JOIN {_sql_matrix(matrices.DEFAULT)} ON a = symbol GROUP BY ALL""",
     "sw_expr": sql_scores(NATIONS, PARTS, where=f"t.input_pos % {NATION_KEYS} = q.input_pos") + "SELECT * FROM scored",
     "sw_scores": sql_scores(BENCHMARK, PARTS) + "SELECT * FROM scored",
     "score_histogram": sql_scores(BENCHMARK, PARTS) + f"SELECT query_no, score // {SCORE_BIN} * {SCORE_BIN} AS from_score, count(*) AS pairs FROM scored GROUP BY ALL",
     "sw_topk": sql_scores(BENCHMARK, PARTS) + f"SELECT * FROM (SELECT *, {_SQL_RANK} AS rank FROM scored) WHERE rank <= 10",
-    "search_report": sql_scores(NATIONS, PARTS) + f"SELECT query_no, q.header AS query_header, q.length AS query_length, rank, score, s.input_pos AS target_id, t.header AS target_header, s.length AS target_length FROM (SELECT *, {_SQL_RANK} AS rank FROM scored) AS s JOIN q USING (query_no) JOIN t ON t.input_pos = s.input_pos WHERE rank <= 10",
+    "search_report": sql_scores(NATIONS, PARTS) + f"""SELECT query_no, q.header AS query_header, q.length AS query_length, rank, score,
+  s.input_pos AS target_id, t.header AS target_header, s.length AS target_length
+FROM (SELECT *, {_SQL_RANK} AS rank FROM scored) AS s JOIN q USING (query_no) JOIN t ON t.input_pos = s.input_pos WHERE rank <= 10""",
 }
-ORACLES |= {f"residue_scores_{m}": f"SELECT a, b, score, n FROM (SELECT unnest(string_split(translate(seq, 'JOU', '[[['), '')) AS a, count(*) AS n FROM ({_DOCS}) GROUP BY 1) JOIN {_sql_matrix(m)} USING (a)" for m in matrices.MATRICES}
+_SQL_LETTERS = f"SELECT unnest(string_split(translate(seq, 'JOU', '[[['), '')) AS a, count(*) AS n FROM ({_DOCS}) GROUP BY 1"
+ORACLES |= {f"residue_scores_{m}": f"SELECT a, b, score, n FROM ({_SQL_LETTERS}) JOIN {_sql_matrix(m)} USING (a)" for m in matrices.MATRICES}
 ORACLES |= {f"sw_scores_{m}": sql_scores(NATIONS, PARTS, m) + "SELECT * FROM scored" for m in matrices.MATRICES}
 ORACLES |= {f"sw_gap_{o}_{e}": sql_scores(NATIONS, PARTS, gap_open=o, gap_extend=e) + "SELECT * FROM scored" for o, e in ((0, 0), (3, 1), (127, 127))}
