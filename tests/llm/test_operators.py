@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from proteinscan.llm import common, components, langid, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
+from proteinscan.llm import common, components, langid, media, mixing, packing, quality, sharding, sketch, toxicity, warc
 from proteinscan.llm.queries import QUERIES
 from tests.llm.conftest import brute_components, documents, words
 
