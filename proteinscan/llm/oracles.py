@@ -25,10 +25,12 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce
 
 #: CRC-32 byte by byte: the table of its remainders, then a fold over the text's bytes.
 _CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
-_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])))"
+def _crc(text: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])))"
+
 
 SHARDING = f"""WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
-rows AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, md5(coalesce(text, '')) AS h, {_CRC} AS text_crc32 FROM documents, crc_table),
+rows AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, md5(coalesce(text, '')) AS h, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table),
 placed AS (
   SELECT *, row_number() OVER o - 1 AS row, sum(size) OVER () AS total,
     ((2 * coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size) * 24) // (2 * sum(size) OVER ()) AS cut
@@ -59,6 +61,25 @@ hashed AS (SELECT *, list_distinct({_hashes('text')}) AS a, list_distinct({_hash
 low AS (SELECT *, list_sort(list_filter(a, lambda x: x < '10000000')) AS a_low, list_sort(list_filter(e, lambda x: x < '10000000')) AS e_low, list_filter(n, lambda x: x < '10000000') AS n_low FROM hashed)
 SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, coalesce(array_to_string(a_low, ','), '') AS fingerprint, coalesce(array_to_string(e_low, ','), '') AS edited_fingerprint, {_alike('a', 'e')} AS near_edited, {_alike('a', 'n')} AS near_next FROM low"""
 
+_FEATURES = r"list_filter(string_split_regex(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+RESAMPLING = f"""WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, row_number() OVER () AS row, {_FEATURES} AS w FROM (SELECT doc_id, {_LOWERED} FROM documents)),
+b AS (SELECT {_FEATURES} AS w FROM (SELECT {_LOWERED} FROM benchmark)),
+corpus AS (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(w) AS word FROM d) GROUP BY ALL),
+target AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+hashed AS (SELECT word, {_crc('word')} % 10000 AS bucket FROM (SELECT word FROM corpus UNION SELECT word FROM target), crc_table),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM corpus JOIN hashed USING (word) GROUP BY 1),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM target JOIN hashed USING (word) GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+weights AS (SELECT row, sum(n * gain) AS weight FROM corpus JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, row, len(w) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (row)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM ranked"""
+
 ORACLES = {
     "op3_minhash_near_dedup": NEAR_DEDUP, "op7_warc": WARC, "op9_sharding": SHARDING, "op10_document_fingerprints": FINGERPRINTS,
+    "op11_importance_resampling": RESAMPLING,
 }
