@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proteinscan.llm import importance, langid, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
+from proteinscan.llm import importance, langid, lm, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
 from proteinscan.llm.common import held_out, new_path, table
 from proteinscan.llm.oracles import ORACLES
 
@@ -70,12 +70,17 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7, 2))
+    return scored.select("doc_id", (~F.col("counted")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_mixing, op5_toxicity,
         op6_media_columns, op7_warc, op8_language_id, op9_sharding, op10_document_fingerprints,
-        op11_importance_resampling,
+        op11_importance_resampling, op12_lm_scoring,
     )
 }
 
