@@ -79,7 +79,24 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM ranked"""
 
+COLLOCATIONS = f"""WITH pieces AS (SELECT row, lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, {_LOWERED} FROM documents)),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS p FROM w, (VALUES (1), (2), (3)) AS x(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM runs GROUP BY ALL HAVING k = 1 OR count(*) >= 10),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT *, string_split(p, ' ') AS w FROM f WHERE k > 1),
+inside AS (SELECT lang, array_to_string(w[1:2], ' ') AS p, f FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM c WHERE k = 3),
+longer AS (SELECT lang, p, max(f) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, p) WHERE 100 * coalesce(longer, 0) < 50 * f),
+cuts AS (SELECT lang, p, f, cut, array_to_string(w[1:cut], ' ') AS p1, array_to_string(w[cut + 1:], ' ') AS p2 FROM kept, (VALUES (1), (2)) AS x(cut) WHERE cut < k),
+parts AS (
+  SELECT cuts.lang, cuts.p, cuts.f AS a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * cuts.f * cuts.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.p = p1 JOIN f AS y ON y.lang = cuts.lang AND y.p = p2),
+lowest AS (SELECT lang, p AS phrase, a, l, r, score FROM parts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLES = {
     "op3_minhash_near_dedup": NEAR_DEDUP, "op7_warc": WARC, "op9_sharding": SHARDING, "op10_document_fingerprints": FINGERPRINTS,
-    "op11_importance_resampling": RESAMPLING,
+    "op11_importance_resampling": RESAMPLING, "op13_collocations": COLLOCATIONS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proteinscan.llm import importance, langid, lm, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
+from proteinscan.llm import collocations, importance, langid, lm, media, mixing, neardup, packing, quality, sharding, sketch, toxicity, warc
 from proteinscan.llm.common import held_out, new_path, table
 from proteinscan.llm.oracles import ORACLES
 
@@ -75,12 +75,16 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("counted")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_mixing, op5_toxicity,
         op6_media_columns, op7_warc, op8_language_id, op9_sharding, op10_document_fingerprints,
-        op11_importance_resampling, op12_lm_scoring,
+        op11_importance_resampling, op12_lm_scoring, op13_collocations,
     )
 }
 
