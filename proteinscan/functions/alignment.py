@@ -45,7 +45,19 @@ class Tile:
         return space
 
 
-def score_tile(query: np.ndarray, tile: Tile, gap_open: int, gap_extend: int) -> np.ndarray:
+class Boundary:
+    """What a query's program carries from one block of the targets to the next, by (query position, lane).
+
+    `cells` holds the cells at the block's last position, after a row of zeros; `opened` what a gap
+    that goes on from there is worth with its opening taken back: the cell, or the gap that ends in it.
+    """
+
+    def __init__(self, query_length: int, lanes: int):
+        self.cells = np.zeros((query_length + 1, lanes), np.int32)
+        self.opened = np.zeros((query_length, lanes), np.int32)
+
+
+def score_tile(query: np.ndarray, tile: Tile, gap_open: int, gap_extend: int, carried: Boundary | None = None) -> np.ndarray:
     """Scores of one query against the targets of a tile.
 
     Rows of the dynamic program are whole arrays. A gap along the target is a running maximum of
@@ -53,26 +65,41 @@ def score_tile(query: np.ndarray, tile: Tile, gap_open: int, gap_extend: int) ->
     so the maximum may run over cells without it. It spans as many cells as a gap can have before it
     costs more than the largest cell of the row, in steps that double. Numbers have 8 or 16 bits
     where none can overflow.
+
+    With `carried`, the tile is a block of longer targets: the program goes on from the block
+    before, and leaves in `carried` what the next one needs.
     """
     m, (n, lanes) = len(query), tile.lanes.shape
     if not m or not n:
         return np.zeros(lanes, np.int32)
-    bound = max(min(m, n) * int(tile.scores.max()) + gap_extend * n, gap_open + gap_extend * (n + 1), -int(tile.scores.min()))
+    bound = max((m if carried else min(m, n)) * int(tile.scores.max()) + gap_extend * (n + 1) + gap_open, gap_open + gap_extend * (n + 2), -int(tile.scores.min()))
     kind = np.int8 if bound < 127 else np.int16 if bound < 32_000 else np.int32
     profile = tile.profile(kind)
     ramp, closing, zeros, rows, column_gap, best, cell, raised, other = tile.space(kind, gap_open, gap_extend)
     first, more = kind(gap_open + gap_extend), kind(gap_extend)
-    for a in query:
+    left = carried.cells.copy() if carried else None
+    for i, a in enumerate(query):
         np.subtract(column_gap, more, out=column_gap)
         np.subtract(rows[1:], first, out=raised)
         np.maximum(column_gap, raised, out=column_gap)
+        if carried:
+            rows[0] = left[i]
         np.add(rows[:-1], profile[a], out=cell)
         np.maximum(cell, column_gap, out=cell)
         np.maximum(cell, zeros, out=cell)
+        if carried:
+            # The gap that comes in costs one extension more at each position.
+            incoming = carried.opened[i] - (gap_open + gap_extend)
+            if (reach := int(incoming.max())) > 0:
+                width = min(n, reach // gap_extend + 1) if gap_extend else n
+                np.maximum(cell[:width], incoming.astype(kind) - ramp[:width], out=cell[:width])
         np.maximum(best, cell, out=best)
         largest = int(cell.max())
         if largest <= gap_open + gap_extend:  # no gap pays
             rows[1:] = cell
+            if carried:
+                carried.cells[i + 1] = cell[-1]
+                carried.opened[i] = np.maximum(cell[-1], incoming - gap_extend * (n - 1) + gap_open)
             continue
         np.add(cell, ramp, out=raised)
         span = min(n - 1, (largest - gap_open) // gap_extend) if gap_extend else n - 1
@@ -84,9 +111,45 @@ def score_tile(query: np.ndarray, tile: Tile, gap_open: int, gap_extend: int) ->
         np.subtract(now[:-1], closing[1:], out=then[:-1])
         rows[1] = cell[0]
         np.maximum(cell[1:], then[:-1], out=rows[2:])
+        if carried:
+            carried.cells[i + 1] = rows[n]
+            inside = then[n - 2].astype(np.int32) + gap_open if n > 1 else rows[n]
+            carried.opened[i] = np.maximum(np.maximum(rows[n], inside), incoming - gap_extend * (n - 1) + gap_open)
     return best.max(axis=0).astype(np.int32)
 
 
+def score_long(queries: list[np.ndarray], target: np.ndarray, scores: np.ndarray, gap_open: int, gap_extend: int, block: int) -> np.ndarray:
+    """Scores of queries against one target of any length, `block` positions at a time.
+
+    Memory follows the block and the queries, not the target.
+    """
+    out = np.zeros(len(queries), np.int32)
+    carried = [Boundary(len(q), 1) for q in queries]
+    for at in range(0, len(target), block):
+        tile = Tile(target[at : at + block, None], scores)
+        for k, (query, boundary) in enumerate(zip(queries, carried, strict=True)):
+            out[k] = max(out[k], int(score_tile(query, tile, gap_open, gap_extend, boundary)[0]))
+    return out
+
+
+def score_bounds(queries: list[np.ndarray], counts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """No score of a query (row) against a target (column) is larger than this; `counts` are targets' letters by (target, code).
+
+    Each letter of either side can add at most its best score with a letter of the other.
+    """
+    best = np.maximum(scores, 0).astype(np.int64)
+    out = np.empty((len(queries), len(counts)), np.int64)
+    held = counts > 0
+    for k, query in enumerate(queries):
+        own = np.bincount(query, minlength=len(scores))
+        by_target = counts @ best[:, own > 0].max(axis=1, initial=0)
+        by_query = np.zeros(len(counts), np.int64)
+        for letter in np.flatnonzero(own):
+            by_query += own[letter] * np.where(held, best[letter], 0).max(axis=1, initial=0)
+        out[k] = np.minimum(by_target, by_query)
+    return out
+
+
 def score_lanes(query: np.ndarray, targets: np.ndarray, scores: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
     return score_tile(query, Tile(targets, scores), gap_open, gap_extend)
 

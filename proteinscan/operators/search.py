@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +18,14 @@ from proteinscan.session import new_path
 #: Positions times lanes that the kernel handles at once; larger arrays leave the processor's cache.
 TILE = 48_000
 #: Residues and queries that one pass over the database scores.
-PASS_RESIDUES, PASS_QUERIES = 4_000_000, 4096
-#: Rows of a database that a task holds, to sort them by length.
-SLICE_ROWS = 8192
+PASS_RESIDUES, PASS_QUERIES = 1_000_000, 4096
+#: Rows that are sorted by length into tiles at once, and scores that a task holds for them.
+SLICE_ROWS, SLICE_SCORES = 8192, 1 << 23
+#: Residues of a query from which a narrower tile is worth its making.
+NARROWED = 32
+#: Cells that a task fills, about, and residues of a database block at most and, if there are many queries, at least.
+TASK_CELLS = 20_000_000_000
+BLOCK_RESIDUES, SMALL_BLOCK = 1 << 26, 1 << 15
 #: Tables of hits or queries of more rows are not broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -34,12 +38,13 @@ class Passes:
         path = new_path(spark, "queries")
         portion = F.floor(F.col("before") / PASS_RESIDUES) + F.floor((F.col("query_no") - 1) / PASS_QUERIES)
         rows = queries.select("query_no", "residues", portion.alias("portion"))
-        counted = rows.groupBy("portion").agg(F.count("*").alias("n")).collect()  # a row per pass
         rows.write.partitionBy("portion").parquet(path)
+        sizes = spark.read.schema("query_no long, residues binary, portion long").parquet(path).groupBy("portion").agg(F.sum(F.octet_length("residues")).alias("n"))
         if "://" not in path and not path.startswith("file:"):
             path = f"file://{path}"
         self.uri = path.replace("file:///", "file:/").replace("file:/", "file:///")
-        self.portions = sorted(r["portion"] for r in counted)
+        found = {r["portion"]: r["n"] for r in sizes.collect()}  # a row per pass
+        self.portions, self.residues = sorted(found), sum(found.values())
 
     def read(self, portion: int) -> list[tuple[int, np.ndarray]]:
         """Numbers and codes of a portion's queries, in a task."""
@@ -65,16 +70,18 @@ def _tiles(lengths: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class BestRows:
-    """The best rows of one query among those that a task has seen, in a fixed order of ties."""
+    """The best rows of one query among those that a task has seen, in a fixed order of ties.
+
+    Rows that score less than `least` are not among them.
+    """
 
     def __init__(self, query_no: int, top: int):
         self.query_no, self.top, self.least, self.parts, self.held = query_no, top, -1, [], 0
 
     def offer(self, scores: np.ndarray, lengths: np.ndarray, places: pa.Array) -> None:
-        least = self.least
         if len(scores) > self.top:
-            least = max(least, int(np.partition(scores, len(scores) - self.top)[len(scores) - self.top]))
-        chosen = np.flatnonzero(scores >= least)
+            self.least = max(self.least, int(np.partition(scores, len(scores) - self.top)[len(scores) - self.top]))
+        chosen = np.flatnonzero(scores >= self.least)
         if len(chosen):
             self.parts.append(pa.table({"score": scores[chosen], "length": lengths[chosen], "place": places.take(pa.array(chosen))}))
             self.held += len(chosen)
@@ -90,7 +97,7 @@ class BestRows:
         order = pc.sort_indices(pa.table(keys), sort_keys=[(k, "descending") for k in keys])
         rows = rows.take(order[: self.top])
         if len(rows) == self.top:
-            self.least = rows["score"][-1].as_py()
+            self.least = max(self.least, rows["score"][-1].as_py())
         self.parts, self.held = [rows], len(rows)
         return rows
 
@@ -100,54 +107,127 @@ def _batch(query_no: int, scores, lengths, places) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["query_no", "input_pos", "length", "score"])
 
 
-def _scored(rows: DataFrame, passes: Passes, portion: int, matrix: str, gap_open: int, gap_extend: int, top: int | None) -> DataFrame:
+def _filled(queries: list[np.ndarray], codes: list[np.ndarray], table: np.ndarray, gaps: tuple[int, int], best: list[BestRows], done) -> np.ndarray:
+    """Scores of all queries (rows) against the targets (columns).
+
+    With `best`, targets that cannot be among a query's best rows are skipped for it and score -1: whole
+    tiles, and for longer queries the lanes of a tile if at most half of them are left. `done` gets the cells that were filled and skipped.
+    """
+    lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+    out = np.zeros((len(queries), len(codes)), np.int32)
+    bounds = None
+    if best and len(codes):
+        counts = np.stack([np.bincount(c, minlength=len(table)) for c in codes])
+        bounds = alignment.score_bounds(queries, counts, table)
+    seen = [np.empty(0, np.int32)] * len(queries)
+
+    def wanted(q: int, rows: np.ndarray) -> np.ndarray:
+        """Which of the rows may be among the best of a query."""
+        if bounds is None:
+            return np.ones(len(rows), bool)
+        least = best[q].least
+        if len(seen[q]) >= best[q].top:
+            least = max(least, int(np.partition(seen[q], len(seen[q]) - best[q].top)[len(seen[q]) - best[q].top]))
+        return bounds[q, rows] >= least
+
+    long = np.flatnonzero(lengths > TILE)
+    for i in long:
+        out[:, i] = alignment.score_long(queries, codes[i], table, *gaps, TILE)
+    others = np.flatnonzero(lengths <= TILE)
+    cells, left = sum(map(len, queries)) * int(lengths[long].sum()), 0
+    for part in reversed(list(_tiles(lengths[others]))):  # the longest first: they score most
+        rows = others[part]
+        tile = alignment.Tile(alignment.lanes_of([codes[i] for i in rows]), table)
+        for q, query in enumerate(queries):
+            chosen = wanted(q, rows)
+            mine, fit = rows, tile
+            if not chosen.any():
+                mine, fit = rows[:0], None
+            elif len(query) >= NARROWED and 2 * chosen.sum() <= len(rows):
+                mine = rows[chosen]
+                fit = alignment.Tile(alignment.lanes_of([codes[i] for i in mine]), table)
+            out[q, rows] = -1
+            if fit is not None:
+                out[q, mine] = alignment.score_tile(query, fit, *gaps)
+            filled = len(query) * int(lengths[mine].sum())
+            cells += filled
+            left += len(query) * int(lengths[rows].sum()) - filled
+            if bounds is not None:
+                seen[q] = np.concatenate([seen[q], out[q, mine]])
+                if len(seen[q]) > 4 * best[q].top + 64:
+                    seen[q] = np.partition(seen[q], len(seen[q]) - best[q].top)[-best[q].top :]
+    done(cells, left)
+    return out
+
+
+def _scored(rows: DataFrame, passes: Passes, matrix: str, gaps: tuple[int, int], top: int | None, work) -> DataFrame:
+    """Scores of blocks of rows, each against the portions of its group; a partition is one block and group."""
     table = matrices.load(matrix)
     key = rows.schema["input_pos"].dataType.simpleString()
 
+    def done(cells: int, skipped: int) -> None:
+        if work is not None:
+            work[0].add(cells)
+            work[1].add(skipped)
+
     def run(batches):
-        queries, best = None, []
-        for batch in batches:
-            if queries is None:  # a task without rows reads none
-                queries = passes.read(portion)
-                best = [BestRows(no, top) for no, _ in queries] if top else []
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+        held = [b for b in batches if b.num_rows]  # a block, of bounded residues
+        for portion in sorted({p for b in held[:1] for p in b.column("portions")[0].as_py()}):
+            queries = passes.read(portion)
+            best = [BestRows(no, top) for no, _ in queries] if top else []
+            codes_of = [q for _, q in queries]
+            size = max(64, min(SLICE_ROWS, SLICE_SCORES // max(1, len(queries))))
+            for part in (b.slice(at, size) for b in held for at in range(0, b.num_rows, size)):
                 codes = [alphabet.decoded(r) for r in part.column("residues").to_pylist()]
                 lengths = np.fromiter(map(len, codes), np.int32, len(codes))
-                scores = np.zeros((len(queries), len(codes)), np.int32)
-                for rows in _tiles(lengths):
-                    tile = alignment.Tile(alignment.lanes_of([codes[i] for i in rows]), table)
-                    for q, (_, query) in enumerate(queries):
-                        scores[q, rows] = alignment.score_tile(query, tile, gap_open, gap_extend)
+                scores = _filled(codes_of, codes, table, gaps, best, done)
                 for q, (no, _) in enumerate(queries):
                     if top is None:
                         yield _batch(no, scores[q], lengths, part.column("input_pos"))
                     elif top:
-                        best[q].offer(scores[q], lengths, part.column("input_pos"))
-        for rows in best:
-            if rows.parts:
-                kept = rows.settle()
-                yield _batch(rows.query_no, *(kept[c].combine_chunks() for c in ("score", "length", "place")))
+                        kept = np.flatnonzero(scores[q] >= 0)
+                        best[q].offer(scores[q][kept], lengths[kept], part.column("input_pos").take(pa.array(kept)))
+            for rows in best:
+                if rows.parts:
+                    kept = rows.settle()
+                    yield _batch(rows.query_no, *(kept[c].combine_chunks() for c in ("score", "length", "place")))
 
     return rows.mapInArrow(run, f"query_no long, input_pos {key}, length int, score int")
 
 
-def scores(db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, top: int | None = None) -> DataFrame:
+def grid(db_residues: int, query_residues: int, portions: int, cores: int) -> tuple[int, int]:
+    """Blocks of the database and groups of query portions, so that a block and a group make about TASK_CELLS cells.
+
+    The database is cut first, as its rows then move once; queries are dealt over groups, for each
+    of which the rows are repeated, only where blocks would become too small.
+    """
+    tasks = max(4 * cores, -(-db_residues * query_residues // TASK_CELLS))
+    blocks = max(-(-db_residues // BLOCK_RESIDUES), min(tasks, -(-db_residues // SMALL_BLOCK)), 1)
+    return blocks, max(1, min(portions, -(-tasks // blocks)))
+
+
+def scores(db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, top: int | None = None, work=None) -> DataFrame:
     """`query_no, input_pos, length, score` of all pairs; with `top`, each task's best ones of each query.
 
-    Tasks read the queries, a portion at a time, from the shared folder. A database of many
-    partitions is not moved: each meets the queries where it lies, grouped by length into tiles.
+    One plan of (block, group of portions) keys: the database is read once, its rows are dealt over
+    blocks by hash, and a task reads the queries of its group, a portion at a time, from the shared
+    folder. With `top`, targets that cannot be among the best are skipped by an upper bound of
+    their scores. `work`, a pair of accumulators, gets the cells that were filled and skipped.
     Headers are not read.
     """
     alignment.check_gaps(gap_open, gap_extend)
     rows = db.select("input_pos", "residues")
-    cores = db.sparkSession.sparkContext.defaultParallelism
-    if rows.select(F.spark_partition_id()).distinct().count() < 2 * cores:  # a few files would keep most cores idle
-        rows = rows.repartition(4 * cores)
     passes = Passes(queries)
     if not passes.portions:
         rows, passes.portions = rows.where("false"), [0]
-    return functools.reduce(DataFrame.unionByName, [_scored(rows, passes, p, matrix, gap_open, gap_extend, top) for p in passes.portions])
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("residues")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    blocks, groups = grid(size["n"], passes.residues, len(passes.portions), db.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, min(blocks, size["rows"]))
+    own = F.array(*(F.array(*(F.lit(p).cast("long") for p in passes.portions[g::groups])) for g in range(groups)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("input_pos"), F.lit(blocks)).cast("int"))
+    dealt = dealt.select("*", F.posexplode(own).alias("group", "portions"))
+    dealt = dealt.repartitionById(blocks * groups, (F.col("block") * groups + F.col("group")).cast("int"))
+    return _scored(dealt, passes, matrix, (gap_open, gap_extend), top, work)
 
 
 def best(scored: DataFrame, top: int = 10) -> DataFrame:

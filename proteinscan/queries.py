@@ -57,7 +57,15 @@ def db_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def db_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return database.in_order(_db(spark, sf_dir, DOCUMENTS)).select("input_pos", "length", "position")
+    return database.in_order(_db(spark, sf_dir, DOCUMENTS).select("input_pos", "length")).select("input_pos", "length", "position")
+
+
+def db_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names preprocessed, then the benchmark passages added: the order of the whole database."""
+    path = new_path(spark, "database")
+    database.preprocess(sequences(spark, sf_dir, PARTS), f"{path}/old")
+    database.append(f"{path}/old", sequences(spark, sf_dir, BENCHMARK), f"{path}/new")
+    return database.load(spark, f"{path}/new").select("header", "length", "position", F.md5("residues").alias("residues_md5"))
 
 
 def query_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +95,8 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def db_portions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups of equal residues in which a database is dealt over files."""
-    dealt = database.portions(database.in_order(_db(spark, sf_dir, DOCUMENTS)), PORTION_RESIDUES)
+    """Groups of neighbours in database order that have about equal residues in all."""
+    dealt = database.in_order(_db(spark, sf_dir, DOCUMENTS).select("input_pos", "length")).withColumn("portion", F.floor(F.col("before") / PORTION_RESIDUES))
     return dealt.groupBy("portion").agg(F.count("*").alias("sequences"), F.sum("length").alias("residues"), F.min("position").alias("first_position"))
 
 
@@ -224,7 +232,7 @@ def _sql_matrix(matrix: str) -> str:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        search_documents, seq_clean, residue_encode, fasta_roundtrip, db_info, db_sorted, db_portions, length_histogram, query_order, search_cells,
+        search_documents, seq_clean, residue_encode, fasta_roundtrip, db_info, db_sorted, db_append, db_portions, length_histogram, query_order, search_cells,
         score_profile, query_profile, sw_expr, score_histogram, sw_topk, search_report,
     )
 }
@@ -244,7 +252,9 @@ ORACLES: dict[str, str] = {
 FROM (SELECT coalesce(sum(length), 0) AS query_residues, coalesce(sum(length + length % 2), 0) AS padded_query_residues FROM ({_sql_numbered(BENCHMARK)})),
   (SELECT coalesce(sum(length(seq)), 0) AS database_residues FROM ({_DOCS}))""",
     "fasta_roundtrip": f"SELECT header, length(seq) AS length, {_SQL_RESIDUES} AS residues_md5 FROM ({_DOCS})",
-    "length_histogram": f"SELECT length // {LENGTH_BIN} * {LENGTH_BIN} AS from_length, count(*) AS sequences, sum(length) AS residues FROM ({_SQL_PLACED}) GROUP BY 1",
+    "db_append": f"""SELECT header, length(seq) AS length, row_number() OVER (ORDER BY length(seq), part, input_pos) AS position, {_SQL_RESIDUES} AS residues_md5
+FROM (SELECT 0 AS part, * FROM ({_sql_sequences(PARTS)}) UNION ALL SELECT 1, * FROM ({_sql_sequences(BENCHMARK)}))""",
+    "length_histogram": f"SELECT length // {LENGTH_BIN} * {LENGTH_BIN} AS from_length, count(*) AS sequences, sum(length) AS residues FROM (SELECT length(seq) AS length FROM ({_DOCS})) GROUP BY 1",
     "db_portions": f"SELECT before // {PORTION_RESIDUES} AS portion, count(*) AS sequences, sum(length) AS residues, min(position) AS first_position FROM ({_SQL_PLACED}) GROUP BY 1",
     "score_profile": f"SELECT input_pos, position, a AS letter, score FROM ({_sql_positions(PARTS)}) JOIN {_sql_matrix(matrices.DEFAULT)} ON b = symbol",
     "query_profile": f"""SELECT input_pos, position, sum(score) AS total, max(score) AS largest

@@ -1,15 +1,19 @@
-"""The preprocessed database: encoded sequences, dealt over files by their residues, and their summary."""
+"""The preprocessed database: encoded sequences, dealt evenly over files, and their summary."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proteinscan.functions.alphabet import encoded
-from proteinscan.operators.ranking import with_prefix
+from proteinscan.operators.ranking import by_length
+from proteinscan.session import written
 
-#: Residues of neighbours in length that stay together, and about those of a file.
-GROUP_RESIDUES, FILE_RESIDUES = 1 << 20, 1 << 25
+#: Residues of a file, about.
+FILE_RESIDUES = 1 << 25
+#: Query sets of at most so many rows are numbered by one sort.
+FEW_ROWS = 100_000
 
 
 def with_residues(rows: DataFrame) -> DataFrame:
@@ -18,28 +22,65 @@ def with_residues(rows: DataFrame) -> DataFrame:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Sequences with their `position` in database order, by length, then input position, and the residues `before`."""
-    return with_prefix(rows, ["length", "input_pos"], "length")
+    """Sequences with their `position` in database order, by length, then input position, and the residues `before`.
+
+    Only keys and lengths are sorted; other columns, if there are any, are joined to their places.
+    """
+    placed = by_length(rows)
+    return placed if set(rows.columns) == {"input_pos", "length"} else rows.join(placed.drop("length"), "input_pos")
 
 
-def portions(ordered: DataFrame, residues: int) -> DataFrame:
-    """Sequences in order with `portion`: neighbours of about equal residues in all, whatever their number."""
-    return ordered.withColumn("portion", F.floor(F.col("before") / residues))
+def _stored(encoded: DataFrame, placed: DataFrame, files: int, path: str) -> None:
+    """Write sequences with their positions; their residues are shuffled once.
+
+    The hash of the input position deals sequences over the files, so no file holds all long ones.
+    Inside a file they are in database order.
+    """
+    dealt = encoded.repartition(files, "input_pos").join(placed.select("input_pos", "position").repartition(files, "input_pos"), "input_pos")
+    dealt.select("input_pos", "header", "length", "residues", "position").sortWithinPartitions("position").write.parquet(f"{path}/sequences")
 
 
 def preprocess(rows: DataFrame, path: str) -> DataFrame:
-    """Write `input_pos, header, seq` as a database and return its summary, which is stored too.
+    """Write `input_pos, header, seq` as a database and return its summary, which is stored too."""
+    spark = rows.sparkSession
+    encoded = with_residues(rows)
+    placed = written(by_length(encoded), "placed")
+    total = placed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    _stored(encoded, placed, max(spark.sparkContext.defaultParallelism, -(-total // FILE_RESIDUES)), path)
+    summary(load(spark, path)).coalesce(1).write.parquet(f"{path}/summary")
+    return info(spark, path)
+
 
-    Neighbours in length make groups of equal residues, and groups are spread over files, so no
-    file holds all long sequences. Inside a file sequences are in order of length.
+def append(old: str, rows: DataFrame, path: str) -> DataFrame:
+    """Write a database at `path` of the one at `old` and new sequences, and return its summary.
+
+    Two sorted runs are merged by counting: a length's new sequences follow its old ones, so an old
+    position grows by the new sequences of smaller lengths, and a new one by the old sequences of
+    its own and smaller lengths. The old sequences are neither sorted nor moved. New input positions
+    go on after the largest old one, in their order; those of files stay as they are.
     """
     spark = rows.sparkSession
-    dealt = portions(in_order(with_residues(rows)), GROUP_RESIDUES)
-    total = dealt.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
-    files = max(spark.sparkContext.defaultParallelism, -(-total // FILE_RESIDUES))
-    dealt = dealt.repartition(files, "portion").sortWithinPartitions("length", "input_pos").drop("before", "portion")
-    dealt.write.parquet(f"{path}/sequences")
-    summary(load(spark, path)).coalesce(1).write.parquet(f"{path}/summary")
+    known = load(spark, old)
+    fresh = written(with_residues(rows), "fresh")
+    if not isinstance(known.schema["input_pos"].dataType, T.StructType):
+        last = known.agg(F.coalesce(F.max("input_pos"), F.lit(0)).alias("n")).first()["n"]
+        number = by_length(fresh.select("input_pos", F.lit(0).alias("length"))).select("input_pos", F.col("position").alias("number"))
+        fresh = fresh.join(number, "input_pos").withColumn("input_pos", F.col("number") + F.lit(last)).select(*fresh.columns)
+        fresh = written(fresh, "fresh")
+    counts = known.groupBy("length").agg(F.count("*").alias("was"), F.lit(0).cast("long").alias("came"))
+    counts = counts.unionByName(fresh.groupBy("length").agg(F.lit(0).cast("long").alias("was"), F.count("*").alias("came"))).groupBy("length").agg(F.sum("was").alias("was"), F.sum("came").alias("came"))
+    smaller = Window.orderBy("length")
+    shifts = counts.select("length", (F.sum("came").over(smaller) - F.col("came")).alias("by_new"), F.sum("was").over(smaller).alias("by_old"))
+    shifts = written(shifts, "shifts")  # a row for each length
+    shifted = known.join(F.broadcast(shifts), "length").withColumn("position", F.col("position") + F.col("by_new"))
+    shifted.select(*known.columns).write.parquet(f"{path}/sequences")
+    placed = by_length(fresh).join(F.broadcast(shifts), "length").withColumn("position", F.col("position") + F.col("by_old"))
+    total = fresh.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    more = fresh.join(placed.select("input_pos", "position"), "input_pos").repartition(-(-total // FILE_RESIDUES) or 1).sortWithinPartitions("position")
+    more.select(*known.columns).write.mode("append").parquet(f"{path}/sequences")
+    both = info(spark, old).unionByName(summary(fresh))
+    both = both.agg(*(f(c).alias(c) for c, f in (("sequences", F.sum), ("residues", F.sum), ("max_title_length", F.max), ("longest", F.max))))
+    both.coalesce(1).write.parquet(f"{path}/summary")
     return info(spark, path)
 
 
@@ -63,5 +104,11 @@ def summary(db: DataFrame) -> DataFrame:
 
 def numbered_queries(rows: DataFrame) -> DataFrame:
     """Queries `query_no, input_pos, header, length, residues, before`, numbered from 1 by length, then input position."""
-    ordered = in_order(with_residues(rows))
-    return ordered.select(F.col("position").alias("query_no"), "input_pos", "header", "length", "residues", "before")
+    queries = written(with_residues(rows), "queries")
+    if queries.count() <= FEW_ROWS:
+        order = Window.orderBy("length", "input_pos")
+        summed = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = F.broadcast(queries.select("input_pos", F.row_number().over(order).cast("long").alias("query_no"), summed.alias("before")))  # FEW_ROWS at most
+    else:
+        placed = by_length(queries).select("input_pos", F.col("position").alias("query_no"), "before")
+    return queries.join(placed, "input_pos").select("query_no", "input_pos", "header", "length", "residues", "before")

@@ -63,6 +63,11 @@ def read_fasta(spark: SparkSession, path: str | list[str], strict: bool = False)
 
 
 def write_fasta(rows: DataFrame, path: str, width: int = 60) -> None:
-    """Write `header` and `seq` as FASTA text, `width` residues a line."""
-    folded = F.regexp_replace(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"), "\n$", "")
-    rows.select(F.concat(F.lit(">"), "header", F.lit("\n"), folded)).write.text(path)
+    """Write `header` and `seq` as FASTA text, `width` residues a line.
+
+    Every row is a record: a null header is an empty one, a null sequence has no residues, and line
+    breaks in a header become spaces.
+    """
+    header = F.regexp_replace(F.coalesce("header", F.lit("")), "[\r\n]+", " ")
+    folded = F.regexp_replace(F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})", "$1\n"), "\n$", "")
+    rows.select(F.concat(F.lit(">"), header, F.lit("\n"), folded)).write.text(path)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -194,8 +195,7 @@ def test_foreign_letters_are_no_residues(spark):
     assert alphabet.decoded(bytes(out[1]["r"])).tolist()[1:3] == [alphabet.DUMMY] * 2
 
 
-def test_a_database_is_dealt_by_residues(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(database, "GROUP_RESIDUES", 300)
+def test_a_database_is_dealt_by_residues(spark, tmp_path):
     rng = random.Random(4)
     rows = ["A" * rng.randrange(1, 200) for _ in range(400)]
     about = database.preprocess(frame(spark, rows), str(tmp_path / "db")).first()
@@ -260,3 +260,95 @@ def test_streamed_queries(spark, tmp_path):
     (tmp_path / "in" / "a.fa").write_text(">q\nMKV\n")
     stream_search(spark, str(tmp_path / "in"), database.with_residues(frame(spark, TARGETS)), str(tmp_path / "out"), str(tmp_path / "cp"), top=2).awaitTermination()
     assert [r["target_header"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("rank").collect()] == ["t6", "t4"]
+
+
+def test_long_targets_by_blocks():
+    """Cut anywhere, also inside gaps that span several blocks, the score is that of the recurrence."""
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        table = matrices.load(matrices.MATRICES[trial % 8])
+        gaps = [(10, 2), (0, 0), (3, 1), (127, 127), (0, 1), (5, 0)][trial % 6]
+        motif = rng.integers(0, 24, 25).astype(np.uint8)
+        target = np.concatenate([motif[:12], rng.integers(0, 24, rng.integers(0, 9)).astype(np.uint8), motif[12:], motif[: rng.integers(0, 25)]])
+        query = np.concatenate([motif, rng.integers(0, 24, rng.integers(0, 6)).astype(np.uint8), motif[:9]])
+        expected = scalar(*("".join((alphabet.LETTERS + "J")[c] for c in x) for x in (query, target)), matrices.MATRICES[trial % 8], *gaps)
+        assert {int(alignment.score_long([query], target, table, *gaps, block)[0]) for block in (1, 2, 5, 13, 100)} == {expected}
+        assert alignment.score_bounds([query], np.bincount(target, minlength=25)[None], table)[0, 0] >= expected
+
+
+def test_a_long_target_takes_the_memory_of_a_block():
+    import tracemalloc
+
+    target = np.random.default_rng(6).integers(0, 20, 2_000_000).astype(np.uint8)
+    tracemalloc.start()
+    alignment.score_long([target[500:540]], target, matrices.load("blosum62"), 10, 2, 48_000)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+
+
+def test_skipping_loses_no_best_row(spark):
+    """Targets of very different lengths, with ties: skipped cells change nothing, and there are some."""
+    rng = random.Random(7)
+    rows = ["".join(rng.choices(STD, k=rng.choice((3, 8, 20, 90)))) for _ in range(2000)] + ["W" * 30] * 9
+    db, queries = database.with_residues(frame(spark, rows)), database.numbered_queries(frame(spark, [*rows[5:9], "".join(x for x in rows[:99] if len(x) == 90)[:180], "W" * 40]))
+    work = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    kept = search.best(search.scores(db, queries, top=5, work=work), 5).collect()
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, search.best(search.scores(db, queries), 5).collect()))
+    assert work[1].value > 0 and work[0].value + work[1].value == sum(map(len, rows)) * queries.agg(F.sum("length")).first()[0]
+
+
+def test_grid_of_blocks_and_portions():
+    assert search.grid(10**6, 10**3, 1, 2) == (8, 1)
+    blocks, groups = search.grid(10**5, 12 * 10**8, 1200, 8)  # few residues, many queries
+    assert blocks <= 4 and groups == 1200
+    blocks, groups = search.grid(10**12, 10**6, 1, 8)  # many residues, one portion
+    assert groups == 1 and 10**12 / blocks * 10**6 <= 2 * search.TASK_CELLS
+    blocks, groups = search.grid(10**12, 100, 1, 8)  # nearly no queries: blocks stay bounded
+    assert groups == 1 and 10**12 / blocks <= search.BLOCK_RESIDUES
+
+
+def test_many_portions_are_one_scan(spark, monkeypatch):
+    monkeypatch.setattr(search, "PASS_QUERIES", 1)
+    monkeypatch.setattr(search, "SMALL_BLOCK", 1 << 30)
+    rng = random.Random(8)
+    rows = ["".join(rng.choices(STD, k=rng.randrange(1, 30))) for _ in range(120)]
+    db, queries = database.with_residues(frame(spark, rows)), database.numbered_queries(frame(spark, rows[:40]))
+    found = search.scores(db, queries)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and found.count() == 120 * 40
+
+
+def test_positions_by_counting_lengths(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("id AS input_pos", "cast(id * 7 % 13 AS int) AS length").repartition(6)
+    expected = sorted((r["length"], r["input_pos"]) for r in rows.collect())
+    for crowded in (1 << 20, 10, 38):  # no length, every length, some lengths
+        monkeypatch.setattr(ranking, "CROWDED", crowded)
+        out = ranking.by_length(rows).orderBy("position").collect()
+        assert [(r["length"], r["input_pos"]) for r in out] == expected and [r["position"] for r in out] == list(range(1, 501))
+        assert [r["before"] for r in out] == [sum(n for n, _ in expected[:k]) for k in range(500)]
+    assert ranking.by_length(rows.where("false")).count() == 0
+
+
+def test_adding_to_a_database(spark, tmp_path):
+    """Twice, also nothing, and to a database of files: the order and summary of all sequences."""
+    rng = random.Random(9)
+    old, new = (["".join(rng.choices(STD, k=rng.randrange(0, 9))) for _ in range(n)] for n in (80, 30))
+    database.preprocess(frame(spark, old), str(tmp_path / "a"))
+    about = database.append(str(tmp_path / "a"), frame(spark, new), str(tmp_path / "b")).first()
+    rows = database.load(spark, str(tmp_path / "b")).orderBy("position").collect()
+    assert [(r["length"], r["input_pos"]) for r in rows] == sorted((len(x), i) for i, x in enumerate(old + new, 1)) and [r["position"] for r in rows] == list(range(1, 111))
+    assert about.asDict() == database.preprocess(frame(spark, old + new), str(tmp_path / "c")).first().asDict() | {"max_title_length": 3}
+    same = database.append(str(tmp_path / "b"), frame(spark, new).where("false"), str(tmp_path / "d")).first()
+    assert same == about and database.load(spark, str(tmp_path / "d")).count() == 110
+    (tmp_path / "x.fa").write_text(">x\nMKV\n>y\nM\n")
+    (tmp_path / "w.fa").write_text(">w\nAKV\n")
+    database.preprocess(read_fasta(spark, str(tmp_path / "x.fa")), str(tmp_path / "e"))
+    database.append(str(tmp_path / "e"), read_fasta(spark, str(tmp_path / "w.fa")), str(tmp_path / "f"))
+    assert [r["header"] for r in database.load(spark, str(tmp_path / "f")).orderBy("position").collect()] == ["y", "x", "w"]
+
+
+def test_fasta_writer_keeps_every_row(spark, tmp_path):
+    rows = [("a", "MKV"), (None, "WWW"), ("c", None), ("two\r\nlines", "A" * 61), (None, None), ("", "")]
+    write_fasta(spark.createDataFrame(rows, "header string, seq string"), str(tmp_path / "out"))
+    found = read_fasta(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["header"], r["seq"]) for r in found) == sorted([("a", "MKV"), ("", "WWW"), ("c", ""), ("two lines", "A" * 61), ("", ""), ("", "")])
