@@ -198,10 +198,11 @@ def _met(orders: DataFrame) -> DataFrame:
 
     def walk(batches):
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
-        at_start, long_before = True, False
+        at_start, long_before, cut = True, False, None  # whether the first held rows go on with a region that was cut
         for batch in batches:
             id_, region, deep = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("id", "region", "deep"), strict=True))
             starts = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1]) if len(region) else np.zeros(1, np.int64)
+            long_before = long_before and (not len(region) or region[0] == cut)
             ends = np.concatenate([starts[1:], [len(region)]])
             for s, e in zip(starts[:-1], ends[:-1], strict=True):
                 if e - s > 1 or at_start or long_before:
@@ -210,7 +211,7 @@ def _met(orders: DataFrame) -> DataFrame:
             rest = starts[-1]
             if len(region) - rest >= HELD:
                 yield run_of(region[rest], id_[rest:], deep[rest:], long_before)
-                rest, at_start, long_before = len(region), False, True
+                cut, rest, at_start, long_before = region[rest], len(region), False, True
             elif len(starts) > 1:
                 long_before = False
             held = [id_[rest:], region[rest:], deep[rest:]]
@@ -258,10 +259,10 @@ def _dealt(rows: DataFrame) -> DataFrame:
     smaller ones share blocks. Every two rows across components meet in one pair of blocks.
     """
     weight = F.greatest(F.lit(1.0), F.col("n") / 1024.0)
-    comps = rows.groupBy("region", "comp").agg(F.sum(weight).alias("w"), F.count("*").alias("rows"))
+    comps = rows.groupBy("region", "comp").agg(F.sum(weight).alias("w"), F.max("salt").alias("salt"))
     large = F.when(F.col("w") >= BLOCK, F.struct("comp", _blocks(F.col("w")).alias("blocks")))
     layout = comps.groupBy("region").agg(
-        F.sum("rows").alias("rows"), F.count("*").alias("comps"), F.sort_array(F.collect_list(large)).alias("large"),
+        F.max("salt").alias("salts"), F.count("*").alias("comps"), F.sort_array(F.collect_list(large)).alias("large"),
         F.coalesce(F.sum(F.when(F.col("w") < BLOCK, F.col("w"))), F.lit(0.0)).alias("small"),
     )
     # A region's components with a block of their own are fewer than its rows by a factor of BLOCK.
@@ -271,11 +272,10 @@ def _dealt(rows: DataFrame) -> DataFrame:
         return F.col("shared") + F.aggregate(some, F.lit(0), lambda s, x: s + x["blocks"])
 
     starts = F.transform("large", lambda x, i: F.struct(x["comp"].alias("comp"), x["blocks"].alias("blocks"), blocks_of(F.slice("large", F.lit(1), i)).alias("start")))
-    layout = layout.select("region", "rows", "shared", starts.alias("large"), blocks_of(F.col("large")).alias("all"))
+    layout = layout.select("region", "salts", "shared", starts.alias("large"), blocks_of(F.col("large")).alias("all"))
     layout = written(layout, "layout")
-    # The rows of a crowded run have salts; its region has at least as many rows.
-    salts = F.sequence(F.lit(0), F.when(F.col("rows") >= CROWDED, F.lit(SALTS - 1)).otherwise(F.lit(0)))
-    rows = rows.join(layout.withColumn("salt", F.explode(salts)).drop("rows"), ["region", "salt"])
+    # A region's rows have salts up to the largest that one of them has, whatever run gave it.
+    rows = rows.join(layout.withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))).drop("salts"), ["region", "salt"])
     own = F.try_element_at(F.filter("large", lambda x: x["comp"] == F.col("comp")), F.lit(1))
     rows = rows.withColumn("own", own)
     first, blocks = F.coalesce(F.col("own.start"), F.lit(0)), F.coalesce(F.col("own.blocks"), F.col("shared"))

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from proteinscan.llm import neardup
+from proteinscan.llm import common, neardup
 from tests.llm.conftest import brute_components, documents, words
 
 
@@ -96,3 +97,21 @@ def test_both_ways_of_comparing_agree():
     sets = [np.unique(rng.choice(300, 200)).astype(np.uint64) for _ in range(40)]
     counts = neardup.shared_counts(sets[:15], sets[15:])
     assert counts.tolist() == [[len(np.intersect1d(a, b)) for b in sets[15:]] for a in sets[:15]]
+
+
+def test_a_region_after_a_cut_run_loses_no_row(spark, monkeypatch):
+    """A crowded run that ends where an Arrow batch ends, then a small region: every row meets its block."""
+    monkeypatch.setattr(neardup, "HELD", 35)
+    monkeypatch.setattr(neardup, "CROWDED", 30)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "35")
+    try:
+        rows = [(i, 1 if i < 70 else 2, i) for i in range(90)]
+        met = common.written(neardup._met(spark.createDataFrame(rows, "id long, region long, deep long").coalesce(1)), "met")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {r["salt"] for r in met.where("region = 2").collect()} == {0} and met.where("region = 1 AND salt > 0").count() > 0
+    described = F.lit(3).cast("long").alias("n"), F.col("id").alias("comp")
+    for salted in (met, met.withColumn("salt", F.when(F.col("region") == 2, F.col("id") % neardup.SALTS).otherwise(F.col("salt")).cast("int"))):
+        dealt = neardup._dealt(salted.select("id", "region", "salt", *described))
+        assert {r["id"] for r in dealt.collect()} == set(range(90))
