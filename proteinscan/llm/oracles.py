@@ -46,12 +46,8 @@ def _hashes(text: str) -> str:
     return f"(SELECT CASE WHEN len(w) = 0 THEN [] ELSE {_RUNS} END FROM (SELECT list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w))"
 
 
-def _contained(a: str, b: str) -> str:
-    return f"CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) WHEN len({a}) = len({b}) THEN 1.0 ELSE 0.0 END"
-
-
-def _alike(a: str, b: str) -> str:
-    return f"CASE WHEN len({a}_low) > 0 AND len({b}_low) > 0 THEN {_contained(a + '_low', b + '_low')} ELSE {_contained(a, b)} END"
+def _alike(a: str, b: str, same: str) -> str:
+    return f"CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) WHEN len({a}) = len({b}) THEN CAST({same} AS DOUBLE) ELSE 0.0 END"
 
 
 FINGERPRINTS = f"""WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -59,7 +55,7 @@ pairs AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first(text)
 edits AS (SELECT *, left(text, length(text) - length(text) // 3) || left(after, length(text) // 3) AS edited FROM pairs),
 hashed AS (SELECT *, list_distinct({_hashes('text')}) AS a, list_distinct({_hashes('edited')}) AS e, list_distinct({_hashes('after')}) AS n FROM edits),
 low AS (SELECT *, list_sort(list_filter(a, lambda x: x < '10000000')) AS a_low, list_sort(list_filter(e, lambda x: x < '10000000')) AS e_low, list_filter(n, lambda x: x < '10000000') AS n_low FROM hashed)
-SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, coalesce(array_to_string(a_low, ','), '') AS fingerprint, coalesce(array_to_string(e_low, ','), '') AS edited_fingerprint, {_alike('a', 'e')} AS near_edited, {_alike('a', 'n')} AS near_next FROM low"""
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, coalesce(array_to_string(a_low, ','), '') AS fingerprint, coalesce(array_to_string(e_low, ','), '') AS edited_fingerprint, {_alike('a_low', 'e_low', 'text = edited')} AS near_edited, {_alike('a_low', 'n_low', 'text = after')} AS near_next FROM low"""
 
 _FEATURES = r"list_filter(string_split_regex(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 RESAMPLING = f"""WITH crc_table AS (SELECT {_CRC_TABLE} AS t),

@@ -2,8 +2,7 @@
 
 Two sketches made with one fraction are comparable whatever their documents' lengths: the union of
 sketches is the sketch of the union, and the shared share of a sketch estimates containment. A text
-of few shingles may have no hash below the limit; its sketch is empty, and its likeness to another
-text is then read from the full hashes of both.
+of few shingles may have no hash below the limit; its sketch is empty and tells of no likeness.
 """
 
 from __future__ import annotations
@@ -53,9 +52,9 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, shared / least).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def likeness(a: Column, b: Column, hashes_a: Column, hashes_b: Column) -> Column:
-    """Containment of the sketches `a` and `b`; if one is empty, that of the texts' full hashes."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), containment(a, b)).otherwise(containment(F.array_distinct(hashes_a), F.array_distinct(hashes_b)))
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """Containment of the sketches; two empty ones are alike if the texts are the same, one and a full one are not."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), same.cast("double")).otherwise(containment(a, b))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -115,9 +114,10 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS
     """Sketches of each text, of its edited text and of the next document, with their likeness.
 
     Returns `doc_id, n_chars, edited, sketch, edited_sketch, near_edited, near_next`. The edited
-    text has its last third replaced by the start of the next document's. Null texts count as
-    empty; equal texts have equal sketches; two texts without words are alike by 1, one and a text
-    with words by 0; repeated rows give a row each; an empty table none; other columns are ignored.
+    text has its last third replaced by the start of the next document's. Likeness is read from the
+    sketches; where both are empty, it is 1 for equal texts and 0 for others. Null texts count as
+    empty; equal texts have equal sketches; repeated rows give a row each; an empty table none;
+    other columns are ignored.
     """
     rows = with_next(docs)
     within = Window.partitionBy("range").orderBy("guest", F.desc("id"), "h", "text")
@@ -128,7 +128,6 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     rows = rows.select("doc_id", "text", "next_text", "sketch", "next_sketch", n.cast("long").alias("n_chars"), edited.alias("edited"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), fraction, words))
-    full = shingle_hashes(F.col("text"), words)
-    near_edited = likeness(F.col("sketch"), F.col("edited_sketch"), full, shingle_hashes(F.col("edited"), words))
-    near_next = likeness(F.col("sketch"), F.col("next_sketch"), full, shingle_hashes(F.col("next_text"), words))
+    near_edited = likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited"))
+    near_next = likeness(F.col("sketch"), F.col("next_sketch"), F.col("text") == F.col("next_text"))
     return rows.select("doc_id", "n_chars", "edited", "sketch", "edited_sketch", near_edited.alias("near_edited"), near_next.alias("near_next"))

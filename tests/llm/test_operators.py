@@ -183,6 +183,19 @@ def test_fingerprints(docs, texts, none):
     assert one["near_next"] == 1.0
 
 
+def test_likeness_is_read_from_sketches_alone(spark):
+    """Short texts without a hash below the limit: alike if they are the same, and to nothing else."""
+    def empty(text):
+        hashes = [hashlib.md5(" ".join(text.split()[k : k + 5]).encode()).hexdigest() for k in range(max(1, len(text.split()) - 4))]
+        return all(h[0] != "0" for h in hashes)
+
+    a, b = [t for t in (f"these are six words of {k}" for k in range(40)) if empty(t)][:2]
+    full = " ".join(f"w{k}" for k in range(200))
+    rows = spark.createDataFrame([(4, a), (3, a), (2, b), (1, full)], "doc_id long, text string")
+    near = {r["doc_id"]: r["near_next"] for r in sketch.fingerprints(rows).collect()}
+    assert near == {4: 1.0, 3: 0.0, 2: 0.0, 1: 0.0}
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
