@@ -43,13 +43,14 @@ def odd(spark, odd_rows, tmp_path_factory):
     ids = [i for i in range(100, 220)]
     labels = spark.createDataFrame([*((i, int(i % 3 != 1), int(i % 4 == 0), 5) for i in ids), (None, 1, 1, 5), (101, None, None, 5), (100, 1, 1, 5)], "doc_id long, quality int, toxic int, label long")
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x").alias("url"), F.col("text").alias("html"), F.lit(1).alias("h"), F.lit(2).alias("kept"))
-    for name, df in {"documents": docs, "labels": labels, "pages": pages}.items():
+    benchmark = docs.select(F.col("doc_id").alias("item_id"), "text", F.lit(1).alias("bucket"))
+    for name, df in {"documents": docs, "labels": labels, "pages": pages, "benchmark": benchmark}.items():
         df.repartition(3).write.parquet(f"{base}/full/{name}.parquet")
         df.where("false").write.parquet(f"{base}/empty/{name}.parquet")
     return str(base)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n != "op1_packing"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op1_packing", "op13_collocations")])
 def test_each_row_has_a_result(spark, odd, odd_rows, name):
     key = "page_id" if name == "op7_warc" else "doc_id"
     rows = QUERIES[name](spark, f"{odd}/full").collect()
@@ -81,6 +82,33 @@ def test_rows_of_one_id_and_text_agree(spark, odd, name, columns):
     assert by_id[2][0] in by_id[None]
 
 
+def test_phrases_of_odd_rows(spark, odd):
+    """The marks of every third text make phrases; null languages are one of their own."""
+    rows = QUERIES["op13_collocations"](spark, f"{odd}/full").collect()
+    assert {r["lang"] for r in rows} == {"und", "en", "de"} and all(r["a"] >= 10 and r["a"] <= min(r["l"], r["r"]) for r in rows)
+    assert QUERIES["op13_collocations"](spark, f"{odd}/empty").count() == 0
+
+
+def test_resampling_of_odd_rows(spark, odd):
+    rows = QUERIES["op11_importance_resampling"](spark, f"{odd}/full").collect()
+    drawn = sorted((r["rank"], -r["score"], r["doc_id"] is None, r["doc_id"]) for r in rows if r["rank"])
+    assert [k for k, *_ in drawn] == list(range(1, len(drawn) + 1)) and [x[1:] for x in drawn] == sorted(x[1:] for x in drawn)
+    assert len(drawn) == sum(r["n_features"] >= 20 for r in rows) // 10 and {r["weight"] for r in rows if r["n_features"] == 0} == {0}
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append((r["weight"], r["score"]))
+    assert len(set(by_id[4])) == 1
+
+
+def test_lm_scores_of_odd_rows(spark, odd):
+    rows = QUERIES["op12_lm_scoring"](spark, f"{odd}/full").collect()
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append((r["n_tokens"], r["n_known"], round(r["base_score"], 6)))
+    assert len(set(by_id[4])) == 1 and by_id[2] == by_id[3] == [(1, 1, by_id[2][0][2])]
+    assert all(r["score"] < 0 and r["n_known"] <= r["n_tokens"] for r in rows) and len({r["train_tokens"] for r in rows}) == 1
+
+
 def test_shards_of_odd_rows(spark, odd):
     rows = QUERIES["op9_sharding"](spark, f"{odd}/full").collect()
     for s in {r["shard"] for r in rows}:

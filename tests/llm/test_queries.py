@@ -7,6 +7,7 @@ import math
 import re
 import wave
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -41,7 +42,7 @@ def test_query_equals_its_sql(spark, name):
     found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     expected = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
     rows = [tuple(plain(r[c]) for c in columns) for r in found.collect()]
@@ -167,3 +168,20 @@ def test_language_query(spark, docs):
         family, sure = winner(sorted(model.families), model.between, x)
         lang, inner = winner(model.families[family], model.inside[family], x)
         assert r["lang_pred"] == lang and math.isclose(r["score"], min(sure, inner), rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_lm_query(spark, docs):
+    """Tokens, known tokens and base scores from counts of whole words; on held-out texts the network beats the base."""
+    def tokens(text):
+        return [*(text or "").encode().lower().split(), b"\n"]
+
+    counts = Counter(w for i, r in docs.items() if not held_out(i, 7, 2) for w in tokens(r["text"]))
+    n, v = sum(counts.values()), len(counts)
+    rows = QUERIES["op12_lm_scoring"](spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        own = tokens(docs[r["doc_id"]]["text"])
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held_out(r["doc_id"], 7, 2), len(own), sum(counts[w] > 0 for w in own), n)
+        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
