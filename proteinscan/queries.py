@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proteinscan.functions import alphabet, alignment, matrices
+from proteinscan.functions import sql as sql_functions
 from proteinscan.operators import search as finder
 from proteinscan.plans import report
 from proteinscan.session import new_path
-from proteinscan.sources import database
+from proteinscan.sources import database, datasource
 from proteinscan.sources.fasta import read_fasta, write_fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +161,33 @@ def sw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finder.best(scored, 10).select("query_no", "input_pos", "length", "score", "rank")
 
 
+def sw_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of part names against the nation with their key modulo the number of nations, in SQL."""
+    sql_functions.register(spark)
+    return spark.sql(
+        f"""SELECT n.query_no, p.input_pos, length(p.seq) AS length, sw_score(n.seq, p.seq) AS score
+        FROM {{parts}} AS p JOIN {{nations}} AS n ON p.input_pos % {NATION_KEYS} = n.input_pos""",
+        parts=sequences(spark, sf_dir, PARTS),
+        nations=sequences(spark, sf_dir, NATIONS).join(_queries(spark, sf_dir, NATIONS).select("input_pos", "query_no"), "input_pos"),
+    )
+
+
+def sw_topk_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten of each passage by the table function, which stops reading a query's rows after them."""
+    sql_functions.register(spark)
+    scored = finder.scores(_db(spark, sf_dir, PARTS), _queries(spark, sf_dir, BENCHMARK), top=10)
+    return spark.sql("SELECT * FROM best_hits(TABLE({scored}) PARTITION BY query_no ORDER BY (score DESC, length DESC, input_pos DESC), 10)", scored=scored)
+
+
+def fasta_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written and read through the FASTA data source, in ranges much smaller than a file."""
+    datasource.register(spark)
+    path = new_path(spark, "fasta")
+    sequences(spark, sf_dir, DOCUMENTS).select("header", "seq").write.format("fasta").mode("append").save(path)
+    rows = spark.read.format("fasta").option("splitBytes", 1 << 18).load(path)
+    return rows.select("header", "length", F.md5("seq").alias("seq_md5"))
+
+
 def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finder.search(_db(spark, sf_dir, PARTS), _queries(spark, sf_dir, NATIONS), top=10)
 
@@ -233,7 +261,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         search_documents, seq_clean, residue_encode, fasta_roundtrip, db_info, db_sorted, db_append, db_portions, length_histogram, query_order, search_cells,
-        score_profile, query_profile, sw_expr, score_histogram, sw_topk, search_report,
+        score_profile, query_profile, sw_expr, sw_function, score_histogram, sw_topk, sw_topk_function, search_report,
+        fasta_source,
     )
 }
 QUERIES |= {f"residue_scores_{m}": residue_scores(m) for m in matrices.MATRICES}
@@ -267,6 +296,7 @@ FROM ({_sql_positions(BENCHMARK)}) JOIN {_sql_matrix(matrices.DEFAULT)} ON a = s
   s.input_pos AS target_id, t.header AS target_header, s.length AS target_length
 FROM (SELECT *, {_SQL_RANK} AS rank FROM scored) AS s JOIN q USING (query_no) JOIN t ON t.input_pos = s.input_pos WHERE rank <= 10""",
 }
+ORACLES |= {"sw_function": ORACLES["sw_expr"], "sw_topk_function": ORACLES["sw_topk"], "fasta_source": f"SELECT header, length(seq) AS length, md5(seq) AS seq_md5 FROM ({_DOCS})"}
 _SQL_LETTERS = f"SELECT unnest(string_split(translate(seq, 'JOU', '[[['), '')) AS a, count(*) AS n FROM ({_DOCS}) GROUP BY 1"
 ORACLES |= {f"residue_scores_{m}": f"SELECT a, b, score, n FROM ({_SQL_LETTERS}) JOIN {_sql_matrix(m)} USING (a)" for m in matrices.MATRICES}
 ORACLES |= {f"sw_scores_{m}": sql_scores(NATIONS, PARTS, m) + "SELECT * FROM scored" for m in matrices.MATRICES}
