@@ -68,7 +68,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The models of the first stages are no SQL; tests hold every stage against a brute-force version.
+#: The models of the first stages are no SQL. Tests hold the language, toxicity and near-copy stages against plain
+#: rules on a table of odd rows, and the totals of mixing and packing; the operators have brute-force versions of their own.
 ORACLE_SQL = None
 
 
