@@ -66,16 +66,19 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the distribution of the benchmark's words, with their weights and scores."""
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of whole documents under counts and under the recurrent network; documents with hash remainder 2 of 7 are held out."""
     scored = lm.score_documents(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7, 2))
     return scored.select("doc_id", (~F.col("counted")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
