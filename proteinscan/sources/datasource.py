@@ -111,11 +111,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class FastaWriter(DataSourceWriter):
-    """Tasks write into a hidden folder; `commit` moves their files out, in order of partitions."""
+    """Tasks write into a hidden folder; `commit` moves their files out, in order of partitions.
+
+    The driver makes the folder and `abort` removes it. Tasks never make it, so one that is still
+    running when its job is given up fails instead of leaving a new folder behind.
+    """
 
     def __init__(self, path: str, names: list[str], width: int, overwrite: bool):
         self.path, self.names, self.width, self.overwrite = path, names, width, overwrite
         self.job = uuid.uuid4().hex
+        files, base = open_path(path)
+        files.create_dir(self._hidden(base), recursive=True)
 
     def _hidden(self, base: str) -> str:
         return f"{base}/_writing-{self.job}"
@@ -124,7 +130,6 @@ class FastaWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         files, base = open_path(self.path)
-        files.create_dir(self._hidden(base), recursive=True)
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.fa"
         header, seq = self.names.index("header"), self.names.index("seq")
