@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 LETTERS = "ABCDEFGHIKLMNPQRSTVWXYZ"
 DUMMY = len(LETTERS)
 PADDING = DUMMY + 1
+#: Code points of a sequence that are searched for rejected symbols at once.
+CHUNK = 65_536
 #: The dummy as a symbol.
 DUMMY_SYMBOL = "["
 #: Encoded residues are stored as bytes; a byte of 0 would end a translation table, so they start at 1.
@@ -55,6 +57,22 @@ def encoded(residues: Column) -> Column:
     return F.translate(symbols, LETTERS + DUMMY_SYMBOL, "".join(chr(FIRST_BYTE + k) for k in range(DUMMY + 1))).cast("binary")
 
 
+def rejected(residues: Column) -> Column:
+    """Symbols of cleaned residues that are no letters from A to Z, as an array of `offset` (from 0) and `symbol`.
+
+    Null and sequences of letters have none. A sequence is searched in chunks, so that memory follows a
+    chunk and what is found, not the sequence.
+    """
+
+    def of_chunk(start: Column) -> Column:
+        symbols = F.split(F.substring(residues, start + F.lit(1), F.lit(CHUNK)), "")
+        return F.filter(F.transform(symbols, lambda c, i: F.struct((start + i).cast("long").alias("offset"), c.alias("symbol"))), lambda x: x["symbol"].rlike("[^A-Z]"))
+
+    starts = F.sequence(F.lit(0), F.length(residues) - F.lit(1), F.lit(CHUNK))
+    none = F.array().cast("array<struct<offset:bigint,symbol:string>>")
+    return F.when(residues.rlike("[^A-Z]"), F.flatten(F.transform(starts, of_chunk))).otherwise(none)
+
+
 def letters_of(text: Column) -> Column:
     """The ASCII letters of a text as residues (null: none)."""
     return upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from proteinscan.functions import alignment, alphabet, matrices
@@ -206,14 +206,37 @@ def grid(db_residues: int, query_residues: int, portions: int, cores: int) -> tu
     return blocks, max(1, min(portions, -(-tasks // blocks)))
 
 
-def scores(db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, top: int | None = None, work=None) -> DataFrame:
+class Run:
+    """What a search itself observes while it runs; read it after the first action on the result.
+
+    `query_residues` is known beforehand; the database's sequences and residues are counted by the
+    rows that the search reads (`DataFrame.observe`), so no second scan is needed.
+    """
+
+    def __init__(self) -> None:
+        self.query_residues = 0
+        self._seen: Observation | None = None
+
+    def watch(self, rows: DataFrame, query_residues: int) -> DataFrame:
+        self.query_residues, self._seen = query_residues, Observation()
+        return rows.observe(self._seen, F.count("*").alias("sequences"), F.coalesce(F.sum(F.octet_length("residues")), F.lit(0)).alias("database_residues"))
+
+    def metrics(self) -> dict[str, int]:
+        """`sequences, database_residues, query_residues, cells`; zeros if nothing was searched."""
+        seen = self._seen.get if self._seen else {"sequences": 0, "database_residues": 0}
+        return {**seen, "query_residues": self.query_residues, "cells": seen["database_residues"] * self.query_residues}
+
+
+def scores(
+    db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, top: int | None = None, work=None, run: Run | None = None
+) -> DataFrame:
     """`query_no, input_pos, length, score` of all pairs; with `top`, each task's best ones of each query.
 
     One plan of (block, group of portions) keys: the database is read once, its rows are dealt over
     blocks by hash, and a task reads the queries of its group, a portion at a time, from the shared
     folder. With `top`, targets that cannot be among the best are skipped by an upper bound of
-    their scores. `work`, a pair of accumulators, gets the cells that were filled and skipped.
-    Headers are not read.
+    their scores. `work`, a pair of accumulators, gets the cells that were filled and skipped;
+    `run` observes what is read. Headers are not read.
     """
     alignment.check_gaps(gap_open, gap_extend)
     rows = db.select("input_pos", "residues")
@@ -223,6 +246,8 @@ def scores(db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, ga
     size = rows.agg(F.coalesce(F.sum(F.octet_length("residues")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     blocks, groups = grid(size["n"], passes.residues, len(passes.portions), db.sparkSession.sparkContext.defaultParallelism)
     blocks = max(1, min(blocks, size["rows"]))
+    if run is not None and size["rows"] and top != 0:
+        rows = run.watch(rows, passes.residues)
     own = F.array(*(F.array(*(F.lit(p).cast("long") for p in passes.portions[g::groups])) for g in range(groups)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("input_pos"), F.lit(blocks)).cast("int"))
     dealt = dealt.select("*", F.posexplode(own).alias("group", "portions"))
@@ -242,13 +267,15 @@ def best(scored: DataFrame, top: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def search(db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, top: int = 10) -> DataFrame:
+def search(db: DataFrame, queries: DataFrame, matrix: str = matrices.DEFAULT, gap_open: int = 10, gap_extend: int = 2, top: int = 10, run: Run | None = None) -> DataFrame:
     """Best hits of each query with headers, by query and rank. No sequences or queries: no rows.
 
+    `run` observes the search and has its metrics after an action.
+
     Headers are joined to the hits alone, after ranking. Hits, `top` rows of each query at most, are
     broadcast while they are few, so that headers stay where they are.
     """
-    hits = best(scores(db, queries, matrix, gap_open, gap_extend, top), top)
+    hits = best(scores(db, queries, matrix, gap_open, gap_extend, top, run=run), top)
     few = queries.count()
     hits = F.broadcast(hits) if few * max(1, top) <= BROADCAST_ROWS else hits
     named = db.select("input_pos", F.col("header").alias("target_header")).join(hits, "input_pos")

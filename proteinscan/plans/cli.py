@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("-g", "--gap_open", type=int, default=10)
     find.add_argument("-e", "--gap_extend", type=int, default=2)
     find.add_argument("-r", "--top", type=int, default=10)
+    pre.add_argument("--rejects", action="store_true", help="keep the symbols that are no letters, with their places")
     for command in (pre, find):
         command.add_argument("--strict", action="store_true", help="stop at symbols that are no letters")
     return out
@@ -38,7 +39,7 @@ def main(args: list[str] | None = None) -> int:
     ship_package(spark)
     if given.command == "preprocess":
         began = time.perf_counter()
-        about = database.preprocess(read_fasta(spark, given.input, given.strict), given.output).first()
+        about = database.preprocess(read_fasta(spark, given.input, given.strict), given.output, given.rejects).first()
         print(f"{given.output}: {about['sequences']} sequences, {about['residues']} residues, longest {about['longest']}, {time.perf_counter() - began:.2f} s")
         return 0
     db = database.load(spark, given.db)

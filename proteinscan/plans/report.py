@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proteinscan.operators.search import search
+from proteinscan.operators.search import Run, search
 
 
 def padded_length(length: Column) -> Column:
@@ -33,14 +33,18 @@ def cells(db: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def timed_search(db: DataFrame, queries: DataFrame, **parameters) -> tuple[DataFrame, dict]:
-    """The hits, computed, and the run's metrics; billions of cells a second count the whole search."""
+    """The hits, computed, and the run's metrics; billions of cells a second count the whole search.
+
+    Sequences, residues and cells are what the search observed while it ran.
+    """
     started = datetime.datetime.now().astimezone()
     began = time.perf_counter()
-    hits = search(db, queries, **parameters).cache()  # top rows of each query
-    hits.count()
+    run = Run()
+    hits = search(db, queries, run=run, **parameters).cache()  # top rows of each query
+    found = hits.count()
     seconds = time.perf_counter() - began
-    work = cells(db, queries).first()
-    return hits, {"started": started, "seconds": seconds, "cells": work["cells"], "gcups": work["cells"] / (seconds * 1e9), **parameters}
+    seen = run.metrics()
+    return hits, {"started": started, "seconds": seconds, "hits": found, **seen, "gcups": seen["cells"] / (seconds * 1e9), **parameters}
 
 
 def banner(about: dict, metrics: dict, db_name: str, query_name: str) -> Iterator[str]:

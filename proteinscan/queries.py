@@ -85,6 +85,22 @@ def search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.cells(_db(spark, sf_dir, DOCUMENTS), _queries(spark, sf_dir, BENCHMARK))
 
 
+def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search of part names for all nation names observed of itself: residues, cells and hits; one row."""
+    _, seen = report.timed_search(_db(spark, sf_dir, PARTS), _queries(spark, sf_dir, NATIONS), top=10)
+    columns = ("sequences", "database_residues", "query_residues", "cells", "hits")
+    return spark.createDataFrame([tuple(seen[c] for c in columns)], ", ".join(f"{c} long" for c in columns))
+
+
+def db_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts preprocessed as they are: the symbols that are no residues, with their places."""
+    path = new_path(spark, "database")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = rows.select(F.col("doc_id").alias("input_pos"), F.col("doc_id").cast("string").alias("header"), alphabet.clean(F.col("text")).alias("seq"))
+    database.preprocess(rows, path, rejects=True)
+    return database.rejected_symbols(spark, path).select("input_pos", F.col("offset").alias("residue"), "symbol")
+
+
 LENGTH_BIN, SCORE_BIN = 16, 10
 PORTION_RESIDUES = 200_000
 
@@ -262,6 +278,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         search_documents, seq_clean, residue_encode, fasta_roundtrip, db_info, db_sorted, db_append, db_portions, length_histogram, query_order, search_cells,
         score_profile, query_profile, sw_expr, sw_function, score_histogram, sw_topk, sw_topk_function, search_report,
+        search_metrics, db_rejected,
         fasta_source,
     )
 }
@@ -296,6 +313,15 @@ FROM ({_sql_positions(BENCHMARK)}) JOIN {_sql_matrix(matrices.DEFAULT)} ON a = s
   s.input_pos AS target_id, t.header AS target_header, s.length AS target_length
 FROM (SELECT *, {_SQL_RANK} AS rank FROM scored) AS s JOIN q USING (query_no) JOIN t ON t.input_pos = s.input_pos WHERE rank <= 10""",
 }
+_SQL_SYMBOLS = r"""SELECT doc_id, regexp_replace(text, '[\x09-\x0D\x20]', '', 'g') AS seq FROM documents"""
+ORACLES |= {
+    "search_metrics": f"""SELECT *, query_residues * database_residues AS cells FROM (SELECT coalesce(sum(length), 0) AS query_residues FROM ({_sql_numbered(NATIONS)})),
+  (SELECT count(*) AS sequences, coalesce(sum(length(seq)), 0) AS database_residues FROM ({_sql_sequences(PARTS)})),
+  (SELECT (SELECT count(*) FROM nation) * least(10, count(*)) AS hits FROM part)""",
+    "db_rejected": f"""SELECT input_pos, residue, symbol FROM (
+  SELECT doc_id AS input_pos, i AS residue, translate(substr(seq, i + 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS symbol
+  FROM (SELECT *, unnest(range(length(seq))) AS i FROM ({_SQL_SYMBOLS}))) WHERE NOT regexp_matches(symbol, '^[A-Z]$')""",
+}
 ORACLES |= {"sw_function": ORACLES["sw_expr"], "sw_topk_function": ORACLES["sw_topk"], "fasta_source": f"SELECT header, length(seq) AS length, md5(seq) AS seq_md5 FROM ({_DOCS})"}
 _SQL_LETTERS = f"SELECT unnest(string_split(translate(seq, 'JOU', '[[['), '')) AS a, count(*) AS n FROM ({_DOCS}) GROUP BY 1"
 ORACLES |= {f"residue_scores_{m}": f"SELECT a, b, score, n FROM ({_SQL_LETTERS}) JOIN {_sql_matrix(m)} USING (a)" for m in matrices.MATRICES}

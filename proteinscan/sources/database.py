@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proteinscan.functions.alphabet import encoded
+from proteinscan.functions.alphabet import encoded, rejected
 from proteinscan.operators.ranking import by_length
 from proteinscan.session import written
 
@@ -16,9 +16,13 @@ FILE_RESIDUES = 1 << 25
 FEW_ROWS = 100_000
 
 
-def with_residues(rows: DataFrame) -> DataFrame:
-    """`input_pos, header, length, residues` from `input_pos, header, seq`; a null sequence has none."""
-    return rows.select("input_pos", "header", F.coalesce(F.length("seq"), F.lit(0)).alias("length"), encoded(F.col("seq")).alias("residues"))
+def with_residues(rows: DataFrame, rejects: bool = False) -> DataFrame:
+    """`input_pos, header, length, residues` from `input_pos, header, seq`; a null sequence has none.
+
+    With `rejects`, `rejected` lists the symbols that are no letters, found in the same pass.
+    """
+    out = rows.select("input_pos", "header", F.coalesce(F.length("seq"), F.lit(0)).alias("length"), encoded(F.col("seq")).alias("residues"), "seq")
+    return out.withColumn("rejected", rejected(F.col("seq"))).drop("seq") if rejects else out.drop("seq")
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -37,13 +41,16 @@ def _stored(encoded: DataFrame, placed: DataFrame, files: int, path: str) -> Non
     Inside a file they are in database order.
     """
     dealt = encoded.repartition(files, "input_pos").join(placed.select("input_pos", "position").repartition(files, "input_pos"), "input_pos")
-    dealt.select("input_pos", "header", "length", "residues", "position").sortWithinPartitions("position").write.parquet(f"{path}/sequences")
+    dealt.select(*encoded.columns, "position").sortWithinPartitions("position").write.parquet(f"{path}/sequences")
 
 
-def preprocess(rows: DataFrame, path: str) -> DataFrame:
-    """Write `input_pos, header, seq` as a database and return its summary, which is stored too."""
+def preprocess(rows: DataFrame, path: str, rejects: bool = False) -> DataFrame:
+    """Write `input_pos, header, seq` as a database and return its summary, which is stored too.
+
+    With `rejects`, the symbols that are no letters are kept beside each sequence (see `rejected_symbols`).
+    """
     spark = rows.sparkSession
-    encoded = with_residues(rows)
+    encoded = with_residues(rows, rejects)
     placed = written(by_length(encoded), "placed")
     total = placed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
     _stored(encoded, placed, max(spark.sparkContext.defaultParallelism, -(-total // FILE_RESIDUES)), path)
@@ -61,7 +68,7 @@ def append(old: str, rows: DataFrame, path: str) -> DataFrame:
     """
     spark = rows.sparkSession
     known = load(spark, old)
-    fresh = written(with_residues(rows), "fresh")
+    fresh = written(with_residues(rows, "rejected" in known.columns), "fresh")
     if not isinstance(known.schema["input_pos"].dataType, T.StructType):
         last = known.agg(F.coalesce(F.max("input_pos"), F.lit(0)).alias("n")).first()["n"]
         number = by_length(fresh.select("input_pos", F.lit(0).alias("length"))).select("input_pos", F.col("position").alias("number"))
@@ -89,6 +96,17 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/sequences")
 
 
+def rejected_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """`input_pos, header, offset, symbol` of what a database preprocessed with `rejects` holds as the dummy.
+
+    One row a symbol, `offset` from 0 in the residues; a database without that column gives no rows.
+    Residues are not read.
+    """
+    db = load(spark, path)
+    found = F.col("rejected") if "rejected" in db.columns else rejected(F.lit(None).cast("string"))
+    return db.select("input_pos", "header", F.explode(found).alias("x")).select("input_pos", "header", "x.offset", "x.symbol")
+
+
 def info(spark: SparkSession, path: str) -> DataFrame:
     """The stored summary of a database; its sequences are not read."""
     return spark.read.parquet(f"{path}/summary")

@@ -352,3 +352,33 @@ def test_fasta_writer_keeps_every_row(spark, tmp_path):
     write_fasta(spark.createDataFrame(rows, "header string, seq string"), str(tmp_path / "out"))
     found = read_fasta(spark, str(tmp_path / "out")).collect()
     assert sorted((r["header"], r["seq"]) for r in found) == sorted([("a", "MKV"), ("", "WWW"), ("c", ""), ("two lines", "A" * 61), ("", ""), ("", "")])
+
+
+def test_rejected_symbols_beside_the_database(spark, tmp_path, monkeypatch):
+    """Every symbol that is no letter keeps its place, over chunks, past emoji; letters, null and empty texts have none."""
+    monkeypatch.setattr(alphabet, "CHUNK", 5)
+    texts = ["MK-V é😀L*", "mkvlaa", "", None, "A" * 17 + "1" + "C" * 4 + "??", "- "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "input_pos long, s string")
+    rows = rows.select("input_pos", F.col("input_pos").cast("string").alias("header"), alphabet.clean(F.col("s")).alias("seq"))
+    database.preprocess(rows, str(tmp_path / "db"), rejects=True)
+    found = database.rejected_symbols(spark, str(tmp_path / "db"))
+    want = {(i, k, c) for i, t in enumerate(texts) for k, c in enumerate((t or "").upper().replace(" ", "").replace("É", "é")) if not ("A" <= c <= "Z")}
+    assert {(r["input_pos"], r["offset"], r["symbol"]) for r in found.collect()} == want and found.count() == len(want)
+    more = rows.where("input_pos = 0").withColumn("input_pos", F.lit(1).cast("long"))
+    database.append(str(tmp_path / "db"), more, str(tmp_path / "more"))
+    assert database.rejected_symbols(spark, str(tmp_path / "more")).count() == len(want) + 4
+    database.preprocess(rows, str(tmp_path / "plain"))
+    assert database.rejected_symbols(spark, str(tmp_path / "plain")).count() == 0
+    assert "residues" not in str(found._jdf.queryExecution().executedPlan()).split("ReadSchema")[1]
+
+
+def test_a_search_observes_itself(spark):
+    """The metrics come from the search's own rows and equal a separate count; nothing to search gives zeros."""
+    db = database.with_residues(frame(spark, TARGETS))
+    queries = database.numbered_queries(frame(spark, ["MKV", "", "MKVLAA"]))
+    hits, seen = report.timed_search(db, queries, top=2)
+    assert seen["cells"] == report.cells(db, queries).first()["cells"] == 9 * sum(map(len, TARGETS))
+    assert seen["sequences"] == len(TARGETS) and seen["hits"] == hits.count() == 6
+    for few_db, few in ((db.where("false"), queries), (db, database.numbered_queries(frame(spark, []))), (db.where("false"), database.numbered_queries(frame(spark, [])))):
+        hits, seen = report.timed_search(few_db, few, top=2)
+        assert seen["cells"] == 0 and seen["hits"] == hits.count() == 0
