@@ -9,6 +9,7 @@ come from the orders in two rounds:
    until they hold at most PART_ROWS rows, so the depth follows how crowded a region is.
 2. Confirmed links make components. What a region still holds across components is compared as a
    whole, in pairs of blocks if it is crowded, on the full sets: no pair is lost to crowding.
+   In a crowded region sets travel as their differences from the region's common shingles.
 
 So two documents are found if they share a region in any tree, whatever else lies in it. Documents
 with equal shingle sets are one class from the start.
@@ -23,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proteinscan.llm.common import joined_by_hot_key, slices, written
 from proteinscan.llm.components import components
@@ -39,6 +41,8 @@ DEPTH = 12
 PART_ROWS = 256
 #: Rows of a region, or thousands of their shingles, that make a block; two blocks are compared at once.
 BLOCK = 512
+#: Rows of a region, or thousands of their shingles, from which its common shingles are taken.
+CORE_ROWS = 64
 #: Regions of more rows are dealt over SALTS tasks when they are joined with what belongs to them.
 CROWDED, SALTS = 4096, 16
 #: Rows of a run that a task holds at once.
@@ -221,12 +225,16 @@ def _met(orders: DataFrame) -> DataFrame:
     return orders.mapInArrow(walk, MET_SCHEMA)
 
 
-def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets share at least `percent` in a hundred of their union."""
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate([x, y])
     both.sort()
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * shared >= percent * (len(both) - shared)
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least `percent` in a hundred of their union."""
+    shared = _shared(x, y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,18 +259,17 @@ def _blocks(weight: Column) -> Column:
     return F.ceil(weight / F.lit(float(BLOCK))).cast("int")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows `id, region, salt, comp, n` of regions with several components, dealt into pairs of blocks.
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows `id, region, salt, comp, n` of regions with several components, each with its block of the region.
 
-    Adds `lo, hi`, the numbers of the two blocks, and `side`: 0 or 1 for the block, 2 if both are
-    one. A component that fills a block has blocks of its own, which are not paired with each other;
-    smaller ones share blocks. Every two rows across components meet in one pair of blocks.
+    Adds `mine`, the number of the row's block, `own`, the first block of its component and their
+    number (null if it shares blocks), `all`, the blocks of the region, `salts` and `weight` of it.
     """
     weight = F.greatest(F.lit(1.0), F.col("n") / 1024.0)
     comps = rows.groupBy("region", "comp").agg(F.sum(weight).alias("w"), F.max("salt").alias("salt"))
     large = F.when(F.col("w") >= BLOCK, F.struct("comp", _blocks(F.col("w")).alias("blocks")))
     layout = comps.groupBy("region").agg(
-        F.max("salt").alias("salts"), F.count("*").alias("comps"), F.sort_array(F.collect_list(large)).alias("large"),
+        F.max("salt").alias("salts"), F.count("*").alias("comps"), F.sort_array(F.collect_list(large)).alias("large"), F.sum("w").alias("weight"),
         F.coalesce(F.sum(F.when(F.col("w") < BLOCK, F.col("w"))), F.lit(0.0)).alias("small"),
     )
     # A region's components with a block of their own are fewer than its rows by a factor of BLOCK.
@@ -272,18 +279,91 @@ def _dealt(rows: DataFrame) -> DataFrame:
         return F.col("shared") + F.aggregate(some, F.lit(0), lambda s, x: s + x["blocks"])
 
     starts = F.transform("large", lambda x, i: F.struct(x["comp"].alias("comp"), x["blocks"].alias("blocks"), blocks_of(F.slice("large", F.lit(1), i)).alias("start")))
-    layout = layout.select("region", "salts", "shared", starts.alias("large"), blocks_of(F.col("large")).alias("all"))
+    layout = layout.select("region", "salts", "weight", "shared", starts.alias("large"), blocks_of(F.col("large")).alias("all"))
     layout = written(layout, "layout")
     # A region's rows have salts up to the largest that one of them has, whatever run gave it.
-    rows = rows.join(layout.withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))).drop("salts"), ["region", "salt"])
+    rows = rows.join(layout.withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))), ["region", "salt"])
     own = F.try_element_at(F.filter("large", lambda x: x["comp"] == F.col("comp")), F.lit(1))
     rows = rows.withColumn("own", own)
     first, blocks = F.coalesce(F.col("own.start"), F.lit(0)), F.coalesce(F.col("own.blocks"), F.col("shared"))
     rows = rows.withColumn("mine", first + F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
-    rows = rows.where(F.col("own").isNull() | (F.col("other") < F.col("own.start")) | (F.col("other") >= F.col("own.start") + F.col("own.blocks")))
+    return rows.select("id", "region", "salt", "comp", "mine", F.struct("own.start", "own.blocks").alias("own"), "all", "salts", "weight")
+
+
+def _paired(placed: DataFrame) -> DataFrame:
+    """Rows of `_placed`, with whatever they carry, once for each pair of blocks in which they are compared.
+
+    Adds `lo, hi`, the numbers of the two blocks, and `side`: 0 or 1 for the block, 2 if both are
+    one. A component that fills a block has blocks of its own, which are not paired with each other;
+    smaller ones share blocks. Every two rows across components meet in one pair of blocks.
+    """
+    rows = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    rows = rows.where(F.col("own.start").isNull() | (F.col("other") < F.col("own.start")) | (F.col("other") >= F.col("own.start") + F.col("own.blocks")))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    return rows.select("id", "comp", "region", lo.alias("lo"), hi.alias("hi"), F.when(lo == hi, F.lit(2)).otherwise((F.col("mine") == hi).cast("int")).alias("side"))
+    rows = rows.withColumns({"lo": lo, "hi": hi, "side": F.when(lo == hi, F.lit(2)).otherwise((F.col("mine") == hi).cast("int"))})
+    return rows.drop("salt", "mine", "other", "own", "all", "salts", "weight")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows `id, region, salt, comp, n` of regions with several components, dealt into pairs of blocks."""
+    return _paired(_placed(rows))
+
+
+def difference(shingles: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sorted shingles that are in one of the two sets only, and how many of `core` are missing in the set.
+
+    Two sets with differences x and y from one core, of which p and q shingles are missing, share
+    len(core) - p - q + |x and y| shingles: exact, whatever the core is.
+    """
+    delta = np.setxor1d(shingles, core, assume_unique=True)
+    return delta, (len(core) - len(shingles) + len(delta)) // 2
+
+
+def _cores(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """`region, salts, core`: the shingles in over half of a few rows of each region of several blocks.
+
+    The rows are chosen by the hash of their id, about CORE_ROWS rows or thousands of shingles of a
+    region, so that any region's sample fits in a task. A region whose rows are too long to be
+    chosen has no core; the sample changes how much travels, not what is found.
+    """
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) * F.col("weight") < F.lit(float(CORE_ROWS << 20))
+    sample = placed.where(F.col("all") > 1).where(share).select("region", "salts", "id").join(sets.select("id", "set"), "id")
+
+    def common(batches):
+        for batch in slices(batches, 16):
+            cores = []
+            for of_region in batch.column("sets").to_pylist():
+                values, times = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in of_region]), return_counts=True)
+                cores.append(values[2 * times > len(of_region)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("salts"), pa.array(cores, pa.binary())], names=["region", "salts", "core"])
+
+    return sample.groupBy("region", "salts").agg(F.collect_list("set").alias("sets")).mapInArrow(common, "region long, salts int, core binary")
+
+
+def _differences(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of `_placed` with `core_size, missing, delta` of their sets against the region's core.
+
+    Each row meets its set once, before it is dealt into pairs of blocks. A region of one block
+    keeps full sets, as they travel once.
+    """
+    cores = written(_cores(placed, sets), "cores")
+    rows = placed.join(sets.select("id", "set"), "id")
+    whole = rows.where(F.col("all") == 1).withColumns({"core_size": F.lit(0), "missing": F.lit(0)}).withColumnRenamed("set", "delta")
+    copies = cores.withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))).drop("salts")
+    many = rows.where(F.col("all") > 1).join(copies, ["region", "salt"], "left")
+    kept = [c for c in whole.columns if c not in ("core_size", "missing", "delta")]
+
+    def against(batches):
+        for batch in slices(batches, 256):
+            made = [
+                (len(c or b"") // 8, *difference(np.frombuffer(x, np.uint64), np.frombuffer(c or b"", np.uint64)))
+                for x, c in zip(batch.column("set").to_pylist(), batch.column("core").to_pylist(), strict=True)
+            ]
+            columns = [pa.array([m[0] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.array([m[1].tobytes() for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "core_size", "missing", "delta"])
+
+    schema = T.StructType([*(placed.schema[c] for c in kept), *(T.StructField(c, T.IntegerType()) for c in ("core_size", "missing")), T.StructField("delta", T.BinaryType())])
+    return whole.select(*kept, "core_size", "missing", "delta").union(many.select(*kept, "set", "core").mapInArrow(against, schema))
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -307,24 +387,28 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def links_across(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def links_across(comp: np.ndarray, side: np.ndarray, core_size: int, missing: np.ndarray, deltas: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions, of different components and sides, whose sets are alike enough.
 
-    Both ways of comparing are exact; the one with less work is taken.
+    Sets are given by their differences from a core of `core_size` shingles. Both ways of comparing
+    are exact; the one with less work is taken.
     """
     one = bool(side[0] == 2)
     a, b = (np.arange(len(comp)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    n = np.fromiter(map(len, sets), np.int32, len(sets))
+    width = np.fromiter(map(len, deltas), np.int64, len(deltas))
+    missing = missing.astype(np.int64)
+    n = core_size + width - 2 * missing
     x, y = n[a][:, None], n[b][None, :]
     wanted = (comp[a][:, None] != comp[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
     if one:
         wanted &= a[:, None] < b[None, :]
     i, j = np.nonzero(wanted)
-    if len(i) * (400 + n.mean()) < 2 * len(a) * len(b) + 100 * n.sum():
-        good = np.array([_alike(sets[p], sets[q], percent) for p, q in zip(a[i], b[j], strict=True)], bool)
+    if len(i) * (400 + width.mean()) < 2 * len(a) * len(b) + 100 * width.sum():
+        both = np.fromiter((_shared(deltas[p], deltas[q]) for p, q in zip(a[i], b[j], strict=True)), np.int64, len(i))
     else:
-        shared = shared_counts([sets[p] for p in a], [sets[q] for q in b])[i, j]
-        good = 100 * shared >= percent * (n[a[i]] + n[b[j]] - shared)
+        both = shared_counts([deltas[p] for p in a], [deltas[q] for q in b])[i, j]
+    shared = core_size - missing[a[i]] - missing[b[j]] + both
+    good = 100 * shared >= percent * (n[a[i]] + n[b[j]] - shared)
     return a[i[good]], b[j[good]]
 
 
@@ -342,10 +426,10 @@ def _merged(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([names[label[moved]], names[moved]], axis=1)
 
 
-def _across(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(dealt: DataFrame, percent: int) -> DataFrame:
     """`a, b`: components that are connected by a link inside a pair of blocks.
 
-    Full sets travel with the rows, so that a pair of blocks is decided where it meets.
+    The differences travel with the rows, so that a pair of blocks is decided where it meets.
     """
 
     def groups(batches):
@@ -365,13 +449,15 @@ def _across(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             comp, side = group.column("comp").to_numpy(), group.column("side").to_numpy()
             if (comp == comp[0]).all() or (side[0] != 2 and (side == side[0]).all()):
                 continue
-            a, b = links_across(comp, side, [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()], percent)
+            deltas = [np.frombuffer(x, np.uint64) for x in group.column("delta").to_pylist()]
+            a, b = links_across(comp, side, group.column("core_size")[0].as_py(), group.column("missing").to_numpy(), deltas, percent)
             if len(a):
                 found = _merged(comp, a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    rows = dealt.join(sets.select("id", "set"), "id").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "side")
-    return rows.select("region", "lo", "hi", "side", "comp", "set").mapInArrow(compare, "a long, b long").distinct()
+    rows = dealt.select("region", "lo", "hi", "side", "comp", "core_size", "missing", "delta")
+    rows = rows.repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "side")
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -427,7 +513,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     # Second round: whatever regions hold across the components found so far.
     sizes = sets.groupBy("id").agg(F.max("n").alias("n")).join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
     rows = written(met.select("id", "region", "salt").join(sizes, "id"), "regions")
-    merged = written(_across(_dealt(rows), sets, percent), "merged")
+    placed = written(_placed(rows), "placed")
+    merged = written(_across(_paired(_differences(placed, sets)), percent), "merged")
     if not merged.isEmpty():
         found = written(components(links.union(merged)), "components")
 

@@ -115,3 +115,25 @@ def test_a_region_after_a_cut_run_loses_no_row(spark, monkeypatch):
     for salted in (met, met.withColumn("salt", F.when(F.col("region") == 2, F.col("id") % neardup.SALTS).otherwise(F.col("salt")).cast("int"))):
         dealt = neardup._dealt(salted.select("id", "region", "salt", *described))
         assert {r["id"] for r in dealt.collect()} == set(range(90))
+
+
+def test_differences_from_any_core_give_exact_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(300, 200)).astype(np.uint64) for _ in range(30)]
+    comp, side = np.arange(30), np.where(np.arange(30) < 12, 0, 1)
+    for core in (np.empty(0, np.uint64), sets[3], np.arange(150, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)):
+        deltas, missing = zip(*(neardup.difference(s, core) for s in sets), strict=True)
+        for i, s in enumerate(sets):
+            assert missing[i] == len(np.setdiff1d(core, s)) and deltas[i].tolist() == sorted(set(s.tolist()) ^ set(core.tolist()))
+        for percent in (40, 45, 50, 60):
+            expected = {(i, j) for i in range(12) for j in range(12, 30) if neardup._alike(sets[i], sets[j], percent)}
+            a, b = neardup.links_across(comp, side, len(core), np.array(missing), list(deltas), percent)
+            assert set(zip(a.tolist(), b.tolist(), strict=True)) == expected
+
+
+def test_a_crowded_region_of_long_rows_needs_no_core(spark, crowding, monkeypatch):
+    """No row is chosen for the core: full sets travel, and the links are the same."""
+    monkeypatch.setattr(neardup, "CORE_ROWS", 0)
+    rng = random.Random(6)
+    texts = [*near_copies(rng, words(rng, 200), 90, 4), *(words(rng, 60) for _ in range(10))]
+    assert found_in(documents(spark, texts)) == brute_components(texts, 85)
