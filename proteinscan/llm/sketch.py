@@ -80,8 +80,10 @@ def _range_of(value: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows `doc_id, text` with `next_text`, the text of the next smaller doc_id (after the last: of the first).
 
-    Ids are dealt into ranges by the bytes of their texts; an id that many rows share, or that many
-    lack, has several ranges, by a hash of the text. A range gets, as its last row, a copy of the
+    Ids are dealt into ranges, whose number follows the bytes of all texts up to MAX_RANGES and whose
+    bounds are percentiles of rows, so ranges of long texts are larger; an id that many rows share,
+    or that many lack, has several ranges, by a hash of the text. Rows that agree in id and text
+    stay in one range. A range gets, as its last row, a copy of the
     first row of the range after it, so that one shuffle of the texts is enough. Rows without an id
     come last; rows that share one are ordered by that hash, then by text.
     """
