@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proteinscan.llm.common import bounded_sample, clean_labels, held_out, slices, with_text_columns, written
+from proteinscan.llm import minimise
+from proteinscan.llm.common import clean_labels, held_out, joined_by_hot_key, slices, with_text_columns, written
+from proteinscan.operators.ranking import with_prefix
 
-#: Labelled documents of each class that the model is fitted on, at most.
-FIT_ROWS = 4000
 #: Features: words, and their first letters, which catch inflected stems.
 PREFIXES = (4, 5, 6, 7)
 #: A feature counts if the likelihood ratio of its class difference is at least this.
@@ -35,6 +35,10 @@ EVIDENCE = 8.0
 #: Words that clearly mark the toxic class: log ratio, and evidence rare even as the best of all.
 CLEAR_LOG_RATIO, CLEAR_EVIDENCE = 4.0, 10.0
 PENALTY = 1e-3
+#: Passes over the labelled documents that the logistic model takes at most, and the largest part of the gradient that ends them.
+PASSES, TOLERANCE = 80, 3e-5
+#: Log odds are counted in bins, so many to one, up to MOST_ODDS.
+BINS, MOST_ODDS = 1024, 30
 #: What a false alarm costs, beside a toxic text that is missed, as shares of their classes.
 FALSE_ALARM = 5.0
 #: Texts that are scored together, and tokens whose features a task remembers.
@@ -290,65 +294,118 @@ def _bigram_model(counts: np.ndarray) -> np.ndarray:
     return np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
 
 
-def _count_bigrams(words, counts: np.ndarray, weight: float = 1.0) -> None:
-    for word in words:
-        codes = np.array([0, *map(_code, word), 0])
-        np.add.at(counts, (codes[:-1], codes[1:]), weight)
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Fit on all labelled documents that are not held out.
 
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on at most `fit_rows` labelled documents of each class that are not held out.
-
-    The character model is that of the sample's words, in which the clearly toxic words weigh as
-    much as all others together. The sample's texts are restored under it, and the logistic model
-    is fitted to those features whose classes differ by more than EVIDENCE. Its score is 0.5 where
-    halves of the sample, each scored by a model of the other half, are told apart best.
+    The character model is that of their words, in which the clearly toxic words weigh as much as
+    all others together. The texts are restored under it, and the logistic model is fitted to those
+    features whose classes differ by more than EVIDENCE. Its score is 0.5 where halves of the
+    documents, each scored by a model of the other half, are told apart best. Texts stay in the
+    tasks: counts, gradients and the histogram of the odds are summed over all rows.
     """
     known = clean_labels(labels, "toxic").where(~held_out(F.col("doc_id"), 5, 0) & F.col("label").isin(0, 1))
-    chosen = written(bounded_sample(known, "label", fit_rows), "chosen")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)))
-    sample = written(sample.withColumn("words", words), "sample")  # a bounded number of texts
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = known.select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
+    known = with_prefix(known, ["label", "h", "doc_id"], "label").select("doc_id", "label", (F.col("position") % 2).cast("int").alias("half"))
+    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = written(joined_by_hot_key(texts, written(known, "known"), "doc_id", F.col("text")).select("label", "half", "text"), "labelled")
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
         return ToxicityModel({}, -30.0, _bigram_model(np.zeros((_LETTERS, _LETTERS))))
-    bigrams = _characters(sample, sizes)
-
-    def restored(batches):
-        for batch in slices(batches, 64):
-            own = [sorted({f for w in set(_WORD.findall(t)) for f in features_of(w)}) for t in restore_all(batch.column("text").to_pylist(), bigrams)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, pa.list_(pa.string()))], names=["label", "features"])
-
-    rows = written(sample.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(restored, "label int, features array<string>"), "restored")
-    counted = rows.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    names = [r["feature"] for r in _two_sided(counted, sizes).collect()]  # bounded by the sample
-    number = {f: k for k, f in enumerate(sorted(names))}
+    bigrams = _characters(rows, sizes)
+    found = written(rows.mapInArrow(functools.partial(_restored, bigrams=bigrams), RESTORED), "restored")
+    counted = found.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    number = {f: k for k, f in enumerate(sorted(r["feature"] for r in _two_sided(counted, sizes).collect()))}  # the features of the model
 
     def numbered(batches):
-        for batch in slices(batches, 64):
-            own = [[number[f] for f in features if f in number] for features in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, pa.list_(pa.int32()))], names=["label", "features"])
-
-    sampled = sorted((r["label"], r["features"]) for r in rows.mapInArrow(numbered, "label int, features array<int>").collect())
-    rows, y = [f for _, f in sampled], np.array([k for k, _ in sampled], float)
-    weights, intercept = logistic(rows, y, len(number))
-    return ToxicityModel({f: float(weights[k]) for f, k in number.items()}, intercept - _cut(rows, y, len(number)), bigrams)
+        of: dict[str, list[int]] = {}
+        for batch in slices(batches, ROWS):
+            own = []
+            for words in batch.column("words").to_pylist():
+                features: set[int] = set()
+                for word in words.split():
+                    if (some := of.get(word)) is None:
+                        some = of[word] = [number[f] for f in features_of(word) if f in number]
+                    features.update(some)
+                own.append(np.array(sorted(features), np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("half"), pa.array(own, pa.binary())], names=["label", "half", "features"])
+            if len(of) > REMEMBERED:
+                of.clear()
+
+    rows = written(found.where("words IS NOT NULL").select("label", "half", "words").mapInArrow(numbered, "label int, half int, features binary"), "numbered")
+    weights, intercepts = _fitted(rows, len(number))
+    cut = _histogram_cut(rows, weights, intercepts)
+    return ToxicityModel({f: float(weights[2, k]) for f, k in number.items()}, float(intercepts[2]) - cut, bigrams)
+
+
+RESTORED = "label int, half int, words string, feature string, toxic long, n long"
+
+
+def _restored(batches, bigrams: np.ndarray):
+    """The distinct words of each restored text, and rows of features with the texts, and toxic ones, that have them."""
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    names = [f.split()[0] for f in RESTORED.split(", ")]
+    numbers: dict[str, int] = {}
+    own: dict[str, np.ndarray] = {}  # the numbers of a word's features
+    words_of: dict[str, tuple[str, ...]] = {}  # of a token
+    counts = np.zeros((2, 0), np.int64)
+    held = 0  # characters of the remembered tokens
+
+    def of(word: str) -> np.ndarray:
+        if (some := own.get(word)) is None:
+            some = own[word] = np.array([numbers.setdefault(f, len(numbers)) for f in features_of(word)], np.int32)
+        return some
+
+    def counted():
+        columns = [list(numbers), counts[1], counts.sum(axis=0)]
+        arrays = [pa.nulls(len(numbers), t) for t in kinds[:3]] + [pa.array(v, t) for v, t in zip(columns, kinds[3:], strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    for batch in slices(batches, ROWS):
+        texts, labels = [t.lower() for t in batch.column("text").to_pylist()], batch.column("label").to_numpy()
+        tokens = [set(t.split()) for t in texts]
+        new = set().union(*tokens) - words_of.keys()
+        reading = token_readings(new, bigrams)
+        for token in new:
+            words_of[token] = tuple(_WORD.findall(reading.get(token, token)))
+        held += sum(map(len, new))
+        joined, met = [], ([], [])
+        for label, mine, runs in zip(labels, tokens, run_readings(texts, bigrams), strict=True):
+            words = {w for t in mine for w in words_of[t]}.union(*(_WORD.findall(r) for r in runs))
+            joined.append(" ".join(sorted(words)))
+            if words:
+                met[label].append(np.unique(np.concatenate([of(w) for w in words])))
+        counts = np.pad(counts, ((0, 0), (0, len(numbers) - counts.shape[1])))
+        for label in (0, 1):
+            if met[label]:
+                counts[label] += np.bincount(np.concatenate(met[label]), minlength=len(numbers))
+        columns = [batch.column("label"), batch.column("half"), pa.array(joined, pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(texts), t) for t in kinds[3:])], names=names)
+        if max(len(words_of), len(numbers)) > REMEMBERED or held > REMEMBERED_CHARS:
+            yield counted()
+            for remembered in (words_of, numbers, own):
+                remembered.clear()
+            counts, held = np.zeros((2, 0), np.int64), 0
+    yield counted()
+
+
+def _characters(rows: DataFrame, sizes: dict[int, int]) -> np.ndarray:
+    words = rows.select("label", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
+    words = written(words.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")), "words")
+    counts, clear = _bigram_counts(words), _bigram_counts(_clear(words, sizes).withColumn("n", F.lit(1)))
+    if clear.sum():
+        counts += clear * (counts.sum() / clear.sum())
+    return _bigram_model(counts)
 
 
-def _characters(sample: DataFrame, sizes: dict[int, int]) -> np.ndarray:
+def _bigram_counts(words: DataFrame) -> np.ndarray:
+    """Pairs of characters in words that occur `n` times."""
     counts = np.zeros((_LETTERS, _LETTERS))
-    letters = F.regexp_replace("word", "[^a-z]", "~")
-    words = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
-    words = written(words, "words")
-    padded = words.select(F.concat(F.lit(" "), letters, F.lit(" ")).alias("p"), "n")
+    padded = words.select(F.concat(F.lit(" "), F.regexp_replace("word", "[^a-z]", "~"), F.lit(" ")).alias("p"), "n")
     pairs = padded.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - 1), lambda i: F.substring("p", i, F.lit(2)))).alias("pair"), "n")
     for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 28 * 28 rows
         a, b = (0 if c == " " else 27 if c == "~" else _code(c) for c in r["pair"])
         counts[a, b] += r["n"]
-    clear = [r["word"] for r in _clear(words, sizes).collect()]  # bounded by the sample
-    if clear and counts.sum():
-        _count_bigrams(sorted(clear), counts, counts.sum() / sum(len(w) + 1 for w in clear))
-    return _bigram_model(counts)
+    return counts
 
 
 def _rates(sizes: dict[int, int]) -> tuple[Column, Column]:
@@ -377,11 +434,7 @@ def _two_sided(counted: DataFrame, sizes: dict[int, int]) -> DataFrame:
 
 
 def _cut(rows: list[list[int]], y: np.ndarray, width: int) -> float:
-    """Log odds, under a model that has not seen the row, at which the classes are told apart best.
-
-    Best is the share of toxic rows above, less FALSE_ALARM times the share of others above; of cuts
-    that are equally good, the one in the widest gap.
-    """
+    """`_best_cut` of rows at hand, whose halves alternate in each class."""
     odds = np.empty(len(rows))
     half = np.where(y == 1, np.cumsum(y), np.cumsum(1 - y)) % 2  # of each class
     for own in (0, 1):
@@ -389,9 +442,35 @@ def _cut(rows: list[list[int]], y: np.ndarray, width: int) -> float:
         w, b = logistic([rows[i] for i in fitted], y[fitted], width)
         for i in np.flatnonzero(half != own):
             odds[i] = w[rows[i]].sum() + b
+    return _best_cut(odds, y, 1 - y)
+
+
+def _histogram_cut(rows: DataFrame, weights: np.ndarray, intercepts: np.ndarray) -> float:
+    """`_best_cut` of all rows of a table, each scored by the model of the other half; odds are counted in bins."""
+    bins = 2 * MOST_ODDS * BINS + 1
+
+    def add(batches, total):
+        counts = total.reshape(2, bins)
+        for flat, at, y, half in _present(batches):
+            odds = np.where(half == 0, np.bincount(at, weights[1][flat], len(y)) + intercepts[1], np.bincount(at, weights[0][flat], len(y)) + intercepts[0])
+            place = np.rint((np.clip(odds, -MOST_ODDS, MOST_ODDS) + MOST_ODDS) * BINS).astype(np.int64)
+            for label in (0, 1):
+                counts[label] += np.bincount(place[y == label], minlength=bins)
+
+    other, toxic = minimise.summed(rows, add, 2 * bins).reshape(2, bins)
+    held = np.flatnonzero(other + toxic)
+    return _best_cut(held / BINS - MOST_ODDS, toxic[held], other[held])
+
+
+def _best_cut(odds: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> float:
+    """Log odds, under a model that has not seen the row, at which the classes are told apart best.
+
+    Rows are counted by their odds. Best is the share of toxic rows above, less FALSE_ALARM times
+    the share of others above; of cuts that are equally good, the one in the widest gap.
+    """
     order = np.argsort(-odds, kind="stable")
-    odds, y = odds[order], y[order]
-    gain = np.cumsum(y) / max(1.0, y.sum()) - FALSE_ALARM * np.cumsum(1 - y) / max(1.0, (1 - y).sum())
+    odds, toxic, other = odds[order], toxic[order], other[order]
+    gain = np.cumsum(toxic) / max(1.0, toxic.sum()) - FALSE_ALARM * np.cumsum(other) / max(1.0, other.sum())
     gap = odds[:-1] - odds[1:]
     if not len(gap) or gap.max() <= 0:
         return 0.0
@@ -401,21 +480,63 @@ def _cut(rows: list[list[int]], y: np.ndarray, width: int) -> float:
     return float(odds[at] + odds[at + 1]) / 2
 
 
+def _loss(w: np.ndarray, flat: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss of weighted rows, and its gradient; `w` ends with the intercept."""
+    odds = np.bincount(at, w[flat], minlength=len(y)) + w[-1]
+    off = weight * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y)
+    return float(weight @ (np.logaddexp(0, odds) - y * odds)), np.append(np.bincount(flat, off[at], minlength=len(w) - 1), off.sum())
+
+
+def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Features of rows one after another, and the row of each."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter((f for r in rows for f in r), np.int64, int(sizes.sum())), np.repeat(np.arange(len(rows)), sizes)
+
+
+def _present(batches):
+    """Features and rows, classes and halves of the batches of numbered rows."""
+    for batch in slices(batches, 4096):
+        own = [np.frombuffer(f, np.int32) for f in batch.column("features").to_pylist()]
+        flat = np.concatenate(own).astype(np.int64) if own else np.empty(0, np.int64)
+        yield flat, np.repeat(np.arange(len(own)), [len(f) for f in own]), batch.column("label").to_numpy().astype(float), batch.column("half").to_numpy()
+
+
+def _fitted(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of logistic models of half 0, of half 1 and of all rows, which share their passes."""
+    sizes = np.zeros(2)
+    for r in rows.groupBy("half").agg(F.count("*").alias("n")).collect():
+        sizes[r["half"]] = r["n"]
+
+    def evaluate(w):
+        def add(batches, total):
+            gradient = total[1:].reshape(w.shape)
+            for flat, at, y, half in _present(batches):
+                for k in range(3):
+                    weight = np.full(len(y), 1 / sizes.sum()) if k == 2 else (half == k) / max(1.0, sizes[k])
+                    loss, own = _loss(w[k], flat, at, y, weight)
+                    total[0] += loss
+                    gradient[k] += own
+
+        total = minimise.summed(rows, add, 1 + w.size)
+        return _penalised(w, total[0], total[1:].reshape(w.shape), PENALTY)
+
+    w = minimise.minimum(evaluate, np.zeros((3, width + 1)), PASSES, TOLERANCE)
+    return w[:, :-1], w[:, -1]
+
+
+def _penalised(w: np.ndarray, value: float, gradient: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    gradient = gradient.copy()
+    gradient[..., :-1] += penalty * w[..., :-1]
+    return value + 0.5 * penalty * float((w[..., :-1] ** 2).sum()), gradient
+
+
 def logistic(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 400, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a penalised logistic model over rows of present features, by momentum."""
+    """Weights and intercept of a penalised logistic model over rows of present features that are at hand."""
     if not rows:
         return np.zeros(width), 0.0
-    sizes = np.array([len(r) for r in rows])
-    flat = np.fromiter((f for r in rows for f in r), np.int64, int(sizes.sum()))
-    at = np.repeat(np.arange(len(rows)), sizes)
-    w, v = np.zeros(width + 1), np.zeros(width + 1)
-    step = 1.0 / (1.0 + sizes.mean() / 4 + sizes.std() / 4)
-    for _ in range(steps):
-        odds = np.bincount(at, w[flat], minlength=len(rows)) + w[-1]
-        off = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) / len(rows)
-        gradient = np.append(np.bincount(flat, off[at], minlength=width) + penalty * w[:-1], off.sum())
-        v = 0.9 * v - step * gradient
-        w = w + v
+    flat, at = _flat(rows)
+    weight = np.full(len(rows), 1 / len(rows))
+    w = minimise.minimum(lambda w: _penalised(w, *_loss(w, flat, at, y, weight), penalty), np.zeros(width + 1), steps, 1e-8)
     return w[:-1], float(w[-1])
 
 

@@ -286,6 +286,31 @@ def test_cut_lies_in_the_gap_between_the_classes():
     assert toxicity._cut([[], []], np.array([0.0, 1.0]), 0) == 0.0
 
 
+def test_toxicity_is_fitted_on_every_labelled_row(spark):
+    """Words that only all six of their texts together give enough evidence, in more texts than any sample held."""
+    rng = random.Random(12)
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 5]
+    marks = rng.sample(["".join(w) for w in itertools.product("bcdfgh", "aeiou", "klmnpqrstvwxyz")] + ["".join(w) for w in itertools.product("klmnp", "aeiou", "bcdfghjkqrst")], 700)
+    rows = [(i, marks[k // 6], 1) for k, i in enumerate(ids[: 6 * len(marks)])] + [(i, "zz" + rng.choice("abc"), 0) for i in ids[6 * len(marks) : 12 * len(marks)]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fit(table, table)
+    assert len(rows) == 8400 and set(marks) <= model.weights.keys()
+    assert min(model.weights[m] for m in marks) > 0 > model.weights["zza"]
+
+
+def test_models_of_a_table_equal_those_of_rows_at_hand(spark):
+    rng = np.random.default_rng(6)
+    rows = [sorted(set(rng.integers(0, 9, 4).tolist())) for _ in range(400)]
+    y = np.array([float(rng.random() < (0.8 if 0 in r else 0.1)) for r in rows])
+    half = (np.where(y == 1, np.cumsum(y), np.cumsum(1 - y)) % 2).astype(int)
+    table = spark.createDataFrame([(int(k), int(h), bytes(np.array(r, np.int32))) for r, k, h in zip(rows, y, half, strict=True)], "label int, half int, features binary").repartition(5)
+    weights, intercepts = toxicity._fitted(table, 9)
+    for k, own in enumerate((half == 0, half == 1, half >= 0)):
+        w, b = toxicity.logistic([rows[i] for i in np.flatnonzero(own)], y[own], 9)
+        assert np.abs(weights[k] - w).max() < 0.01 and abs(intercepts[k] - b) < 0.01
+    assert abs(toxicity._histogram_cut(table, weights, intercepts) - toxicity._cut(rows, y, 9)) < 0.02
+
+
 def test_decoding_in_pieces_equals_decoding_whole(monkeypatch):
     rng = random.Random(8)
     bigrams = toxicity._bigram_model(np.array([[rng.random() * 9 for _ in range(28)] for _ in range(28)]))
