@@ -7,7 +7,8 @@ its unseen words as much as it has different words). So P(token) = P(class | sta
 All unseen words of a class are one event, as all unseen words are one in the unigram base.
 
 Training is truncated backpropagation in the tasks that hold the documents: a start on a bounded
-sample, then rounds over parts of every document, each round's weights averaged by tokens.
+sample, then rounds over parts of every document that make up the whole of it, each round's
+weights averaged by tokens.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ HEAD, TAIL, HIDDEN, LETTERS = 1024, 32, 16, 2
 START_DOCS, START_TOKENS = 2000, 512
 #: Lanes whose gradients make one step of training: of the start and of a round.
 START_LANES, ROUND_LANES = 64, 128
-#: Rounds of training, each on a part of every document: one token in SHARE of it, LEAST tokens at least.
-ROUNDS, SHARE, LEAST = 3, 8, 48
+#: Rounds of training, each on a part of every document; together they read every token once.
+ROUNDS = 3
 #: Tokens that run side by side: of a task that scores, and of a step of training.
 CHUNK = 1 << 21
 FIT_CHUNK = 1 << 19
@@ -104,13 +105,11 @@ def resolved(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def _parts(ids: np.ndarray, start: int, round_: int, rounds: int) -> tuple[np.ndarray, int]:
     """The part of a document that a round reads, and the id before it.
 
-    Parts of different rounds start at different shares of the document, which its own ids vary.
+    The parts of all rounds are the whole document, each token once. Which part comes first is told by the ids.
     """
-    size = min(len(ids), max(LEAST, -(-len(ids) // (SHARE * rounds))))
-    room = len(ids) - size
-    turn = int(ids[: 1 << 12].astype(np.int64).sum()) % 997 / 997
-    at = round(room * ((round_ + turn) / rounds % 1.0)) if room else 0
-    return ids[at : at + size], (int(ids[at - 1]) if at else start)
+    k = (round_ + int(ids[: 1 << 12].astype(np.int64).sum())) % rounds
+    at, end = len(ids) * k // rounds, len(ids) * (k + 1) // rounds
+    return ids[at:end], (int(ids[at - 1]) if at else start)
 
 
 def _documents(batches, most: int):

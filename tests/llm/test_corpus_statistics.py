@@ -216,6 +216,18 @@ def test_training_learns_an_order():
     assert before < -200 and after > -40
 
 
+def test_rounds_train_on_every_token_once():
+    rng = np.random.default_rng(9)
+    for size in (1, 2, 3, 47, 400, 5001):
+        ids = rng.permutation(size).astype(np.uint16)
+        parts = [lm._parts(ids, SHAPE.start, k, lm.ROUNDS) for k in range(lm.ROUNDS)]
+        assert sorted(np.concatenate([p for p, _ in parts]).tolist()) == list(range(size))
+        for part, before in parts:
+            if len(part):
+                at = int(np.flatnonzero(ids == part[0])[0])
+                assert ids[at : at + len(part)].tolist() == part.tolist() and before == (int(ids[at - 1]) if at else SHAPE.start)
+
+
 def test_lm_without_rows_to_learn_from(spark, docs, none):
     rows = lm.score_documents(docs, F.lit(False)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0.0 and r["score"] < 0 for r in rows) and len(rows) == docs.count()
