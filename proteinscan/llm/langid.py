@@ -9,13 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from proteinscan.llm.common import bounded_sample, held_out, slices, with_text_columns, written
+from proteinscan.llm import minimise
+from proteinscan.llm.common import held_out, slices, with_text_columns, written
 
-#: Texts that the machines are fitted on, at most: of each language, and of all of them.
-FIT_ROWS = 800
-FIT_ROWS_ALL = 16_000
+#: Passes over all texts that the machines take at most, and the largest part of the gradient that ends them.
+PASSES, TOLERANCE, PENALTY = 40, 1e-4, 1e-4
 DIMENSIONS = 2048
 UNDETERMINED = "und"
 
@@ -73,21 +72,42 @@ def features(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarra
     return out
 
 
-def linear_machine(x: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> np.ndarray:
-    """Weights (last: intercept) of a squared-hinge linear machine for y of -1 and 1, by momentum.
+def linear_machines(rows: DataFrame, codes: dict[str, int], pairs: list[tuple[set[str], set[str]]]) -> np.ndarray:
+    """Weights (last: intercept) of squared-hinge linear machines, a column for each pair of sets of languages.
 
-    Everything has 32 bits, as the features do; a wider factor would have them copied in every step.
+    `rows` have `code`, the number of the language, and `x`, features in 16 bits. A machine tells the
+    texts of the first set from those of the second, which weigh alike together. All machines share
+    their passes, in which every row is read.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    y = y.astype(np.float32)
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
-    for _ in range(steps):
-        slack = np.maximum(np.float32(0), np.float32(1) - y * (x @ w))
-        gradient = np.float32(penalty) * w - np.float32(2) * ((share * slack * y) @ x)
-        v = np.float32(0.9) * v - np.float32(0.1) * gradient
-        w = w + v
-    return w
+    sizes = np.zeros(len(codes))
+    for r in rows.groupBy("code").agg(F.count("*").alias("n")).collect():  # a row for each language
+        sizes[r["code"]] = r["n"]
+    side, share = np.zeros((2, len(codes), len(pairs)), np.float32)
+    for k, sets in enumerate(pairs):
+        for names, sign in zip(sets, (1, -1), strict=True):
+            own = [codes[n] for n in sorted(names)]
+            side[own, k], share[own, k] = sign, 0.5 / max(1.0, sizes[own].sum())
+
+    def evaluate(w):
+        narrow = w.astype(np.float32)
+
+        def add(batches, total):
+            gradient = total[1:].reshape(w.shape)
+            for batch in slices(batches, 512):
+                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float16).astype(np.float32).reshape(batch.num_rows, -1)
+                code = batch.column("code").to_numpy()
+                y = side[code]
+                slack = np.maximum(np.float32(0), np.float32(1) - y * (x @ narrow[:-1] + narrow[-1]))
+                weighted = share[code] * slack
+                total[0] += float((weighted * slack).sum(dtype=np.float64))
+                back = weighted * y
+                gradient[:-1] -= 2 * (x.T @ back)
+                gradient[-1] -= 2 * back.sum(axis=0)
+
+        total = minimise.summed(rows, add, 1 + w.size)
+        return total[0] + 0.5 * PENALTY * float((w * w).sum()), total[1:].reshape(w.shape) + PENALTY * w
+
+    return minimise.minimum(evaluate, np.zeros((DIMENSIONS + 1, len(pairs))), PASSES, TOLERANCE).astype(np.float32)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -131,45 +151,30 @@ class Hierarchy:
         return langs, scores
 
 
-def fit_hierarchy(x: np.ndarray, langs: list[str]) -> Hierarchy:
-    families: dict[str, list[str]] = {}
-    for lang in sorted(set(langs)):
-        families.setdefault(family_of(lang), []).append(lang)
-    lang_of, fam_of = np.array(langs, dtype=object), np.array([family_of(v) for v in langs], dtype=object)
-
-    def machines(names: list[str], label: np.ndarray) -> dict[tuple[str, str], np.ndarray]:
-        out = {}
-        for a, b in itertools.combinations(names, 2):
-            rows = (label == a) | (label == b)
-            out[a, b] = linear_machine(x[rows], np.where(label[rows] == a, 1.0, -1.0))
-        return out
-
-    return Hierarchy(families, machines(sorted(families), fam_of), {f: machines(v, lang_of) for f, v in families.items()})
-
+def fit(docs: DataFrame) -> Hierarchy:
+    """Fit on all documents that have a language and a letter and are not held out, rows that share a doc_id too.
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_rows_all: int = FIT_ROWS_ALL) -> Hierarchy:
-    """Fit on at most `fit_rows` documents of each language that are not held out.
-
-    With so many languages that these would be more than `fit_rows_all`, each gets an equal share of
-    that number, one document at least, so no language is left out. Of rows that share a doc_id and
-    a language one is taken. There is a machine for each pair of families, and of languages in one.
+    There is a machine for each pair of families, and of languages in one.
     """
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).distinct()
-    languages = known.agg(F.count_distinct("lang").alias("n")).first()["n"]
-    chosen = written(bounded_sample(known, "lang", max(1, min(fit_rows, fit_rows_all // max(1, languages)))), "chosen")
+    known = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
+    codes = {r["lang"]: k for k, r in enumerate(known.select("lang").distinct().orderBy("lang").collect())}
 
     def describe(batches):
         for batch in slices(batches, 256):
             told = batch.filter(pa.array([has_letter(t) for t in batch.column("text").to_pylist()], pa.bool_()))
             x = [v.tobytes() for v in features(told.column("text").to_pylist()).astype(np.float16)]
-            yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("lang"), pa.array(x, pa.binary())], names=["doc_id", "lang", "x"])
-
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # a bounded number of rows
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("x", T.BinaryType())])
-    rows = texts.mapInArrow(describe, schema).groupBy("doc_id", "lang").agg(F.min("x").alias("x")).collect()
-    rows.sort(key=lambda r: (r["lang"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
-    return fit_hierarchy(x, [r["lang"] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([codes[v] for v in told.column("lang").to_pylist()], pa.int32()), pa.array(x, pa.binary())], names=["code", "x"])
+
+    rows = written(known.mapInArrow(describe, "code int, x binary"), "grams")
+    met = {r["code"] for r in rows.select("code").distinct().collect()}
+    families: dict[str, list[str]] = {}
+    for lang in sorted(n for n, k in codes.items() if k in met):
+        families.setdefault(family_of(lang), []).append(lang)
+    between = list(itertools.combinations(sorted(families), 2))
+    inside = {f: list(itertools.combinations(names, 2)) for f, names in families.items()}
+    pairs = [(set(families[a]), set(families[b])) for a, b in between] + [({a}, {b}) for own in inside.values() for a, b in own]
+    machines = iter(linear_machines(rows, codes, pairs).T if pairs else ())
+    return Hierarchy(families, {p: next(machines) for p in between}, {f: {p: next(machines) for p in own} for f, own in inside.items()})
 
 
 def predict_language(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -> DataFrame:

@@ -11,10 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proteinscan.llm.common import bounded_sample, clean_labels, held_out, with_text_columns
+from proteinscan.llm.common import clean_labels, held_out, joined_by_hot_key, with_text_columns, written
 
-#: Labelled rows of each class that the model is fitted on, at most.
-FIT_ROWS = 20_000
 SHRINKAGE = 0.1
 
 STATISTICS = (
@@ -129,10 +127,9 @@ def fit_discriminant(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], s
     return Discriminant(center, scale, np.array(priors), np.array(means), np.array(factors), np.array(log_dets))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discriminant:
-    """Fit on at most `fit_rows` labelled documents of each class that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """Fit on all labelled documents that are not held out: sums of their statistics and of products of these."""
     known = clean_labels(labels, "quality").where(~held_out(F.col("doc_id"), 3, 1) & F.col("label").isin(0, 1))
-    chosen = bounded_sample(known, "label", fit_rows)
     d = len(STATISTICS)
 
     def moments(frames):
@@ -145,8 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discrim
                 sums[k][2] += x.T @ x
         yield pd.DataFrame({"label": list(sums), "n": [v[0] for v in sums.values()], "s": [v[1].tolist() for v in sums.values()], "p": [v[2].ravel().tolist() for v in sums.values()]})
 
-    # The sample has a fixed bound, so it is broadcast and the texts stay where they are.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    labelled = joined_by_hot_key(docs.select("doc_id", "text"), written(known, "known"), "doc_id", F.col("text")).select("label", "text")
     parts = labelled.mapInPandas(moments, "label int, n double, s array<double>, p array<double>")
     flat = parts.select("label", F.posexplode(F.concat(F.array("n"), "s", "p")).alias("at", "v"))
     sums: dict[int, np.ndarray] = {k: np.zeros(1 + d + d * d) for k in (0, 1)}

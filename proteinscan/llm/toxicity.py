@@ -21,6 +21,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ EVIDENCE = 8.0
 #: Words that clearly mark the toxic class: log ratio, and evidence rare even as the best of all.
 CLEAR_LOG_RATIO, CLEAR_EVIDENCE = 4.0, 10.0
 PENALTY = 1e-3
-#: Passes over the labelled documents that the logistic model takes at most, and the largest part of the gradient that ends them.
-PASSES, TOLERANCE = 80, 3e-5
+#: Passes over the labelled documents that a logistic model takes at most, and the relative change that ends them.
+PASSES, TOLERANCE = 100, 1e-6
+#: Features that a task counts before it sends the counts.
+COUNTED = 1 << 19
 #: Log odds are counted in bins, so many to one, up to MOST_ODDS.
 BINS, MOST_ODDS = 1024, 30
 #: What a false alarm costs, beside a toxic text that is missed, as shares of their classes.
@@ -380,7 +384,7 @@ def _restored(batches, bigrams: np.ndarray):
                 counts[label] += np.bincount(np.concatenate(met[label]), minlength=len(numbers))
         columns = [batch.column("label"), batch.column("half"), pa.array(joined, pa.string())]
         yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(texts), t) for t in kinds[3:])], names=names)
-        if max(len(words_of), len(numbers)) > REMEMBERED or held > REMEMBERED_CHARS:
+        if len(words_of) > REMEMBERED or len(numbers) > COUNTED or held > REMEMBERED_CHARS:
             yield counted()
             for remembered in (words_of, numbers, own):
                 remembered.clear()
@@ -502,26 +506,23 @@ def _present(batches):
 
 
 def _fitted(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts of logistic models of half 0, of half 1 and of all rows, which share their passes."""
-    sizes = np.zeros(2)
-    for r in rows.groupBy("half").agg(F.count("*").alias("n")).collect():
-        sizes[r["half"]] = r["n"]
-
-    def evaluate(w):
-        def add(batches, total):
-            gradient = total[1:].reshape(w.shape)
-            for flat, at, y, half in _present(batches):
-                for k in range(3):
-                    weight = np.full(len(y), 1 / sizes.sum()) if k == 2 else (half == k) / max(1.0, sizes[k])
-                    loss, own = _loss(w[k], flat, at, y, weight)
-                    total[0] += loss
-                    gradient[k] += own
-
-        total = minimise.summed(rows, add, 1 + w.size)
-        return _penalised(w, total[0], total[1:].reshape(w.shape), PENALTY)
-
-    w = minimise.minimum(evaluate, np.zeros((3, width + 1)), PASSES, TOLERANCE)
-    return w[:, :-1], w[:, -1]
+    """Weights and intercepts of logistic models of half 0, of half 1 and of all rows; without both classes a half tells nothing."""
+    sizes = np.zeros((3, 2))
+    for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect():  # at most 4 rows
+        sizes[[r["half"], 2], r["label"]] += r["n"]
+    weights, intercepts = np.zeros((3, width)), np.zeros(3)
+    vector = F.udf(lambda f: Vectors.sparse(width, np.frombuffer(f, np.int32), np.ones(len(f) // 4)), VectorUDT(), useArrow=False)
+    vectors = rows.select("half", F.col("label").cast("double").alias("label"), vector("features").alias("features"))
+    machine = LogisticRegression(regParam=PENALTY, standardization=False, maxIter=PASSES, tol=TOLERANCE, family="binomial")
+    for k, own in enumerate((vectors.where("half = 0"), vectors.where("half = 1"), vectors)):
+        if not sizes[k].all():
+            continue
+        if width:
+            model = machine.fit(own)
+            weights[k], intercepts[k] = model.coefficients.toArray(), model.intercept
+        else:
+            intercepts[k] = math.log(sizes[k, 1] / sizes[k, 0])
+    return weights, intercepts
 
 
 def _penalised(w: np.ndarray, value: float, gradient: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:

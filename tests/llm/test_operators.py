@@ -333,6 +333,48 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict_language(docs, langid.fit(docs.where("false"))).collect()} == {"und"}
 
 
+def test_language_is_fitted_on_every_row(spark):
+    """A form of a language that two of its 1300 texts have is learned, wherever their rows lie."""
+    rng = random.Random(10)
+
+    def text(letters):
+        return " ".join("".join(rng.choices(letters, k=5)) for _ in range(8))
+
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 != 1][:2600]
+    rows = [(i, text("thewaornd" if k % 2 else "üchenstiß"), "en" if k % 2 else "de") for k, i in enumerate(ids)]
+    # The last ids by the hash, which no sample of the lowest ones reaches.
+    late = sorted(ids, key=lambda i: rows[ids.index(i)][2])
+    order = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "pmod(xxhash64(doc_id), 1073741824) AS h").collect()}
+    for lang, letters in (("en", "кгдж"), ("de", "αβγδ")):
+        own = sorted((i for i in late if rows[ids.index(i)][2] == lang), key=order.get)
+        for i in own[-40:]:
+            rows[ids.index(i)] = (i, text(letters), lang)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert model.predict([text("кгдж") for _ in range(5)] + [text("αβγδ") for _ in range(5)])[0] == ["en"] * 5 + ["de"] * 5
+
+
+def test_language_machines_are_at_their_optimum(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((90, langid.DIMENSIONS)).astype(np.float16)
+    x[:, 3:] = 0
+    code = np.arange(90) % 3
+    x[code == 0, 0] += np.float16(0.5)
+    table = spark.createDataFrame([(int(c), v.tobytes()) for c, v in zip(code, x, strict=True)], "code int, x binary").repartition(4)
+    w = langid.linear_machines(table, {"a": 0, "b": 1, "c": 2}, [({"a"}, {"b", "c"}), ({"b"}, {"c"})]).astype(float)
+    wide = np.hstack([x.astype(float), np.ones((90, 1))])
+    for k, y in enumerate((np.where(code == 0, 1.0, -1.0), np.where(code == 1, 1.0, np.where(code == 2, -1.0, 0.0)))):
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), np.where(y < 0, 0.5 / (y < 0).sum(), 0))
+        slack = np.maximum(0, 1 - y * (wide @ w[:, k]))
+        assert np.abs(langid.PENALTY * w[:, k] - 2 * (share * slack * y) @ wide).max() < 1e-3
+
+
+def test_quality_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(quality, "fit_discriminant", lambda moments: {k: m[0] for k, m in moments.items()})
+    ids = [i for i in range(70_000) if zlib.crc32(str(i).encode()) % 3 != 1][:41_000]
+    table = spark.createDataFrame([(i, "a b", k % 2) for k, i in enumerate(ids)], "doc_id long, text string, quality int")
+    assert quality.fit(table, table) == {0: 20_500, 1: 20_500}
+
+
 def test_samples_are_bounded(spark):
     rows = spark.range(5000).selectExpr("id AS doc_id", "int(id % 10 = 0) AS label")
     found = {r["label"]: r["count"] for r in common.bounded_sample(rows, "label", 100).groupBy("label").count().collect()}
