@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import itertools
 import math
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -59,15 +61,16 @@ LOOKALIKES = {
 _COST_LOOKALIKE, _COST_DROP_MARK, _COST_DROP_DIGIT, _COST_DROP_REPEAT, _COST_DROP_GAP, _COST_KEEP_EDGE, _COST_KEEP_INSIDE = 1.0, 2.5, 6.0, 0.2, 1.0, 0.5, 4.0
 _LETTERS = 28  # 0: word end, 1 to 26: a to z, 27: any other letter
 
-#: Characters of a token that are decoded at once, those at each inner end that another piece
-#: decides, and pieces that are held at once.
-PIECE, MARGIN, PIECES = 120, 30, 512
+#: Characters of a token that are decoded at once, and those at each inner end that another piece decides.
+PIECE, MARGIN = 120, 30
 
 #: Single characters with gaps of one or two marks or spaces, or of more if an underscore is among
-#: them. Each character has one way to match, so time follows the length of the text.
+#: them. Each character has one way to match, so time follows the length of the text. A run follows
+#: white space, where the search for it starts, so a text's first run needs some before it; two
+#: characters then tell most words from a run.
 _GAP = r"(?=[ ._*\-]{1,2}(?![ ._*\-])|[ .*\-]*_)[ ._*\-]++"
 _ONE = r"(?:[^\W_]|[@$!|+])"
-_SPACED = re.compile(rf"(?<!\S)(?:_[ ._*\-]++)?{_ONE}(?:{_GAP}{_ONE})+(?![^\W_])")
+_SPACED = re.compile(rf"\s(?=[\w@$!|+][ ._*\-])((?:_[ ._*\-]++)?{_ONE}(?:{_GAP}{_ONE})+(?![^\W_]))")
 _MARK = re.compile(r"[\w@$!|+]")
 _LONG_STRETCH = re.compile(r"([^\W\d_])\1{3,}")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1|(?:([^\W\d_])\2[^\W\d_]?){3}")  # or three doubled letters
@@ -83,9 +86,15 @@ def _code(ch: str) -> int:
 
 def features_of(word: str) -> list[str]:
     """A word and its stems: its first letters, marked by a star."""
-    if len(word) < PREFIXES[0]:
+    size = len(word)
+    if size < PREFIXES[0]:
         return [word]
-    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n]]
+    return [word, *[word[:n] + "*" for n in PREFIXES if size >= n]]
+
+
+def roots_of(features) -> frozenset[str]:
+    """The first letters of words that may have some of the features; words with other first letters have none."""
+    return frozenset(f[: PREFIXES[0]] for f in features)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -96,43 +105,51 @@ class ToxicityModel:
     intercept: float
     bigrams: np.ndarray
     #: What a task remembers of tokens, as one reads the same wherever it stands: features of those
-    #: that have some, and all others.
+    #: that have some, and all that it met.
     known: dict[str, set[str]] = dataclasses.field(default_factory=dict, repr=False, compare=False)
-    others: set[str] = dataclasses.field(default_factory=set, repr=False, compare=False)
+    met: set[str] = dataclasses.field(default_factory=set, repr=False, compare=False)
     #: Characters of the remembered tokens.
     held: list[int] = dataclasses.field(default_factory=lambda: [0], repr=False, compare=False)
 
     def __reduce__(self):
         return ToxicityModel, (self.weights, self.intercept, self.bigrams)
 
+    @functools.cached_property
+    def roots(self) -> frozenset[str]:
+        return roots_of(self.weights)
+
     def restore(self, text: str | None) -> str:
         return restore_all([text], self.bigrams)[0]
 
-    def _features(self, restored: str) -> set[str]:
-        """Features of restored letters, which may be several words, that have a weight."""
-        words = (restored,) if restored.isalpha() else _WORD.findall(restored)
-        return {f for word in words for f in features_of(word) if f in self.weights}
+    def _features(self, words) -> set[str]:
+        """Features of words that have a weight."""
+        roots, first = self.roots, PREFIXES[0]
+        return {f for word in words if word[:first] in roots for f in features_of(word) if f in self.weights}
 
     def found(self, texts: list[str | None]) -> list[set[str]]:
         """The distinct features of each restored text that have a weight."""
         lowered = [(t or "").lower() for t in texts]
         tokens = [set(t.split()) for t in lowered]
-        new = set().union(*tokens) - self.known.keys() - self.others
-        reading = token_readings(new, self.bigrams)
-        for token in new:
-            if features := self._features(reading.get(token, token)):
+        new = set().union(*tokens) - self.met
+        plain, reading = token_readings(new, self.bigrams)
+        roots, first = self.roots, PREFIXES[0]
+        for word, own in plain.items():
+            if word[:first] in roots and (features := self._features((word,))):
+                self.known.update(dict.fromkeys(own, features))
+        for token, read in reading.items():
+            if features := self._features(_WORD.findall(read)):
                 self.known[token] = features
-            else:
-                self.others.add(token)
-        out = [set().union(*map(self.known.__getitem__, own & self.known.keys())) for own in tokens]
+        self.met.update(new)
+        known = self.known.keys()
+        out = [set().union(*map(self.known.__getitem__, own & known)) for own in tokens]
         for own, runs in zip(out, run_readings(lowered, self.bigrams), strict=True):
             for run in runs:
-                own.update(self._features(run))
+                own.update(self._features(_WORD.findall(run)))
         self.held[0] += sum(map(len, new))
-        if len(self.known) + len(self.others) > REMEMBERED or self.held[0] > REMEMBERED_CHARS:
+        if len(self.met) > REMEMBERED or self.held[0] > REMEMBERED_CHARS:
             self.held[0] = 0
             self.known.clear()
-            self.others.clear()
+            self.met.clear()
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -147,24 +164,25 @@ def _letter_span(token: str) -> tuple[int, int]:
     return first, next((i for i in reversed(range(first, len(token))) if token[i].isalpha()), -1)
 
 
+@functools.lru_cache(maxsize=4096)
+def _readings(ch: str, inside: bool) -> list[tuple[int, str, float]]:
+    """The readings of a character: code, letter and cost; an empty letter drops it."""
+    if ch.isalpha():
+        return [(_code(ch), ch, 0.0)]
+    kept = (0, " ", 0.0 if ch in " ._-" else _COST_KEEP_INSIDE if inside else _COST_KEEP_EDGE)
+    dropped = (-1, "", _COST_DROP_GAP if ch in " ._*-" else _COST_DROP_DIGIT if ch.isdigit() else _COST_DROP_MARK)
+    return [kept, dropped, *((_code(x), x, _COST_LOOKALIKE) for x in LOOKALIKES.get(ch, ""))]
+
+
 def _lattice(token: str, start: int, stop: int) -> list[list[tuple[int, str, float]]]:
-    """The readings of each position of a part of a token: code, letter and cost; an empty letter drops it."""
-    out = []
+    """The readings of each position of a part of a token."""
     first, last = _letter_span(token)
+    out = [_readings(token[i], first < i < last) for i in range(start, stop)]
     doubled = _DOUBLED.search(token) is not None
     for i in range(start, stop):
         ch = token[i]
-        readings = []
-        if ch.isalpha():
-            readings.append((_code(ch), ch, 0.0))
-            if i and token[i - 1] == ch and (doubled or (i > 1 and token[i - 2] == ch) or (i + 1 < len(token) and token[i + 1] == ch)):
-                readings.append((-1, "", _COST_DROP_REPEAT))
-        else:
-            inside = first < i < last
-            readings.append((0, " ", 0.0 if ch in " ._-" else _COST_KEEP_INSIDE if inside else _COST_KEEP_EDGE))
-            readings.append((-1, "", _COST_DROP_GAP if ch in " ._*-" else _COST_DROP_DIGIT if ch.isdigit() else _COST_DROP_MARK))
-            readings += [(_code(x), x, _COST_LOOKALIKE) for x in LOOKALIKES.get(ch, "")]
-        out.append(readings)
+        if i and token[i - 1] == ch and (doubled or (i > 1 and token[i - 2] == ch) or token[i + 1 : i + 2] == ch) and ch.isalpha():
+            out[i - start] = [*out[i - start], (-1, "", _COST_DROP_REPEAT)]
     return out
 
 
@@ -178,85 +196,66 @@ def _cuts(length: int) -> list[tuple[int, int, int, int]]:
 
 
 def viterbi(tokens: list[str], bigrams: np.ndarray) -> list[str]:
-    """The likeliest reading of each token; pieces of a length are decoded together."""
-    parts: dict[str, list[str]] = {}
-    by_length: dict[int, list[tuple[str, int, tuple[int, int, int, int]]]] = {}
-    for token in set(tokens):
-        cuts = _cuts(len(token))
-        parts[token] = [""] * len(cuts)
-        for k, cut in enumerate(cuts):
-            by_length.setdefault(cut[1] - cut[0], []).append((token, k, cut))
-    for length, group in by_length.items():
-        for at in range(0, len(group), PIECES):
-            some = group[at : at + PIECES]
-            found = _decode([(t, cut[0], cut[1]) for t, _, cut in some], length, bigrams)
-            for (token, k, (start, _, lo, hi)), letters in zip(some, found, strict=True):
-                parts[token][k] = "".join(letters[lo - start : hi - start])
-    return ["".join(parts[t]) for t in tokens]
-
-
-def _decode(pieces: list[tuple[str, int, int]], length: int, bigrams: np.ndarray) -> list[list[str]]:
-    """What each position of pieces of one length reads as.
-
-    The state is the last letter written, so a dropped character keeps every state.
+    """The likeliest reading of each token."""
+    steps = bigrams.tolist()
+    out = []
+    for token in tokens:
+        parts = [(_decode(_lattice(token, start, stop), steps)[lo - start : hi - start]) for start, stop, lo, hi in _cuts(len(token))]
+        out.append("".join(x for part in parts for x in part))
+    return out
+
+
+def _decode(lattice: list[list[tuple[int, str, float]]], steps: list[list[float]]) -> list[str]:
+    """What each position of a lattice reads as.
+
+    The state is the last letter written, so a dropped character keeps every state, and a position
+    of one reading leaves one. States are kept in order: of equally good ones the first is taken.
     """
-    lattices = [_lattice(*p) for p in pieces]
-    n = len(pieces)
-    best = np.full((n, _LETTERS), -np.inf)
-    best[:, 0] = 0.0
-    came: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(length):
-        now = np.full((n, _LETTERS), -np.inf)
-        prev = np.zeros((n, _LETTERS), np.int8)
-        read = np.full((n, _LETTERS), -1, np.int8)
-        width = max(len(x[at]) for x in lattices)
-        for k in range(width):
-            rows = np.array([i for i, x in enumerate(lattices) if k < len(x[at])])
-            codes = np.array([lattices[i][at][k][0] for i in rows])
-            costs = np.array([lattices[i][at][k][2] for i in rows])
-            drop = codes < 0
-            if drop.any():
-                r = rows[drop]
-                value = best[r] - costs[drop][:, None]
-                better = value > now[r]
-                now[r] = np.where(better, value, now[r])
-                prev[r] = np.where(better, np.arange(_LETTERS, dtype=np.int8), prev[r])
-                read[r] = np.where(better, np.int8(k), read[r])
-            if (~drop).any():
-                r, c = rows[~drop], codes[~drop]
-                steps = best[r] + bigrams[:, c].T
-                arg = steps.argmax(axis=1)
-                value = steps[np.arange(len(r)), arg] - costs[~drop]
-                better = value > now[r, c]
-                r, c, arg, value = r[better], c[better], arg[better], value[better]
-                now[r, c], prev[r, c], read[r, c] = value, arg, k
-        best = now
-        came.append((prev, read))
-    state = (best + bigrams[:, 0]).argmax(axis=1)
-    letters: list[list[str]] = [[""] * length for _ in range(n)]
-    rows = np.arange(n)
-    for at in reversed(range(length)):
-        prev, read = came[at]
-        chosen = read[rows, state]
-        for i in range(n):
-            letters[i][at] = lattices[i][at][chosen[i]][1]
-        state = prev[rows, state].astype(np.int64)
-    return letters
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # value, and what was read, the last first
+    for readings in lattice:
+        now: dict[int, tuple[float, tuple | None]] = {}
+        for code, letter, cost in readings:
+            if code < 0:
+                for state, (value, way) in states.items():
+                    value -= cost
+                    if state not in now or value > now[state][0]:
+                        now[state] = value, (letter, way)
+                continue
+            best, taken = -math.inf, None
+            for state, (value, way) in states.items():
+                value += steps[state][code]
+                if value > best:
+                    best, taken = value, way
+            best -= cost
+            if code not in now or best > now[code][0]:
+                now[code] = best, (letter, taken)
+        states = dict(sorted(now.items())) if len(now) > 1 else now
+    way = max(states.items(), key=lambda s: s[1][0] + steps[s[0]][0])[1][1]
+    letters = []
+    while way is not None:
+        letter, way = way
+        letters.append(letter)
+    return letters[::-1]
 
 
 def _suspect(word: str) -> bool:
     return not word.isalpha() and any(map(str.isalnum, word)) or _STRETCHED.search(word) is not None
 
 
-def token_readings(tokens: set[str], bigrams: np.ndarray) -> dict[str, str]:
-    """Readings of the tokens that may be obfuscated; all others read as they are."""
-    core: dict[str, str] = {}
-    plain: dict[str, list[str]] = {}  # words of letters only, and the tokens that hold them between marks
+def token_readings(tokens: set[str], bigrams: np.ndarray) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Words that read as they are, with the tokens that hold them between marks, and readings of all other tokens."""
+    plain: dict[str, list[str]] = {}  # words of letters only
+    reading: dict[str, str] = {}
+    core: dict[str, str] = {}  # of the tokens that may be obfuscated
     for token in tokens:
-        word = token.strip(_MARKS)
+        word = token if token.isalpha() else token.strip(_MARKS)
         if word.isalpha():
-            plain.setdefault(word, []).append(token)
+            if word in plain:
+                plain[word].append(token)
+            else:
+                plain[word] = [token]
         else:
+            reading[token] = token
             word = _LONG_STRETCH.sub(r"\1\1\1", _EDGE.sub("", token))
             if len(word) > 1 and _suspect(word):
                 core[token] = word
@@ -265,8 +264,8 @@ def token_readings(tokens: set[str], bigrams: np.ndarray) -> dict[str, str]:
         start, end = joined.rfind(" ", 0, found.start()) + 1, joined.find(" ", found.start())
         end = end if end >= 0 else len(joined)
         word = joined[start:end]
-        core |= dict.fromkeys(plain[word], _LONG_STRETCH.sub(r"\1\1\1", word))
-    return _read(core, bigrams)
+        core |= dict.fromkeys(plain.pop(word), _LONG_STRETCH.sub(r"\1\1\1", word))
+    return plain, reading | _read(core, bigrams)
 
 
 def _read(core: dict[str, str], bigrams: np.ndarray) -> dict[str, str]:
@@ -277,7 +276,7 @@ def _read(core: dict[str, str], bigrams: np.ndarray) -> dict[str, str]:
 
 def run_readings(lowered: list[str], bigrams: np.ndarray) -> list[list[str]]:
     """Readings of the runs of spaced-out letters in each text."""
-    spaced = [[r for r in _SPACED.findall(t) if len(_MARK.findall(r)) >= LEAST_SPACED] for t in lowered]
+    spaced = [[r for r in _SPACED.findall(f" {t}") if len(_MARK.findall(r)) >= LEAST_SPACED] for t in lowered]
     reading = _read({r: r for runs in spaced for r in runs}, bigrams)
     return [[reading[r] for r in runs] for runs in spaced]
 
@@ -289,7 +288,7 @@ def restore_all(texts: list[str | None], bigrams: np.ndarray) -> list[str]:
     """
     lowered = [(t or "").lower() for t in texts]
     tokens = [t.split() for t in lowered]
-    reading = token_readings(set().union(*tokens), bigrams)
+    _, reading = token_readings(set().union(*tokens), bigrams)
     return [" ".join([*(reading.get(w, w) for w in own), *runs]) for own, runs in zip(tokens, run_readings(lowered, bigrams), strict=True)]
 
 
@@ -322,11 +321,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     def numbered(batches):
         of: dict[str, list[int]] = {}
+        first, roots = PREFIXES[0], roots_of(number)
         for batch in slices(batches, ROWS):
             own = []
             for words in batch.column("words").to_pylist():
                 features: set[int] = set()
-                for word in words.split():
+                for word in [w for w in words.split() if w[:first] in roots]:
                     if (some := of.get(word)) is None:
                         some = of[word] = [number[f] for f in features_of(word) if f in number]
                     features.update(some)
@@ -348,17 +348,16 @@ def _restored(batches, bigrams: np.ndarray):
     """The distinct words of each restored text, and rows of features with the texts, and toxic ones, that have them."""
     kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
     names = [f.split()[0] for f in RESTORED.split(", ")]
-    numbers: dict[str, int] = {}
-    own: dict[str, np.ndarray] = {}  # the numbers of a word's features
-    words_of: dict[str, tuple[str, ...]] = {}  # of a token
+    most = 1 + len(PREFIXES)
+
+    def begin():
+        """Numbers of words and of features, the words, the features of each (-1: no more), and the numbers of a token's words."""
+        return defaultdict(itertools.count().__next__), defaultdict(itertools.count().__next__), [], np.empty((0, most), np.int64), {}
+
+    word_number, numbers, spelled, table, words_of = begin()
     counts = np.zeros((2, 0), np.int64)
     held = 0  # characters of the remembered tokens
 
-    def of(word: str) -> np.ndarray:
-        if (some := own.get(word)) is None:
-            some = own[word] = np.array([numbers.setdefault(f, len(numbers)) for f in features_of(word)], np.int32)
-        return some
-
     def counted():
         columns = [list(numbers), counts[1], counts.sum(axis=0)]
         arrays = [pa.nulls(len(numbers), t) for t in kinds[:3]] + [pa.array(v, t) for v, t in zip(columns, kinds[3:], strict=True)]
@@ -368,26 +367,34 @@ def _restored(batches, bigrams: np.ndarray):
         texts, labels = [t.lower() for t in batch.column("text").to_pylist()], batch.column("label").to_numpy()
         tokens = [set(t.split()) for t in texts]
         new = set().union(*tokens) - words_of.keys()
-        reading = token_readings(new, bigrams)
-        for token in new:
-            words_of[token] = tuple(_WORD.findall(reading.get(token, token)))
+        plain, reading = token_readings(new, bigrams)
+        for word, own in plain.items():
+            words_of.update(dict.fromkeys(own, (word_number[word],)))
+        for token, read in reading.items():
+            words_of[token] = tuple(map(word_number.__getitem__, _WORD.findall(read)))
         held += sum(map(len, new))
-        joined, met = [], ([], [])
-        for label, mine, runs in zip(labels, tokens, run_readings(texts, bigrams), strict=True):
-            words = {w for t in mine for w in words_of[t]}.union(*(_WORD.findall(r) for r in runs))
-            joined.append(" ".join(sorted(words)))
-            if words:
-                met[label].append(np.unique(np.concatenate([of(w) for w in words])))
+        rows = [
+            set().union(*map(words_of.__getitem__, mine), *(map(word_number.__getitem__, _WORD.findall(r)) for r in runs))
+            for mine, runs in zip(tokens, run_readings(texts, bigrams), strict=True)
+        ]
+        added = list(itertools.islice(word_number, len(spelled), None))
+        spelled += added
+        table = np.concatenate([table, np.full((len(added), most), -1)])
+        for at, word in enumerate(added, len(table) - len(added)):
+            own = features_of(word)
+            table[at, : len(own)] = [numbers[f] for f in own]
+        flat, at = _flat(rows)
+        present = table[flat]
+        pairs = (at[:, None] * len(numbers) + present)[present >= 0]
+        row, feature = np.divmod(np.unique(pairs), max(1, len(numbers)))
         counts = np.pad(counts, ((0, 0), (0, len(numbers) - counts.shape[1])))
         for label in (0, 1):
-            if met[label]:
-                counts[label] += np.bincount(np.concatenate(met[label]), minlength=len(numbers))
-        columns = [batch.column("label"), batch.column("half"), pa.array(joined, pa.string())]
+            counts[label] += np.bincount(feature[labels[row] == label], minlength=len(numbers))
+        columns = [batch.column("label"), batch.column("half"), pa.array([" ".join(map(spelled.__getitem__, sorted(own))) for own in rows], pa.string())]
         yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(texts), t) for t in kinds[3:])], names=names)
         if len(words_of) > REMEMBERED or len(numbers) > COUNTED or held > REMEMBERED_CHARS:
             yield counted()
-            for remembered in (words_of, numbers, own):
-                remembered.clear()
+            word_number, numbers, spelled, table, words_of = begin()
             counts, held = np.zeros((2, 0), np.int64), 0
     yield counted()
 
@@ -513,6 +520,7 @@ def _fitted(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     weights, intercepts = np.zeros((3, width)), np.zeros(3)
     vector = F.udf(lambda f: Vectors.sparse(width, np.frombuffer(f, np.int32), np.ones(len(f) // 4)), VectorUDT(), useArrow=False)
     vectors = rows.select("half", F.col("label").cast("double").alias("label"), vector("features").alias("features"))
+    vectors = written(vectors, "vectors")  # read in several passes of each model
     machine = LogisticRegression(regParam=PENALTY, standardization=False, maxIter=PASSES, tol=TOLERANCE, family="binomial")
     for k, own in enumerate((vectors.where("half = 0"), vectors.where("half = 1"), vectors)):
         if not sizes[k].all():

@@ -5,6 +5,7 @@ import io
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -286,6 +287,26 @@ def test_cut_lies_in_the_gap_between_the_classes():
     assert toxicity._cut([[], []], np.array([0.0, 1.0]), 0) == 0.0
 
 
+def test_toxicity_forms_features_only_of_words_that_may_have_weights(monkeypatch):
+    weights, real, asked = {"stupid": 2.0, "stup*": 1.0, "so": 0.5}, toxicity.features_of, []
+    model = toxicity.ToxicityModel(weights, 0.0, toxicity._bigram_model(np.ones((28, 28))))
+    monkeypatch.setattr(toxicity, "features_of", lambda word: (asked.append(word), real(word))[1])
+    texts = ["So plain, stupidly said", "(stupid) sole words", "other words 12 a-b", "s t u p o r", None] * 2
+    plain = [{f for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for f in real(w) if f in weights} for t in texts]
+    plain[3] = plain[8] = {"stup*"}
+    monkeypatch.setattr(toxicity, "run_readings", lambda lowered, _: [["stupor"] if t.startswith("s t") else [] for t in lowered])
+    assert model.found(texts) == plain
+    assert set(asked) == {"so", "stupidly", "stupid", "stupor"}
+
+
+def test_spaced_runs_begin_after_white_space_or_at_the_start():
+    plain = re.compile(toxicity._SPACED.pattern.replace(r"\s(?=[\w@$!|+][ ._*\-])(", r"(?<!\S)(", 1))
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1$ ._*-\n\t\u00a0\u00e9") for _ in range(rng.randrange(30))) for _ in range(4000)]
+    found = [toxicity._SPACED.findall(f" {t}") for t in texts]
+    assert found == [plain.findall(t) for t in texts] and sum(map(len, found)) > 1000
+
+
 def test_toxicity_is_fitted_on_every_labelled_row(spark):
     """Words that only all six of their texts together give enough evidence, in more texts than any sample held."""
     rng = random.Random(12)
