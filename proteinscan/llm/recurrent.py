@@ -107,66 +107,96 @@ class _Window:
     def __init__(self, model: dict, before: np.ndarray, keep: np.ndarray, state: np.ndarray):
         steps, lanes = before.shape
         n = state.shape[1]
-        fed = np.take(model["inputs"], before, axis=0)
+        turn = np.where(np.arange(3 * n) < 2 * n, np.float32(-1), np.float32(1))  # gates take exp(-x)
+        fed, across = np.take(model["inputs"] * turn, before, axis=0), model["state"] * turn
         self.states = np.empty((steps + 1, lanes, n), np.float32)
-        self.held, self.update, self.reset, self.new, self.inner = (np.empty((steps, lanes, n), np.float32) for _ in range(5))
+        self.held, self.new = (np.empty((steps, lanes, n), np.float32) for _ in range(2))
+        #: What the state adds to the update and reset gates, which then are made in its place, and to the new values.
+        self.inner, self.gates = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 2 * n), np.float32)
         self.states[0] = state
-        across = np.empty((lanes, 3 * n), np.float32)
-        gates = np.empty((lanes, 2 * n), np.float32)
         for t in range(steps):
             held = np.multiply(self.states[t], keep[t][:, None], out=self.held[t])
-            np.matmul(held, model["state"], out=across)
-            np.add(across[:, : 2 * n], fed[t, :, : 2 * n], out=gates)
-            gates *= -1
+            inner = np.matmul(held, across, out=self.inner[t])
+            gates = np.add(inner[:, : 2 * n], fed[t, :, : 2 * n], out=self.gates[t])
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            self.update[t], self.reset[t], self.inner[t] = gates[:, :n], gates[:, n:], across[:, 2 * n :]
-            new = np.multiply(gates[:, n:], across[:, 2 * n :], out=self.new[t])
+            new = np.multiply(gates[:, n:], inner[:, 2 * n :], out=self.new[t])
             new += fed[t, :, 2 * n :]
             np.tanh(new, out=new)
             after = np.subtract(held, new, out=self.states[t + 1])
             after *= gates[:, :n]
             after += new
 
+    def back(self, model: dict, by_state: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients by the state weights and by what is fed in, from those by the states."""
+        steps, lanes, n = self.held.shape
+        held, new, z, r = self.held, self.new, self.gates[..., :n], self.gates[..., n:]
+        by_new = (1 - z) * (1 - new * new)
+        by_gates = np.concatenate([(held - new) * z * (1 - z), by_new * self.inner[..., 2 * n :] * r * (1 - r), by_new * r], axis=2)
+        turned, carried = np.ascontiguousarray(model["state"].T), np.zeros((lanes, n), np.float32)
+        back = np.empty((lanes, n), np.float32)
+        for t in reversed(range(steps)):
+            carried += by_state[t]
+            by_new[t] *= carried
+            through = by_gates[t].reshape(lanes, 3, n)
+            through *= carried[:, None]
+            carried *= z[t]
+            carried += np.matmul(by_gates[t], turned, out=back)
+            carried *= keep[t][:, None]
+        by_weights = held.reshape(-1, n).T @ by_gates.reshape(-1, 3 * n)
+        by_gates[..., 2 * n :] = by_new
+        return by_weights, by_gates
+
 
 def _outputs(model: dict, shape: Shape, states: np.ndarray, ids: np.ndarray, weight: np.ndarray | None, grads: dict | None):
-    """Natural log probability of each id, and with `grads` the gradient of the weighted sum by state."""
-    rows = np.arange(len(ids))
+    """Natural log probability of each id, and with `grads` the gradient of the weighted sum by state.
+
+    Rows are taken in the order of their classes, so that those of a class lie together.
+    """
     kind = shape.class_of(ids)
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(kind[order], np.arange(shape.own_classes + 1))
+    states, ids, kind = states[order], ids[order], kind[order]
+    rows = np.arange(len(ids))
+    slots = ids[: ends[-1]] % PER
     scores = states @ model["out"]
     scores += model["bias"]
-    chosen = scores[rows, kind]
+    logs = scores[rows, kind]
     np.exp(scores, out=scores)
-    total = scores.sum(axis=1)
-    logs = chosen - np.log(total)
+    total = scores @ np.ones(scores.shape[1], np.float32)
+    logs -= np.log(total)
     back = None
     if grads is not None:
+        weight = weight[order]
         scores *= (-weight / total)[:, None]
         scores[rows, kind] += weight
-        grads["out"], grads["bias"] = states.T @ scores, scores.sum(axis=0)
+        grads["out"], grads["bias"] = states.T @ scores, np.ones(len(ids), np.float32) @ scores
         back = scores @ model["out"].T
         grads["words"], grads["word_bias"] = np.zeros_like(model["words"]), np.zeros_like(model["word_bias"])
-    order = np.argsort(kind.astype(np.uint16), kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(shape.own_classes + 1))
-    own = order[: ends[-1]]
-    inside, slots = states[own], ids[own] % PER
-    for k in np.flatnonzero(np.diff(ends)):
-        s, e = ends[k], ends[k + 1]
-        words = inside[s:e] @ model["words"][k]
-        words += model["word_bias"][k]
-        at = np.arange(e - s)
-        picked = words[at, slots[s:e]]
-        np.exp(words, out=words)
-        sums = words.sum(axis=1)
-        logs[own[s:e]] += picked - np.log(sums)
-        if grads is not None:
-            w = weight[own[s:e]]
-            words *= (-w / sums)[:, None]
-            words[at, slots[s:e]] += w
-            grads["words"][k], grads["word_bias"][k] = inside[s:e].T @ words, words.sum(axis=0)
-            back[own[s:e]] += words @ model["words"][k].T
-    return logs, back
+    words = np.empty((ends[-1], PER), np.float32)
+    met = [(k, slice(ends[k], ends[k + 1])) for k in np.flatnonzero(np.diff(ends)).tolist()]
+    for k, own in met:
+        np.matmul(states[own], model["words"][k], out=words[own])
+        words[own] += model["word_bias"][k]
+    rows = rows[: ends[-1]]
+    picked = words[rows, slots]
+    np.exp(words, out=words)
+    sums = words @ np.ones(PER, np.float32)
+    logs[: ends[-1]] += picked - np.log(sums)
+    if grads is not None:
+        w = weight[: ends[-1]]
+        words *= (-w / sums)[:, None]
+        words[rows, slots] += w
+        for k, own in met:
+            np.matmul(states[own].T, words[own], out=grads["words"][k])
+            words[own].sum(axis=0, out=grads["word_bias"][k])
+            back[own] += words[own] @ model["words"][k].T
+        in_order, back = back, np.empty_like(back)
+        back[order] = in_order
+    out = np.empty_like(logs)
+    out[order] = logs
+    return out, back
 
 
 def log_likelihoods(model: dict, shape: Shape, documents: list[np.ndarray], window: int = 2 * WINDOW) -> np.ndarray:
@@ -197,27 +227,12 @@ class Trainer:
             state = self._step(before, ids, (document >= 0).ravel(), keep, state[: ids.shape[1]])
 
     def _step(self, before: np.ndarray, ids: np.ndarray, known: np.ndarray, keep: np.ndarray, state: np.ndarray) -> np.ndarray:
-        model, n, active = self.model, self.shape.hidden, ids.shape[1]
+        model, n = self.model, self.shape.hidden
         count = int(known.sum())
         run = _Window(model, before, keep, state)
         grads: dict[str, np.ndarray] = {}
         _, back = _outputs(model, self.shape, run.states[1:].reshape(-1, n), ids.ravel(), known.astype(np.float32) / np.float32(max(1, count)), grads)
-        back = back.reshape(*ids.shape, n)
-        fed = np.empty((*ids.shape, 3 * n), np.float32)
-        grads["state"], carried = np.zeros_like(model["state"]), np.zeros((active, n), np.float32)
-        turned = np.ascontiguousarray(model["state"].T)
-        for t in reversed(range(ids.shape[0])):
-            carried += back[t]
-            held, z, r, new = run.held[t], run.update[t], run.reset[t], run.new[t]
-            d_new = carried * (1 - z) * (1 - new * new)
-            d_update = carried * (held - new) * z * (1 - z)
-            d_reset = d_new * run.inner[t] * r * (1 - r)
-            fed[t, :, :n], fed[t, :, n : 2 * n], fed[t, :, 2 * n :] = d_update, d_reset, d_new
-            through = np.concatenate([d_update, d_reset, d_new * r], axis=1)
-            grads["state"] += held.T @ through
-            carried *= z
-            carried += through @ turned
-            carried *= keep[t][:, None]
+        grads["state"], fed = run.back(model, back.reshape(*ids.shape, n), keep)
         for name, grad in grads.items():
             self._move(name, slice(None), grad)
         order = np.argsort(before.ravel().astype(np.uint16), kind="stable")

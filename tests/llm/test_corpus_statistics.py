@@ -141,6 +141,33 @@ def test_phrases_equal_brute_force(spark, none, monkeypatch):
 SHAPE = recurrent.Shape(64, 5, 4)
 
 
+def test_way_back_through_a_window_equals_single_steps():
+    """Gradients by gates made for all steps of a window at once, against those made a step at a time."""
+    rng = np.random.default_rng(9)
+    steps, lanes, n = 7, 5, SHAPE.hidden
+    model = recurrent.initial(SHAPE, np.ones(SHAPE.head + SHAPE.tail))
+    before, keep = rng.integers(0, SHAPE.start + 1, (steps, lanes)), (rng.random((steps, lanes)) > 0.2).astype(np.float32)
+    run = recurrent._Window(model, before, keep, rng.normal(0, 1, (lanes, n)).astype(np.float32))
+    by_state = rng.normal(0, 1, (steps, lanes, n)).astype(np.float32)
+    by_weights, fed = run.back(model, by_state, keep)
+    expected, carried = np.zeros((n, 3 * n)), np.zeros((lanes, n))
+    for t in reversed(range(steps)):
+        held = run.states[t] * keep[t][:, None]
+        across = held @ model["state"]
+        z, r = np.split(1 / (1 + np.exp(-(across + model["inputs"][before[t]])[:, : 2 * n])), 2, axis=1)
+        new = np.tanh(r * across[:, 2 * n :] + model["inputs"][before[t]][:, 2 * n :])
+        assert np.allclose(run.states[t + 1], z * held + (1 - z) * new, atol=1e-5)
+        carried = carried + by_state[t]
+        d_new = carried * (1 - z) * (1 - new * new)
+        gates = [carried * (held - new) * z * (1 - z), d_new * across[:, 2 * n :] * r * (1 - r)]
+        assert np.allclose(fed[t], np.concatenate([*gates, d_new], axis=1), atol=1e-5)
+        through = np.concatenate([*gates, d_new * r], axis=1)
+        expected += held.T @ through
+        carried = (carried * z + through @ model["state"].T) * keep[t][:, None]
+    assert np.allclose(by_weights, expected, atol=1e-4)
+
+
+
 def small_model():
     rng = np.random.default_rng(3)
     model = recurrent.initial(SHAPE, rng.integers(1, 50, SHAPE.head + SHAPE.tail))
