@@ -15,6 +15,8 @@ from proteinscan.session import new_path, shared_dir, written
 #: Tables of more rows are not broadcast; rows of a hot key are then dealt over so many tasks.
 BROADCAST_ROWS = 200_000
 SALTS = 16
+#: Bits for each key of such a table in the bitmaps that tell which rows may have a partner, and bits of all bitmaps at most.
+KEY_BITS, MOST_BITS = 16, 1 << 27
 
 __all__ = [
     "bounded_sample", "checked_broadcast", "clean_labels", "held_out", "joined_by_hot_key", "new_path", "shared_dir", "slices", "table", "where_text", "with_text_columns", "written",
@@ -41,13 +43,31 @@ def joined_by_hot_key(rows: DataFrame, small: DataFrame, key: str, spread: Colum
 
     A table of at most BROADCAST_ROWS rows is broadcast, and the rows stay where they are. A larger
     one is repeated for each of SALTS salts, and rows get a salt from the hash of `spread`, so that
-    the rows of a key are dealt over SALTS tasks.
+    the rows of a key are dealt over SALTS tasks. The copies are merged and never broadcast, as
+    Spark takes them for no larger than the table. Of an inner join only rows that may have a
+    partner are moved.
     """
-    if small.count() <= BROADCAST_ROWS:
+    n = small.count()
+    if n <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), key, how)
+    rows = _with_partners(rows, small, key, n) if how == "inner" else rows
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+def _with_partners(rows: DataFrame, small: DataFrame, key: str, n: int) -> DataFrame:
+    """All rows whose key is among the `n` ones of `small`, and a few others: those whose key's hash has a bit set.
+
+    The bits, KEY_BITS for each key and MOST_BITS at most, are broadcast in bitmaps of 4 KB; with
+    more keys than these are for, more of the others pass.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(min(MOST_BITS, KEY_BITS * n)))
+    bucket, bit = F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place)
+    maps = small.select(bucket, bit.alias("_bit")).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_bucket", bucket).join(F.broadcast(maps), "_bucket")
+    return found.where(F.getbit(byte, bit % 8) == 1).drop("_bucket", "_bits")
 
 
 def bounded_sample(labelled: DataFrame, label: str, per_class: int, buckets: int = 256) -> DataFrame:
