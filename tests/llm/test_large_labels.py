@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from proteinscan.llm import common, quality
+from proteinscan.llm import common, mixing, quality
 
 
 @pytest.fixture
@@ -55,3 +55,10 @@ def test_models_are_those_of_few_labels(spark, monkeypatch, model):
     few = scored()
     monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
     assert scored() == pytest.approx(few, abs=1e-6)
+
+
+def test_mixing_is_that_of_few_labels(spark, monkeypatch):
+    docs, labels = _labelled(spark)
+    few = sorted(mixing.mix(docs, quality.fit(docs, labels)).collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert sorted(mixing.mix(docs, quality.fit(docs, labels)).collect()) == few
