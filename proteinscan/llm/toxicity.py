@@ -23,6 +23,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -112,7 +113,7 @@ class ToxicityModel:
     held: list[int] = dataclasses.field(default_factory=lambda: [0], repr=False, compare=False)
 
     def __reduce__(self):
-        return ToxicityModel, (self.weights, self.intercept, self.bigrams)
+        return _model, ("\n".join(self.weights), np.array(list(self.weights.values())), self.intercept, self.bigrams)
 
     @functools.cached_property
     def roots(self) -> frozenset[str]:
@@ -157,6 +158,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
+def _model(features: str, weights: np.ndarray, intercept: float, bigrams: np.ndarray) -> ToxicityModel:
+    """A model from its features, one a line, and their weights: as whole arrays these are sent without an object for each."""
+    return ToxicityModel(dict(zip(features.split("\n"), weights.tolist(), strict=True)) if len(weights) else {}, intercept, bigrams)
+
+
 @functools.lru_cache(maxsize=64)
 def _letter_span(token: str) -> tuple[int, int]:
     """Positions of the first and last letter; of a token without letters, its ends, crossed over."""
@@ -317,28 +323,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     bigrams = _characters(rows, sizes)
     found = written(rows.mapInArrow(functools.partial(_restored, bigrams=bigrams), RESTORED), "restored")
     counted = found.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    number = {f: k for k, f in enumerate(sorted(r["feature"] for r in _two_sided(counted, sizes).collect()))}  # the features of the model
+    features = _in_order(_two_sided(counted, sizes))  # of the model
 
     def numbered(batches):
+        number = {f: k for k, f in enumerate(features.to_pylist())}
         of: dict[str, list[int]] = {}
         first, roots = PREFIXES[0], roots_of(number)
         for batch in slices(batches, ROWS):
             own = []
             for words in batch.column("words").to_pylist():
-                features: set[int] = set()
+                mine: set[int] = set()
                 for word in [w for w in words.split() if w[:first] in roots]:
                     if (some := of.get(word)) is None:
                         some = of[word] = [number[f] for f in features_of(word) if f in number]
-                    features.update(some)
-                own.append(np.array(sorted(features), np.int32).tobytes())
+                    mine.update(some)
+                own.append(np.array(sorted(mine), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("half"), pa.array(own, pa.binary())], names=["label", "half", "features"])
             if len(of) > REMEMBERED:
                 of.clear()
 
     rows = written(found.where("words IS NOT NULL").select("label", "half", "words").mapInArrow(numbered, "label int, half int, features binary"), "numbered")
-    weights, intercepts = _fitted(rows, len(number))
+    weights, intercepts = _fitted(rows, len(features))
     cut = _histogram_cut(rows, weights, intercepts)
-    return ToxicityModel({f: float(weights[2, k]) for f, k in number.items()}, float(intercepts[2]) - cut, bigrams)
+    return ToxicityModel(dict(zip(features.to_pylist(), weights[2].tolist(), strict=True)), float(intercepts[2]) - cut, bigrams)
 
 
 RESTORED = "label int, half int, words string, feature string, toxic long, n long"
@@ -444,6 +451,12 @@ def _two_sided(counted: DataFrame, sizes: dict[int, int]) -> DataFrame:
     return counted.where((F.col("n") >= 3) & (2 * (part(F.col("toxic"), share) + part(other, 1 - share)) >= EVIDENCE)).select("feature")
 
 
+def _in_order(found: DataFrame) -> pa.Array:
+    """The features of a table by code point. The driver holds their letters and no object for each, while Spark fits the model."""
+    features = found.toArrow()["feature"].combine_chunks()
+    return features.take(pc.sort_indices(features))
+
+
 def _cut(rows: list[list[int]], y: np.ndarray, width: int) -> float:
     """`_best_cut` of rows at hand, whose halves alternate in each class."""
     odds = np.empty(len(rows))

@@ -1,11 +1,14 @@
 """Label tables that are too large to broadcast: their salted copies are merged, and only texts that may have a label are moved."""
 
+import pickle
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proteinscan.llm import common, mixing, quality
+import corpus_pipeline
+from proteinscan.llm import common, mixing, quality, toxicity
 
 
 @pytest.fixture
@@ -43,14 +46,14 @@ def _labelled(spark):
     return docs, spark.createDataFrame([(k, k % 2, k % 2) for k in range(120)], "doc_id long, quality int, toxic int")
 
 
-@pytest.mark.parametrize("model", [quality])
+@pytest.mark.parametrize("model", [quality, toxicity])
 def test_models_are_those_of_few_labels(spark, monkeypatch, model):
     docs, labels = _labelled(spark)
     texts = [r["text"] for r in docs.collect()]
 
     def scored():
         fitted = model.fit(docs, labels)
-        return fitted.scores([quality.statistics(t) for t in texts])
+        return fitted.scores(texts) if model is toxicity else fitted.scores([quality.statistics(t) for t in texts])
 
     few = scored()
     monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
@@ -62,3 +65,22 @@ def test_mixing_is_that_of_few_labels(spark, monkeypatch):
     few = sorted(mixing.mix(docs, quality.fit(docs, labels)).collect())
     monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
     assert sorted(mixing.mix(docs, quality.fit(docs, labels)).collect()) == few
+
+
+def test_the_model_travels_and_is_fitted_without_an_object_for_each_feature(spark):
+    found = spark.createDataFrame([(f,) for f in ["zeta", "b*", "\u00e9t\u00e9", "b", "\U00010400x", "\uffee"]], "feature string").repartition(3)
+    assert toxicity._in_order(found).to_pylist() == sorted(r["feature"] for r in found.collect())
+    assert toxicity._in_order(found.where("false")).to_pylist() == []
+    for weights in ({}, {"bad": 1.5, "b*": -0.25, "\u00e9t\u00e9": 0.1}):
+        model = toxicity.ToxicityModel(weights, -1.0, toxicity._bigram_model(np.zeros((28, 28))))
+        make, parts = model.__reduce__()
+        assert all(isinstance(p, str | float | np.ndarray) for p in parts)
+        assert make(*parts).weights == weights and pickle.loads(pickle.dumps(model)).intercept == -1.0
+
+
+def test_drop_toxic_is_that_of_few_labels(spark, monkeypatch, tmp_path):
+    docs, labels = _labelled(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    few = sorted(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert sorted(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()) == few and len(few) < docs.count()
